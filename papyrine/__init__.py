@@ -1,3 +1,10 @@
 """Citation-network analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions travel to the executors with their code: workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
