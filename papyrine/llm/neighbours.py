@@ -223,10 +223,11 @@ def usable(df: DataFrame, ident: str, vector: str, dims: int) -> DataFrame:
 
 
 class Neighbours:
-    """What ``nearest`` found: ``base`` (id, v.., rn, leaf), ``lists`` (id, d2[], nid[]) with a row itself first, ``crowded`` positions."""
+    """What ``nearest`` found: ``base`` (id, v.., rn, leaf), ``lists`` (id, leaf, d2[], nid[]) with the position's own rows
+    first, ``crowded`` positions (with more than k + 1 rows), ``depth`` of the tree of blocks."""
 
-    def __init__(self, base: DataFrame, lists: DataFrame, crowded: DataFrame | None, k: int, dims: int):
-        self.base, self.lists, self.crowded, self.k, self.dims = base, lists, crowded, k, dims
+    def __init__(self, base: DataFrame, lists: DataFrame, crowded: DataFrame | None, k: int, dims: int, depth: int):
+        self.base, self.lists, self.crowded, self.k, self.dims, self.depth = base, lists, crowded, k, dims, depth
 
 
 def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, sample_rows: int = 40_000, seed: int = 7) -> Neighbours:
@@ -274,7 +275,7 @@ def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, sampl
 
     first = base.groupBy("leaf").applyInArrow(inside, found_schema)
     if tree.depth == 0:
-        lists = cut(first.select("id", "d2", "nid"))
+        lists = cut(first.select("id", "leaf", "d2", "nid"))
     else:
         first = cut(first)
         # One row for each block: their number is rows / block_rows, 72 bytes each.
@@ -307,11 +308,11 @@ def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, sampl
 
         second = both.groupBy("leaf").applyInArrow(outside, found_schema)
         pairs = F.arrays_zip("d2", "nid").alias("p")
-        more = first.filter(F.col("open") >= 0).select("id", pairs).unionByName(second.select("id", pairs))
-        merged = more.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k1).alias("p")).select("id", F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid"))
-        lists = cut(first.filter(F.col("open") < 0).select("id", "d2", "nid").unionByName(merged))
+        more = first.filter(F.col("open") >= 0).select("id", "leaf", pairs).unionByName(second.select("id", F.lit(-1).cast("long").alias("leaf"), pairs))
+        merged = more.groupBy("id").agg(F.max("leaf").alias("leaf"), F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k1).alias("p")).select("id", "leaf", F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid"))
+        lists = cut(first.filter(F.col("open") < 0).select("id", "leaf", "d2", "nid").unionByName(merged))
     crowded = ranked.filter(F.col("rn") == k1 + 1).select(*vs)
-    return Neighbours(base, lists, None if crowded.isEmpty() else crowded, k, dims)
+    return Neighbours(base, lists, None if crowded.isEmpty() else crowded, k, dims, tree.depth)
 
 
 def of_every_row(points: DataFrame, found: Neighbours) -> DataFrame:

@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import cleaning, exact_copies, neighbours, topn
+from papyrine.llm import cleaning, density, exact_copies, neighbours, topn
 from papyrine.session import table
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.cluster(cleaning.latest_positions(table(spark, sf_dir, "nodes")), dims=3)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.chain(_groups(spark, sf_dir))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its size, its three most typical nodes and the run label most of its members carry, with that label's share."""
+    rows = _groups(spark, sf_dir)
+    labels = cleaning.current_assignments(table(spark, sf_dir, "cluster_nodes"))
+    counts = rows.join(labels, "node_id").groupBy("cluster", "level_uid", "node_cluster").agg(F.count("*").alias("n"))
+    best = counts.groupBy("cluster").agg(F.max(F.struct("n", F.col("level_uid").alias("label_level"), F.col("node_cluster").alias("label"))).alias("b"))
+    out = density.summaries(rows).join(best, "cluster", "left")
+    return out.select("cluster", "size", F.array_join(F.col("exemplars").cast("array<string>"), ",").alias("exemplars"), "b.label_level", "b.label", F.round(F.col("b.n") / F.col("size"), 6).alias("label_share"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = cleaning.current_assignments(table(spark, sf_dir, "cluster_nodes")).filter("node_cluster <> -1")
     cart = table(spark, sf_dir, "cart").filter("node_id is not null and in_deg is not null")
@@ -35,4 +53,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found}
