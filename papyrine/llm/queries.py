@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import cleaning, density, exact_copies, neighbours, topn
+from papyrine.llm import cleaning, density, exact_copies, names, neighbours, topn
 from papyrine.session import table
 
 
@@ -27,6 +27,17 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cluster", "size", F.array_join(F.col("exemplars").cast("array<string>"), ",").alias("exemplars"), "b.label_level", "b.label", F.round(F.col("b.n") / F.col("size"), 6).alias("label_share"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(names.variants(table(spark, sf_dir, "cart")))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct spelling with the entity it belongs to, named by the entity's smallest spelling, and the number of its other spellings."""
+    found = names.variants(table(spark, sf_dir, "cart"))
+    size = found.groupBy("kind", "entity").agg(F.min("spelling").alias("entity_name"), (F.count("*") - 1).alias("links"))
+    return found.join(size, ["kind", "entity"]).select("kind", "spelling", "entity_name", "links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = cleaning.current_assignments(table(spark, sf_dir, "cluster_nodes")).filter("node_cluster <> -1")
     cart = table(spark, sf_dir, "cart").filter("node_id is not null and in_deg is not null")
@@ -53,4 +64,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found}
