@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import cleaning, density, exact_copies, names, neighbours, topn
-from papyrine.session import table
+from papyrine.llm import cleaning, density, exact_copies, mixing, names, neighbours, packing, tokens, topn
+from papyrine.session import cut, table
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs(points, neighbours.nearest(points, k=5, dims=3))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = [(r["bin_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "token_bins").collect()]  # a fixed table of three rows
+    return packing.pack(cut(_sizes(spark, sf_dir).select("id", "tokens")), bins)
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnRenamed("item", "doc_id")
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(_packed(spark, sf_dir), table(spark, sf_dir, "token_bins"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, _ = mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return chosen.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_pack": p6_pack, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares}
