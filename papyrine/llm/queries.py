@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import cleaning, density, exact_copies, mixing, names, neighbours, packing, tokens, topn
+from papyrine.llm import cleaning, density, exact_copies, language, mixing, names, neighbours, packing, tokens, topn
 from papyrine.session import cut, table
 
 
@@ -89,5 +89,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.detect(documents, language.train(table(spark, sf_dir, "lang_samples"), documents))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.cases(_languages(spark, sf_dir))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(_languages(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_pack": p6_pack, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_pack": p6_pack, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
