@@ -28,11 +28,11 @@ def tokens(text: Column) -> Column:
 
 
 def phrases(words: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` neighbouring words."""
+    """All runs of 1 to ``longest`` neighbouring words; longer runs are zipped from shorter ones, so the words are evaluated once for each length."""
     runs = [words]
     for n in range(2, longest + 1):
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        pairs = F.zip_with(runs[-1], F.slice(words, n, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        runs.append(F.filter(pairs, lambda r: r.isNotNull()))
     return F.concat(*runs)
 
 
@@ -52,3 +52,8 @@ def token_overlap(a: Column, b: Column) -> Column:
 def share_list(counts: Column) -> Column:
     """``id:percent%`` for an array of structs (id, fraction), separated by blanks."""
     return F.array_join(F.transform(counts, lambda e: F.concat(e["id"].cast("string"), F.lit(":"), F.round(e["fraction"] * 100).cast("int").cast("string"), F.lit("%"))), " ")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -33,3 +33,51 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         before = now
     roots = state.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return nodes.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def symmetric(edges: DataFrame) -> DataFrame:
+    """``(a, b)``: every edge in both directions, once, without self-loops."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    return both.filter("a <> b").distinct()
+
+
+def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """``(id, hops)`` of the nodes at most ``most`` steps from ``start`` (id); each step joins the frontier only, nodes seen are left out."""
+    both = cut(symmetric(edges))
+    seen = cut(start.select("id", F.lit(0).alias("hops")))
+    front = seen
+    for k in range(1, most + 1):
+        nxt = front.join(both, front["id"] == both["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = cut(nxt.select("id", F.lit(k).alias("hops")))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def common_sources(edges: DataFrame) -> DataFrame:
+    """``(a, b, n)``, a < b: how many nodes point at both; for graphs between clusters."""
+    x, y = edges.select(F.col("a").alias("from"), F.col("b").alias("a")), edges.select(F.col("a").alias("from"), "b")
+    return x.join(y, "from").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``(src, dst, w)``: Borůvka's rounds over the whole graph; in each, every component takes its lightest edge to another.
+
+    Equal weights are told apart by the ends, so the forest is unique. Rounds at least halve the components; edges within a component are dropped.
+    """
+    e = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("w").alias("w"))
+    live = cut(e.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")))
+    tree = None
+    for _ in range(max_rounds):
+        if live.isEmpty():
+            break
+        one = F.struct("w", "src", "dst")
+        ends = live.select("a", one.alias("e")).unionByName(live.select(F.col("b").alias("a"), one.alias("e")))
+        pick = cut(ends.groupBy("a").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.w").distinct())
+        tree = pick if tree is None else tree.unionByName(pick)
+        joined = live.join(pick.select("src", "dst"), ["src", "dst"], "left_semi").select("a", "b")
+        comp = connected_components(joined, "a", "b")
+        ca, cb = (comp.select(F.col("id").alias(c), F.col("component").alias("n" + c)) for c in "ab")
+        live = cut(live.join(ca, "a", "left").join(cb, "b", "left").select("src", "dst", "w", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).filter("a <> b"))
+    return tree if tree is not None else e.limit(0)

@@ -107,6 +107,11 @@ def target_range(df: DataFrame, ident: str, vector: str, schema: dict[str, dict]
     return both.select("params", "clusters", inside.alias("in_range"), score.alias("score")).orderBy(F.desc("in_range"), F.desc("score"), "params")
 
 
+def _jittered(d: int, s: int):
+    """The first ``d`` components, each stretched by up to 5 % as the seed has it."""
+    return F.transform(F.slice("vec", 1, d), lambda v, i: v * (1 + 0.05 * F.sin(i.cast("double") * s + s)))
+
+
 def dimension_sweep(df: DataFrame, ident: str, vector: str, dims: list[int], seeds: list[int], min_size: int = 15) -> DataFrame:
     """``(d1, d2, mean, sd, clusters_1, clusters_2)``: agreement of clusterings of the vectors reduced to different numbers of dimensions.
 
@@ -123,7 +128,7 @@ def dimension_sweep(df: DataFrame, ident: str, vector: str, dims: list[int], see
     parts = []
     for d in dims:
         for s in seeds:
-            scaled = F.transform(F.slice("vec", 1, d), lambda v, i, s=s: v * (1 + 0.05 * F.sin(i.cast("double") * s + s)))
+            scaled = _jittered(d, s)
             one = hdbscan.cluster(most.select(ident, scaled.alias("v")), ident, "v", min_size=min_size)
             parts.append(one.select("node_id", "node_cluster", F.lit(d).alias("d"), F.lit(s).alias("s")))
     runs = cut(reduce(DataFrame.unionByName, parts))

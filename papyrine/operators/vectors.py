@@ -48,42 +48,73 @@ def medoids(df: DataFrame, ident: str, group: str, vector: str, digits: int = 9)
     return best.select(group, (-F.col("b.m")).alias("representative"), F.col("b.cosine").alias("cosine"))
 
 
-def knn(df: DataFrame, ident: str, vector: str, k: int, block_rows: int = 4096, digits: int = 9) -> DataFrame:
-    """``(src, dst, d2, rank)``: exact k nearest by squared distance, ties (after rounding) to the smaller id.
-
-    Rows are put into blocks by a hash; a task multiplies two blocks, and the best of each pair of blocks are merged. The work is quadratic: this
-    is for evaluation sets of some hundred thousand vectors.
+def _block_pairs(df: DataFrame, ident: str, vector: str, by: str | None, block_rows: int) -> tuple[DataFrame, list[str]]:
+    """Every row beside every block of its group: once as asking (q), once as answering; tasks are pairs of blocks."""
+    src = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(by) if by else F.lit(0)).alias("grp")).filter("id is not null and v is not null and grp is not null")
+    size = src.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    src = src.join(size, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = src.select("id", "v", "grp", F.col("block").alias("qb"), F.col("other").alias("rb"), F.lit(True).alias("q"))
+    return asked.unionByName(src.select("id", "v", "grp", F.col("other").alias("qb"), F.col("block").alias("rb"), F.lit(False).alias("q"))), ["grp", "qb", "rb"]
+
+
+def _distances(pdf: pd.DataFrame, digits: int):
+    """Squared distances between the asking and the answering rows of a task, some hundred asking rows at a time."""
+    a, b = pdf[pdf["q"]].sort_values("id"), pdf[~pdf["q"]].sort_values("id")
+    if not len(a) or not len(b):
+        return
+    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+    ids, refs = a["id"].to_numpy(), b["id"].to_numpy()
+    for s in range(0, len(x), 512):
+        part = x[s : s + 512]
+        d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T, 0).round(digits)
+        yield ids[s : s + 512], refs, d
+
+
+def knn(df: DataFrame, ident: str, vector: str, k: int, by: str | None = None, block_rows: int = 4096, digits: int = 9) -> DataFrame:
+    """``(src, dst, d2, rank)``: exact k nearest (within the group ``by``) by squared distance, ties (after rounding) to the smaller id.
+
+    Rows are put into blocks by a hash; a task multiplies two blocks, and the best of each pair of blocks are merged. No task holds more than two blocks,
+    but the work is quadratic: this is for groups of some hundred thousand vectors.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    src = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = src.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", F.col("block").alias("qb"), F.col("other").alias("rb"), F.lit(True).alias("q"))
-    refs = src.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", F.col("other").alias("qb"), F.col("block").alias("rb"), F.lit(False).alias("q"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["q"]], pdf[~pdf["q"]].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "d2": []}).astype({"src": "int64", "dst": "int64", "d2": float})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        ids, refs_ = a["id"].to_numpy(), b["id"].to_numpy()
         out = []
-        for s in range(0, len(x), 512):
-            d = ((x[s : s + 512] ** 2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x[s : s + 512] @ y.T).round(digits)
-            d[ids[s : s + 512][:, None] == refs_[None, :]] = np.inf
-            m = min(k, len(y))
+        for ids, refs, d in _distances(pdf, digits):
+            d[ids[:, None] == refs[None, :]] = np.inf
+            m = min(k, len(refs))
             near = np.argsort(d, axis=1, kind="stable")[:, :m]
             dist = np.take_along_axis(d, near, 1)
             ok = np.isfinite(dist)
-            out.append(pd.DataFrame({"src": np.repeat(ids[s : s + 512], m)[ok.ravel()], "dst": refs_[near][ok], "d2": np.maximum(dist[ok], 0.0)}))
-        return pd.concat(out)
+            out.append(pd.DataFrame({"src": np.repeat(ids, m)[ok.ravel()], "dst": refs[near][ok], "d2": dist[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "d2": []}).astype({"src": "int64", "dst": "int64", "d2": float})
 
     from pyspark.sql import Window
 
-    found = asked.unionByName(refs).groupBy("qb", "rb").applyInPandas(run, "src long, dst long, d2 double")
+    rows, keys = _block_pairs(df, ident, vector, by, block_rows)
+    found = rows.groupBy(*keys).applyInPandas(run, "src long, dst long, d2 double")
     w = Window.partitionBy("src").orderBy("d2", "dst")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def closest_pairs(df: DataFrame, ident: str, vector: str, density: float, block_rows: int = 4096, digits: int = 9) -> DataFrame:
+    """``(i, j, d2)``, i < j: the closest pairs, as many as ``density`` times all pairs; each pair of blocks sends its closest only."""
+    n = df.filter(F.col(vector).isNotNull()).count()
+    want = int(np.floor(density * n * (n - 1) / 2 + 0.5))
+    if want < 1:
+        return df.select(F.col(ident).cast("long").alias("i"), F.col(ident).cast("long").alias("j"), F.lit(0.0).alias("d2")).limit(0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = pd.DataFrame({"i": [], "j": [], "d2": []}).astype({"i": "int64", "j": "int64", "d2": float})
+        for ids, refs, d in _distances(pdf, digits):
+            a, b = np.nonzero(ids[:, None] < refs[None, :])
+            part = pd.DataFrame({"i": ids[a], "j": refs[b], "d2": d[a, b]})
+            best = pd.concat([best, part]).sort_values(["d2", "i", "j"]).head(want)
+        return best
+
+    rows, keys = _block_pairs(df, ident, vector, None, block_rows)
+    return rows.groupBy(*keys).applyInPandas(run, "i long, j long, d2 double").orderBy("d2", "i", "j").limit(want)
+
+
 def pca(df: DataFrame, ident: str, vector: str, components: int) -> tuple[DataFrame, list[float]]:
     """``(ident, vec)`` projected on the components of the centred vectors, and the variance explained; the largest loading of each is positive."""
     src = df.select(ident, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
