@@ -18,7 +18,7 @@ def current_assignments(stream: DataFrame) -> DataFrame:
 def citation_rate(stream: DataFrame, window: str = "30 days", late: str = "90 days") -> DataFrame:
     """``(start, provenance, citations)`` by window of ``discovered``, for output mode "append"; rows later than ``late`` are left out."""
     p = F.coalesce(F.lower(F.trim("provenance")), F.lit("none")).alias("provenance")
-    w = stream.withWatermark("discovered", late).groupBy(F.window("discovered", window).alias("w"), p).agg(F.count("*").alias("citations"))
+    w = stream.withColumn("discovered", F.col("discovered").cast("timestamp")).withWatermark("discovered", late).groupBy(F.window("discovered", window).alias("w"), p).agg(F.count("*").alias("citations"))
     return w.select(F.col("w.start").alias("start"), "provenance", "citations")
 
 
