@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 64
+PAD = 8  # spaces between windows, more than a filter is wide
 CLASSES = 64
 
 
@@ -33,7 +34,7 @@ CLASS_OF = _classes()
 
 
 class ByteCnn:
-    def __init__(self, labels: list[str], widths=(4, 6), filters: int = 48, seed: int = 5):
+    def __init__(self, labels: list[str], widths=(4, 6), filters: int = 64, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.labels, self.widths, self.filters = labels, tuple(widths), filters
         self.w = [(rng.normal(size=(n, CLASSES, filters)) * 0.3).astype(np.float32) for n in widths]
@@ -42,22 +43,22 @@ class ByteCnn:
         self.c = np.zeros(len(labels), dtype=np.float32)
 
     @staticmethod
-    def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of all bytes, each window preceded and followed by spaces; starts of the windows; the text of each window."""
-        pad = 5
-        parts, starts, of, at = [], [], [], 0
+    def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of all bytes, each window with spaces around it; where the windows start and end; the text of each window."""
+        parts, starts, ends, of, at = [], [], [], [], 0
         for i, t in enumerate(texts):
             for s in range(0, max(1, len(t)), WINDOW):
                 w = t[s : s + WINDOW]
-                parts.append(b" " + w + b" " * (pad - 1))
+                parts.append(b" " + w + b" " * (PAD - 1))
                 starts.append(at)
+                ends.append(at + len(w) + 1)
                 of.append(i)
-                at += len(w) + pad
-        return CLASS_OF[np.frombuffer(b"".join(parts), dtype=np.uint8)], np.array(starts, dtype=np.int64), np.array(of, dtype=np.int64)
+                at += len(w) + PAD
+        x = CLASS_OF[np.frombuffer(b"".join([*parts, b" " * PAD]), dtype=np.uint8)]
+        return x, np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64), np.array(of, dtype=np.int64)
 
-    def _forward(self, x: np.ndarray, starts: np.ndarray):
-        """Pooled features before and after the rectifier, and the positions the maxima come from (training)."""
-        ends = np.append(starts[1:], len(x))
+    def _forward(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Pooled features before the rectifier, and the positions the maxima come from (training)."""
         feats, where = [], []
         for w, b in zip(self.w, self.b, strict=True):
             n = len(w)
@@ -65,27 +66,27 @@ class ByteCnn:
             for j in range(n):
                 y += w[j][x[j : len(x) - n + 1 + j]]
             longest = int((ends - starts).max())
-            grid = np.minimum(starts[:, None] + np.arange(longest), np.maximum(starts, ends - n)[:, None])
-            grid = np.minimum(grid, len(y) - 1)
+            grid = np.minimum(starts[:, None] + np.arange(longest), ends[:, None] - 1)
             cube = y[grid]
             am = cube.argmax(1)
             feats.append(np.take_along_axis(cube, am[:, None, :], 1)[:, 0] + b)
             where.append(np.take_along_axis(grid, am, 1))
         return feats, where
 
-    def train(self, texts: list[bytes], y: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.004, seed: int = 3, dropout: float = 0.3) -> None:
-        """Adam on the cross entropy. ``texts``: windows of at most WINDOW bytes."""
+    def train(self, texts: list[bytes], y: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.004, seed: int = 3, dropout: float = 0.3, least_steps: int = 600) -> None:
+        """Adam on the cross entropy, at least ``least_steps`` steps of it. ``texts``: windows of at most WINDOW bytes."""
         rng = np.random.default_rng(seed)
         params = [*self.w, *self.b, self.v, self.c]
         m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
+        epochs = max(epochs, -(-least_steps * batch // max(1, len(texts))))
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
-            lr = rate * (0.5 ** max(0, epoch - epochs // 2))
+            lr = rate * 0.03 ** max(0.0, 2 * epoch / epochs - 1)  # falls to 3 % over the second half
             for i in range(0, len(order), batch):
                 part = order[i : i + batch]
-                x, starts, of = self.windows([texts[k][:WINDOW] for k in part])
-                feats, where = self._forward(x, starts)
+                x, starts, ends, _ = self.windows([texts[k][:WINDOW] for k in part])
+                feats, where = self._forward(x, starts, ends)
                 h = np.concatenate(feats, 1)
                 a = np.maximum(h, 0)
                 mask = (rng.random(a.shape) >= dropout).astype(np.float32) / (1 - dropout)
@@ -129,8 +130,8 @@ class ByteCnn:
 
     def log_probs(self, texts: list[bytes], tables: list | None = None, chunk: int = 8192) -> np.ndarray:
         """Log probabilities of each text: those of its windows, added up."""
-        x, starts, of = self.windows(texts)
-        z = self._windows_log_probs(x, starts, tables or self.tables(), chunk)
+        x, starts, ends, of = self.windows(texts)
+        z = self._windows_log_probs(x, starts, ends, tables or self.tables(), chunk)
         out = np.zeros((len(texts), len(self.labels)), dtype=np.float32)
         np.add.at(out, of, z)
         return out
@@ -139,26 +140,27 @@ class ByteCnn:
         """Log probabilities and lengths of the lines of ``data`` (one more than it has newlines)."""
         breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
         lengths = np.diff(np.concatenate([[-1], breaks, [len(data)]])) - 1
-        x = CLASS_OF[np.frombuffer(b" " + data.replace(b"\n", b"     ") + b"    ", dtype=np.uint8)]
-        first = np.cumsum(lengths + 5) - (lengths + 5)
+        x = CLASS_OF[np.frombuffer(b" " + data.replace(b"\n", b" " * PAD) + b" " * (2 * PAD), dtype=np.uint8)]
+        first = np.cumsum(lengths + PAD) - (lengths + PAD)
         count = np.maximum(1, -(-lengths // WINDOW))
         of = np.repeat(np.arange(len(lengths)), count)
         k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        z = self._windows_log_probs(x, first[of] + k * WINDOW, tables, chunk)
+        starts = first[of] + k * WINDOW
+        z = self._windows_log_probs(x, starts, np.minimum(starts + WINDOW, (first + lengths)[of]) + 1, tables, chunk)
         if len(of) == len(lengths):
             return z, lengths
         return np.add.reduceat(z, np.cumsum(count) - count, axis=0), lengths
 
-    def _windows_log_probs(self, x: np.ndarray, starts: np.ndarray, tables: list, chunk: int) -> np.ndarray:
+    def _windows_log_probs(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: list, chunk: int) -> np.ndarray:
         out = np.empty((len(starts), len(self.labels)), dtype=np.float32)
-        ends = np.append(starts[1:], len(x))
         ids = x.astype(np.intp)
         pairs = ids[:-1] * CLASSES + ids[1:]
         first = 0
         while first < len(starts):
             last = max(first + 1, int(np.searchsorted(ends, starts[first] + chunk, "right")))
             lo, hi = int(starts[first]), int(ends[last - 1])
-            at = starts[first:last] - lo
+            bounds = np.stack([starts[first:last], ends[first:last]], 1).ravel() - lo  # every other slice lies between windows
+            bounds = bounds[:-1]
             feats = []
             for t, b, n in zip(tables, self.b, self.widths, strict=True):
                 m = min(hi, len(x) - n + 1) - lo
@@ -166,7 +168,7 @@ class ByteCnn:
                 for j in range(1, len(t)):
                     source = pairs if len(t[j]) > CLASSES else ids
                     y += np.take(t[j], source[lo + 2 * j : lo + 2 * j + m], axis=0, mode="clip")
-                feats.append(np.maximum(np.maximum.reduceat(y, at, axis=0) + b, 0))
+                feats.append(np.maximum(np.maximum.reduceat(y, bounds, axis=0)[::2] + b, 0))
             z = np.concatenate(feats, 1) @ self.v + self.c
             z -= z.max(1, keepdims=True)
             z -= np.log(np.exp(z).sum(1, keepdims=True))

@@ -209,10 +209,10 @@ def _sweep(min_size: int, floor: float, root_level: float | None):
         if root_level is None:
             out.append(pd.DataFrame({"kind": 2, "id": [names[i] for i in roots], "cluster": [cluster[i] for i in roots], "death": [death[i] for i in roots], "total": [total[i] for i in roots], "size": [size[i] for i in roots], "best": [below[i] for i in roots], "members": [members[i] for i in roots]}))
             out.append(pd.DataFrame({"kind": 3, "id": names, "cluster": [names[find(i)] for i in range(len(names))]}))
-        whole = {"id": "Int64", "cluster": "Int64", "size": "Int64", "top": "Int64", "flag": "boolean", "level": float, "death": float, "total": float, "best": float}
+        whole = {"id": "Int64", "cluster": "Int64", "size": "Int64", "top": "Int64", "flag": "boolean", "level": float, "death": float, "total": float, "best": float, "members": object}
         for o in out:
             if "members" not in o:
-                o["members"] = [None] * len(o)
+                o["members"] = pd.Series([None] * len(o), dtype=object, index=o.index)
         parts = [o.reindex(columns=_COLUMNS).astype(whole) for o in out if len(o)]
         return pd.concat(parts) if parts else out[0].reindex(columns=_COLUMNS).astype(whole)
 

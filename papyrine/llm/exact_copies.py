@@ -3,7 +3,7 @@
 Each distinct raw value is canonicalised once, each distinct canonical value gets an integer identifier, records are
 rewritten as sorted tuples of those integers and the compact tuples are grouped.
 
-Canonical form: case folded (through upper case, so that ``ß`` equals ``SS``), letters and digits only. A null value and one
+Canonical form: case folded (``ß`` equals ``SS``), letters and digits only. A null value and one
 without letter or digit have identifier 0. With ``ordered=False`` the order of the fields doesn't matter.
 
 Defined results: rows whose required field is null take no part. Repeated rows with one identifier count as copies but
@@ -23,7 +23,7 @@ _SALTS = 64
 
 
 def canonical(col: Column) -> Column:
-    return F.regexp_replace(F.lower(F.upper(F.lower(col))), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.replace(F.lower(F.upper(F.lower(col))), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", "")
 
 
 def encode(df: DataFrame, ident: str, fields: Sequence[str], required: Sequence[str] = (), ordered: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def _pieces(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(samples: DataFrame, documents: DataFrame, train_docs: int = 2000, lines_each: int = 25, epochs: int = 5, seed: int = 11) -> ByteCnn:
+def train(samples: DataFrame, documents: DataFrame, train_docs: int = 3000, lines_each: int = 25, epochs: int = 8, seed: int = 11) -> ByteCnn:
     """A network from ``samples`` (lang, text) and labelled ``documents`` (doc_id, text, lang)."""
     rng = np.random.default_rng(seed)
     texts, ys, docs = [], [], []
@@ -83,12 +84,21 @@ def train(samples: DataFrame, documents: DataFrame, train_docs: int = 2000, line
     total = labelled.select("doc_id").count()
     if total > train_docs:  # thinned before the ordering, by far more than the number wanted
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, 1.5 * train_docs / total) * 1_000_000))
-    for i, r in enumerate(labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").select("text", "l").limit(train_docs).toLocalIterator()):
-        lines = [x for x in r["text"].split("\n") if sum(c.isalpha() for c in x) >= 6]
-        for k in rng.permutation(len(lines))[:lines_each]:
-            texts.append(lines[k].encode()[:WINDOW])
-            ys.append(LANGUAGES.index(r["l"]))
-            docs.append(i)
+    chosen = labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").select("doc_id", "text", "l").limit(train_docs)
+
+    def pick(batches):  # only the picked lines come to the driver, at most WINDOW bytes each
+        for pdf in batches:
+            rows = []
+            for i, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["l"], strict=True):
+                lines = [x for x in text.split("\n") if sum(c.isalpha() for c in x) >= 6]
+                rows += [(i, lang, lines[k].encode()[:WINDOW]) for k in np.random.default_rng(abs(int(i)) + seed).permutation(len(lines))[:lines_each]]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "line"])
+
+    numbers: dict[int, int] = {}
+    for r in chosen.mapInPandas(pick, "doc_id long, lang string, line binary").toLocalIterator():
+        texts.append(bytes(r["line"]))
+        ys.append(LANGUAGES.index(r["lang"]))
+        docs.append(numbers.setdefault(r["doc_id"], len(numbers)))
     y, doc = np.array(ys, dtype=np.int64), np.array(docs)
     net = ByteCnn(LANGUAGES, seed=seed)
     if not len(y):
@@ -110,7 +120,7 @@ def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     """For lines of documents (``doc`` ascending from 0, without gaps): the lines' languages as probabilities, and each document's main language."""
     n_docs = int(doc[-1]) + 1
     first = np.searchsorted(doc, np.arange(n_docs))
-    trust = np.minimum(1.0, letters / 14.0)[:, None] * 0.9
+    trust = np.minimum(1.0, letters / 14.0)[:, None]
     p = np.exp(lp * trust)
     p = p / p.sum(1, keepdims=True) * 0.99 + 0.01 / lp.shape[1]
     weight = np.minimum(letters, 60)[:, None] + 0.01
@@ -121,7 +131,7 @@ def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray) -> tuple[np.nda
         r = p * (share[doc] + 1e-4)
         r /= r.sum(1, keepdims=True)
     lines = np.add.reduceat(r * np.minimum(1.0, letters / 15.0)[:, None], first, axis=0)
-    present = lines >= 1.3
+    present = lines >= 0.9
     present[np.arange(n_docs), share.argmax(1)] = True
     q = p * np.where(present[doc], 1.0, 1e-4)
     r = q * (share[doc] + 0.02)

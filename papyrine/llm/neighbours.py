@@ -141,6 +141,7 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, radius2: np.ndar
     steps = np.array(list(itertools.product((-1, 0, 1), repeat=m)))
     base, asked = [x @ r for r in turns], [queries @ r for r in turns]
     extent = np.ptp(base[0], axis=0).max()
+    whole = np.ptp(np.concatenate([base[0], asked[0]]), axis=0).max()  # queries may lie outside
     w = (extent if extent > 0 else 1.0) * (3 / n) ** (1 / m)
     for _ in range(40):  # as fine as the dense parts need
         table = _Tables(base[:1], offsets[:1], w).tables[0]
@@ -152,7 +153,7 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, radius2: np.ndar
     while len(active):
         t = _Tables(base, offsets, w)
         left, work = [], [active[i : i + 8192] for i in range(0, len(active), 8192)]
-        everything = w > 4 * max(extent, 1e-300)
+        everything = w > 4 * max(whole, 1e-300)
         while work:
             part = work.pop()
             sure = _probe(t, x, ids, queries, radius2, asked, part, steps, k, probes, dist, found, everything)
