@@ -29,75 +29,41 @@ from papyrine.llm.trie import near_pairs
 from papyrine.operators.graph import connected_components
 from papyrine.session import cut
 
-#: Usual short forms of given names (English, German, Italian, Spanish, French), full name first.
+#: Usual short forms of given names, full name first, that aren't their beginning or end; a parameter of ``persons``.
 SHORT_FORMS = """
-abigail abby gail abi
-alexander alex sandy sascha sasha xander lex sandro alec
-amelie amy millie
-anthony tony
-anja anna
-benjamin ben benji benny benno
-bartholomew bart
-catherine kate kathy katie cathy cat
-katherine kate kathy katie kitty kit kat kath kay
-christopher chris kit topher
-daniel dan danny
-deborah deb debbie
-dorothea thea dora dorle doro dolly dot dotty
-edward ed eddie ted teddy ned
-eleanor ellie nell lenny elly nellie
-elizabeth liz beth betty lizzie eliza elsie lisa betsy libby bess lisbeth
-emil milo
-francesca cesca fran franca franci checca
-frances fran fanny frankie
-francis frank
-friedrich fritz fred freddy friedel fiete rick
-frederick fred freddie rick
+abigail abby
+alexander sandy sascha sasha sandro
+amelie amy
+benjamin benji benny
+katherine kate kathy katie kit
+christopher kit
+dorothea dora dorle
+edward ed eddie ned ted teddy
+eleanor ellie nell elly nellie
+elizabeth liz betty lizzie betsy libby lisbeth
+francesca franci checca
+friedrich fritz fred rick
 giuseppe beppe pino peppe beppo peppino
-henrietta etta hettie harriet hetty henny netti hattie
-henry harry hal hank
-isabella bella izzy isa ella belle bel izzie
-james jim jimmy jamie
-johannes hans jan johann hannes jo hanno
-john jack johnny
-joaquin chimo quim quino ximo kino
-joseph joe joey
+henrietta hettie hetty hattie
+isabella izzy
+johannes hans jan
+joaquin chimo quim quino
 kaethe kathe kate
-karin kari
-lazaro lalo
-leopold leo poldi poldl
-lawrence larry
-margaret maggie peggy meg greta madge daisy marge margie rita
-marton marci
-matthias matt hias mats matze matti
-michael mike mick mickey michi micky misha
-nikolaus niko klaus nico claus nick nik nikki
-nicholas nick
-patricia pat trish patty
-patrick pat paddy
-rebecca becky
-richard dick rick rich ricky richie
-robert bob rob bobby robbie bert
-samuel sam sammy
-samantha sam
-sebastian bastian seb basti wastl
-stephen steve
-steven steve
-susannah sue zanna susie suzy susi sanna sanne
-susan sue susie
-tamara tammy mara toma
-theodore ted theo teddy dora
-thomas tom tommy
-tomas tom tomi
-ulrike ulli rike uli
-veronique vero nique
-victoria vicky tori vic vicki tory
-vincent vince
-walter walt wally wat
-wilhelmina mina willa minna wilma billie minnie
-william bill will billy willy liam wim
+leopold poldi
+margaret maggie peggy meg rita
+michael mike mick
+nikolaus klaus nick
+richard dick rick
+robert bob bobby
+susannah sue zanna susie
+tamara tammy
+theodore ted teddy
+ulrike ulli
+victoria vicky tori
+wilhelmina willa
+william bill
 yvonne yvi
-zachary zach zak zack zac
+zachary zak zack
 """.split("\n")
 _TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md", "jr", "sr", "mag", "ing", "dipl"}
 _PARTICLES = {"von", "van", "der", "den", "de", "di", "da", "del", "della", "la", "le", "al", "el", "du", "dos", "ten", "ter", "zu", "zum", "af"}
@@ -172,14 +138,14 @@ def _directed(pairs: DataFrame, counts: DataFrame, word: str) -> DataFrame:
     return j.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("frequent"))
 
 
-def persons(spellings: DataFrame) -> DataFrame:
-    """``(spelling, entity)`` for ``(spelling, n)``."""
+def persons(spellings: DataFrame, short_forms: list[str] = SHORT_FORMS) -> DataFrame:
+    """``(spelling, entity)`` for ``(spelling, n)``; ``short_forms``: lines of a full given name and its short forms."""
     spark = spellings.sparkSession
     parsed = _persons(spellings)
     full = cut(parsed.filter("not short").groupBy("family", "given").agg(F.count("*").alias("n")).withColumn("node", F.concat_ws("|", "family", "given")))
     givens = full.filter("given <> ''").groupBy("given").agg(F.sum("n").alias("n"))
     # Given names that agree.
-    known = spark.createDataFrame([(w, line.split()[0]) for line in SHORT_FORMS if line.strip() for w in line.split()[1:]], "a string, b string")
+    known = spark.createDataFrame([(w, line.split()[0]) for line in short_forms if line.strip() for w in line.split()[1:]], "a string, b string")
     ends = givens.select("given", F.explode(F.expr("filter(transform(sequence(3, greatest(3, length(given) - 1)), i -> array(substring(given, 1, i), right(given, i))), p -> length(given) > 3)")).alias("p")).select("given", F.explode("p").alias("a"))
     inside = ends.join(givens.select(F.col("given").alias("a")), "a").select("a", F.col("given").alias("b")).filter("a <> b")
     agree = near_pairs(givens, "given").unionByName(known).unionByName(inside).distinct()
