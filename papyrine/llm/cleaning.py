@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.neighbours import usable
+from papyrine.sources.snapshot import assignments as current_assignments
+
+__all__ = ["current_assignments", "latest_positions"]
 
 
 def latest_positions(nodes: DataFrame, dims: int = 3) -> DataFrame:
@@ -13,10 +16,3 @@ def latest_positions(nodes: DataFrame, dims: int = 3) -> DataFrame:
     rows = nodes.select("node_id", "ingested_at", F.col("base_pos").cast("array<double>").alias("base_pos"))
     last = rows.groupBy("node_id").agg(F.max(F.struct("ingested_at", "base_pos"))["base_pos"].alias("base_pos"))
     return usable(last, "node_id", "base_pos", dims)
-
-
-def current_assignments(cluster_nodes: DataFrame) -> DataFrame:
-    """``(level_uid, node_id, node_cluster)``: the latest ``assigned_at`` with a non-null cluster counts."""
-    rows = cluster_nodes.filter(F.col("node_cluster").isNotNull())
-    last = F.max(F.struct("assigned_at", "arrived_at", "node_cluster"))["node_cluster"].alias("node_cluster")
-    return rows.groupBy("level_uid", "node_id").agg(last)
