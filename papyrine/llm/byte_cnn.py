@@ -116,27 +116,27 @@ class ByteCnn:
                     sq += 0.001 * (gq * gq - sq)
                     q -= lr * (mq / (1 - 0.9**step)) / (np.sqrt(sq / (1 - 0.999**step)) + 1e-7)
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """For each width, tables over pairs of classes (and one over single classes where the width is odd)."""
+    def tables(self) -> list[tuple[list[np.ndarray], float]]:
+        """For each width, tables over pairs of classes (and one over single classes where the width is odd), as 16-bit integers, and their scale."""
         out = []
         for w in self.w:
-            t = []
-            for j in range(0, len(w) - 1, 2):
-                t.append((w[j][:, None, :] + w[j + 1][None, :, :]).reshape(CLASSES * CLASSES, -1).copy())
+            t = [(w[j][:, None, :] + w[j + 1][None, :, :]).reshape(CLASSES * CLASSES, -1) for j in range(0, len(w) - 1, 2)]
             if len(w) % 2:
-                t.append(w[-1].copy())
-            out.append(t)
+                t.append(w[-1])
+            # A position's sum over all tables stays below the largest integer.
+            scale = 12000 / max(1e-9, float(sum(np.abs(x).max(0) for x in t).max()))
+            out.append(([np.round(x * scale).astype(np.int16) for x in t], scale))
         return out
 
-    def log_probs(self, texts: list[bytes], tables: list | None = None, chunk: int = 8192) -> np.ndarray:
+    def log_probs(self, texts: list[bytes], tables: list | None = None) -> np.ndarray:
         """Log probabilities of each text: those of its windows, added up."""
         x, starts, ends, of = self.windows(texts)
-        z = self._windows_log_probs(x, starts, ends, tables or self.tables(), chunk)
+        z = self._windows_log_probs(x, starts, ends, tables or self.tables())
         out = np.zeros((len(texts), len(self.labels)), dtype=np.float32)
         np.add.at(out, of, z)
         return out
 
-    def line_log_probs(self, data: bytes, tables: list, chunk: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def line_log_probs(self, data: bytes, tables: list) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities and lengths of the lines of ``data`` (one more than it has newlines)."""
         breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
         lengths = np.diff(np.concatenate([[-1], breaks, [len(data)]])) - 1
@@ -146,29 +146,29 @@ class ByteCnn:
         of = np.repeat(np.arange(len(lengths)), count)
         k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         starts = first[of] + k * WINDOW
-        z = self._windows_log_probs(x, starts, np.minimum(starts + WINDOW, (first + lengths)[of]) + 1, tables, chunk)
+        z = self._windows_log_probs(x, starts, np.minimum(starts + WINDOW, (first + lengths)[of]) + 1, tables)
         if len(of) == len(lengths):
             return z, lengths
         return np.add.reduceat(z, np.cumsum(count) - count, axis=0), lengths
 
-    def _windows_log_probs(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: list, chunk: int) -> np.ndarray:
+    def _windows_log_probs(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: list, chunk: int = 2048) -> np.ndarray:
+        """Some 2,048 positions at a time, so that sums stay in the cache; positions between windows are left out."""
         out = np.empty((len(starts), len(self.labels)), dtype=np.float32)
+        size = ends - starts
+        upto = np.concatenate([[0], np.cumsum(size)])
         ids = x.astype(np.intp)
         pairs = ids[:-1] * CLASSES + ids[1:]
         first = 0
         while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + chunk, "right")))
-            lo, hi = int(starts[first]), int(ends[last - 1])
-            bounds = np.stack([starts[first:last], ends[first:last]], 1).ravel() - lo  # every other slice lies between windows
-            bounds = bounds[:-1]
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + chunk, "right")) - 1)
+            at = upto[first:last] - upto[first]
+            pos = np.arange(upto[last] - upto[first]) + np.repeat(starts[first:last] - at, size[first:last])
             feats = []
-            for t, b, n in zip(tables, self.b, self.widths, strict=True):
-                m = min(hi, len(x) - n + 1) - lo
-                y = np.take(t[0], pairs[lo : lo + m], axis=0, mode="clip")
+            for (t, scale), b in zip(tables, self.b, strict=True):
+                y = np.take(t[0], pairs[pos], axis=0, mode="clip")
                 for j in range(1, len(t)):
-                    source = pairs if len(t[j]) > CLASSES else ids
-                    y += np.take(t[j], source[lo + 2 * j : lo + 2 * j + m], axis=0, mode="clip")
-                feats.append(np.maximum(np.maximum.reduceat(y, bounds, axis=0)[::2] + b, 0))
+                    y += np.take(t[j], (pairs if len(t[j]) > CLASSES else ids)[pos + 2 * j], axis=0, mode="clip")
+                feats.append(np.maximum(np.maximum.reduceat(y, at, axis=0) / np.float32(scale) + b, 0))
             z = np.concatenate(feats, 1) @ self.v + self.c
             z -= z.max(1, keepdims=True)
             z -= np.log(np.exp(z).sum(1, keepdims=True))
