@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.session import cut
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
@@ -58,7 +60,7 @@ def rewire(nodes: DataFrame, edges: DataFrame, seed: int = 1) -> DataFrame:
     from pyspark.sql import Window
 
     total = real.count()
-    numbered = real.withColumn("part", F.spark_partition_id())
+    numbered = cut(real.withColumn("part", F.spark_partition_id()))  # numbers of partitions must not change between uses
     k = numbered.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     numbered = numbered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("node_id")) - 1).join(k, "part").select((F.col("offset") + F.col("i")).alias("slot"), F.col("node_id").alias("dst"))
     picked = at.select(F.col("a").alias("src"), F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(max(total, 1))).alias("slot"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.operators import analytics, metrics
 from papyrine.plans.registry import ASSIGN, EDGES, LEVELS, NODE_EDGES, NODES, POSITIONS, query
 from papyrine.plans.tables import SCORES, Domain
+from papyrine.session import cut
 
 _SHARES = """pairs AS (SELECT f.level_no AS fine_level, c.level_no AS coarse_level, f.node_cluster AS fine, c.node_cluster AS coarse, count(*) AS n
     FROM leveled f JOIN leveled c ON f.node_id = c.node_id AND c.level_no < f.level_no WHERE f.node_cluster >= 0 GROUP BY ALL),
@@ -22,7 +23,7 @@ _SHARES = """pairs AS (SELECT f.level_no AS fine_level, c.level_no AS coarse_lev
 def embedded_nodes(spark, d):
     # Row numbers without one sorted partition: offsets of range partitions are added to numbers within them.
     n = Domain(spark, d).nodes.filter("not is_ghost and base_pos is not null").select("node_id", "paper_id")
-    part = n.repartitionByRange(F.col("node_id")).withColumn("part", F.spark_partition_id())
+    part = cut(n.repartitionByRange(F.col("node_id")).withColumn("part", F.spark_partition_id()))  # numbers of partitions must not change between uses
     w = Window.partitionBy("part").orderBy("node_id")
     part = part.withColumn("k", F.row_number().over(w) - 1)
     sizes = part.groupBy("part").agg(F.count("*").alias("size")).withColumn("offset", F.sum("size").over(Window.orderBy("part")) - F.col("size"))
@@ -156,7 +157,7 @@ def ghost_labels(spark, d):
 
 @query("d12_cart_columns", f"""WITH {NODES}, {LEVELS}, lv AS (SELECT node_id, max(CASE WHEN level_no = 0 THEN node_cluster END) AS level_0, max(CASE WHEN level_no = 1 THEN node_cluster END) AS level_1, max(CASE WHEN level_no = 2 THEN node_cluster END) AS level_2, max(CASE WHEN level_no = 3 THEN node_cluster END) AS level_3 FROM leveled GROUP BY node_id),
     {EDGES}, deg AS (SELECT cited_id, count(*) AS cited_by FROM edges GROUP BY 1)
-    SELECT c.row_id, c.paper_id, n.node_id, coalesce(deg.cited_by, 0) AS cited_by, level_0, level_1, level_2, level_3, n.base_pos[1] AS px FROM cart c LEFT JOIN nodes1 n ON n.paper_id = c.paper_id LEFT JOIN deg ON deg.cited_id = c.paper_id LEFT JOIN lv ON lv.node_id = n.node_id""")
+    SELECT c.row_id, c.paper_id, coalesce(n.node_id, -1) AS node_id, coalesce(deg.cited_by, 0) AS cited_by, coalesce(level_0, -2) AS level_0, coalesce(level_1, -2) AS level_1, coalesce(level_2, -2) AS level_2, coalesce(level_3, -2) AS level_3, n.base_pos[1] AS px FROM cart c LEFT JOIN nodes1 n ON n.paper_id = c.paper_id LEFT JOIN deg ON deg.cited_id = c.paper_id LEFT JOIN lv ON lv.node_id = n.node_id""")
 def cart_columns(spark, d):
     dom = Domain(spark, d)
     lv = dom.assign.join(dom.levels.select("level_uid", "level_no"), "level_uid").groupBy("node_id").pivot("level_no", [0, 1, 2, 3]).agg(F.max("node_cluster"))
@@ -164,7 +165,7 @@ def cart_columns(spark, d):
     deg = dom.edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("cited_by"))
     n = dom.nodes.select("paper_id", "node_id", F.get("base_pos", F.lit(0)).alias("px"))
     out = dom.cart.select("row_id", "paper_id").join(n, "paper_id", "left").join(deg, "paper_id", "left").join(lv, "node_id", "left")
-    return out.select("row_id", "paper_id", "node_id", F.coalesce("cited_by", F.lit(0)).alias("cited_by"), "level_0", "level_1", "level_2", "level_3", "px")
+    return out.select("row_id", "paper_id", F.coalesce("node_id", F.lit(-1)).alias("node_id"), F.coalesce("cited_by", F.lit(0)).alias("cited_by"), *(F.coalesce(f"level_{i}", F.lit(-2)).alias(f"level_{i}") for i in range(4)), "px")
 
 
 @query("d13_bridged_pairs", f"""WITH {NODE_EDGES}, bothways AS (SELECT src AS a, dst AS b FROM ne UNION SELECT dst, src FROM ne), g AS (SELECT node_id FROM nodes1 WHERE is_ghost),
@@ -268,11 +269,11 @@ def bridges_per_pair(spark, d):
     return analytics.bridge_counts(dom.assign, dom.levels)
 
 
-@query("e9_contingency", f"WITH {LEVELS} SELECT a.node_cluster AS a, b.node_cluster AS b, count(*) AS n FROM leveled a JOIN leveled b ON a.node_id = b.node_id AND a.level_no = 0 AND b.level_no = 2 GROUP BY CUBE (a.node_cluster, b.node_cluster)")
+@query("e9_contingency", f"WITH {LEVELS} SELECT coalesce(a.node_cluster, -9) AS a, coalesce(b.node_cluster, -9) AS b, count(*) AS n FROM leveled a JOIN leveled b ON a.node_id = b.node_id AND a.level_no = 0 AND b.level_no = 2 GROUP BY CUBE (a.node_cluster, b.node_cluster)")
 def contingency(spark, d):
     dom = Domain(spark, d)
     j = dom.level(0).withColumnRenamed("node_cluster", "a").join(dom.level(2).withColumnRenamed("node_cluster", "b"), "node_id")
-    return j.cube("a", "b").agg(F.count("*").alias("n"))
+    return j.cube("a", "b").agg(F.count("*").alias("n")).select(F.coalesce("a", F.lit(-9)).alias("a"), F.coalesce("b", F.lit(-9)).alias("b"), "n")
 
 
 @query("e11_year_bins", f"WITH {NODES}, r AS (SELECT min(year) AS lo, max(year) AS hi FROM nodes1) SELECT coalesce(least(floor((year - lo) / (hi - lo) * 10), 9), 0)::INT AS bin, count(*) AS n FROM nodes1, r GROUP BY 1")
@@ -372,9 +373,9 @@ def top_links(spark, d):
     return _flow(spark, d).filter("a <> b").withColumn("rn", F.row_number().over(w)).filter("rn <= 8").drop("rn")
 
 
-@query("g7_sorted_nulls_last", "SELECT row_id, in_deg FROM cart ORDER BY in_deg DESC NULLS LAST, row_id LIMIT 100")
+@query("g7_sorted_nulls_last", "SELECT row_id, coalesce(in_deg, -1) AS in_deg FROM cart ORDER BY in_deg DESC NULLS LAST, row_id LIMIT 100")
 def sorted_nulls_last(spark, d):
-    return Domain(spark, d).cart.select("row_id", "in_deg").orderBy(F.desc_nulls_last("in_deg"), "row_id").limit(100)
+    return Domain(spark, d).cart.select("row_id", "in_deg").orderBy(F.desc_nulls_last("in_deg"), "row_id").limit(100).select("row_id", F.coalesce("in_deg", F.lit(-1)).alias("in_deg"))
 
 
 # --- sets --------------------------------------------------------------------------------------------------------
@@ -481,18 +482,18 @@ def most_cited(spark, d):
     return spark.sql("SELECT cited_id, count(*) AS n FROM papyrine_edges GROUP BY cited_id ORDER BY n DESC, cited_id LIMIT 20")
 
 
-@query("s3_what_a_paper_cites", f"WITH {EDGES}, top AS (SELECT citing_id FROM edges GROUP BY 1 ORDER BY count(*) DESC, citing_id LIMIT 1) SELECT n.paper_id, n.node_id, n.year FROM edges e JOIN top USING (citing_id) JOIN ({NODES.split(' AS ', 1)[1][1:-1]}) n ON n.paper_id = e.cited_id")
+@query("s3_what_a_paper_cites", f"WITH {EDGES}, top AS (SELECT citing_id FROM edges GROUP BY 1 ORDER BY count(*) DESC, citing_id LIMIT 1) SELECT n.paper_id, n.node_id, coalesce(n.year, 0) AS year FROM edges e JOIN top USING (citing_id) JOIN ({NODES.split(' AS ', 1)[1][1:-1]}) n ON n.paper_id = e.cited_id")
 def what_a_paper_cites(spark, d):
     dom = Domain(spark, d)
     top = dom.edges.groupBy("citing_id").count().orderBy(F.desc("count"), "citing_id").limit(1).select("citing_id")
-    return dom.edges.join(top, "citing_id").join(dom.nodes, F.col("cited_id") == F.col("paper_id")).select("paper_id", "node_id", "year")
+    return dom.edges.join(top, "citing_id").join(dom.nodes, F.col("cited_id") == F.col("paper_id")).select("paper_id", "node_id", F.coalesce("year", F.lit(0)).alias("year"))
 
 
-@query("s4_who_cites_a_paper", f"WITH {EDGES}, top AS (SELECT cited_id FROM edges GROUP BY 1 ORDER BY count(*) DESC, cited_id LIMIT 1) SELECT n.paper_id, n.node_id, n.year FROM edges e JOIN top USING (cited_id) JOIN ({NODES.split(' AS ', 1)[1][1:-1]}) n ON n.paper_id = e.citing_id")
+@query("s4_who_cites_a_paper", f"WITH {EDGES}, top AS (SELECT cited_id FROM edges GROUP BY 1 ORDER BY count(*) DESC, cited_id LIMIT 1) SELECT n.paper_id, n.node_id, coalesce(n.year, 0) AS year FROM edges e JOIN top USING (cited_id) JOIN ({NODES.split(' AS ', 1)[1][1:-1]}) n ON n.paper_id = e.citing_id")
 def who_cites_a_paper(spark, d):
     dom = Domain(spark, d)
     top = dom.edges.groupBy("cited_id").count().orderBy(F.desc("count"), "cited_id").limit(1).select("cited_id")
-    return dom.edges.join(top, "cited_id").join(dom.nodes, F.col("citing_id") == F.col("paper_id")).select("paper_id", "node_id", "year")
+    return dom.edges.join(top, "cited_id").join(dom.nodes, F.col("citing_id") == F.col("paper_id")).select("paper_id", "node_id", F.coalesce("year", F.lit(0)).alias("year"))
 
 
 @query("s5_counts_by_source", "SELECT coalesce(lower(trim(provenance)), 'none') AS source, count(DISTINCT citing_id) AS citing, count(DISTINCT cited_id) AS cited, count(*) AS n FROM citations GROUP BY 1")

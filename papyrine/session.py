@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
@@ -26,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, by exact name, whatever else the table holds: names that differ in case only, or occur again, don't clash."""
+    at = [df.columns.index(n) for n in names]
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; a local one only where none is set."""
     sc = spark.sparkContext
