@@ -87,4 +87,7 @@ def near_pairs(words: DataFrame, column: str, least: int = 3) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(shard_pairs(sorted(pdf["w"].tolist())), columns=["a", "b"])
 
-    return shards.join(several, ["k", "side", "part"]).groupBy("k", "side", "part").applyInPandas(run, "a string, b string").distinct()
+    keys = ["k", "side", "part"]
+    # The shards' bytes are few for the work they make: spread by number, not by size.
+    spread = shards.join(several, keys).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return spread.groupBy(*keys).applyInPandas(run, "a string, b string").distinct()
