@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.byte_cnn import WINDOW, ByteCnn
+from papyrine.session import exact
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pt"]
 #: Codes and English names of the languages.
@@ -116,11 +117,32 @@ def train(samples: DataFrame, documents: DataFrame, train_docs: int = 3000, line
 _NEAR = {1: 0.7, 2: 1.0, 3: 0.5, 4: 0.5, 5: 0.2, 6: 0.2}
 
 
-def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For lines of documents (``doc`` ascending from 0, without gaps): the lines' languages as probabilities, and each document's main language."""
+def line_marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the lines of UTF-8 bytes: numbers of letters, whether a line is in capitals (a heading or a name), whether it ends in a broken word."""
+    letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) & (raw < 128) | (raw >= 0xC3) & (raw < 0xE0)  # without continuation bytes
+    ends = np.append(np.flatnonzero(raw == 10), len(raw))
+
+    def per_line(flags: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(flags)])[ends]])).astype(float)
+
+    upper, lower = per_line((raw >= 65) & (raw <= 90)), per_line((raw >= 97) & (raw <= 122))
+    padded = np.concatenate([np.zeros(3, dtype=np.uint8), raw])
+    a, b, c = padded[ends], padded[ends + 1], padded[ends + 2]
+    broken = np.isin(c, np.frombuffer(b"-=~*_", dtype=np.uint8)) | (b == 0xC2) & ((c == 0xAC) | (c == 0xAD)) | (a == 0xE2) & (b == 0x80) & ((c >= 0x90) & (c <= 0x92))
+    return per_line(letter), (upper >= 3) & (lower <= 0.15 * upper), broken
+
+
+def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray, capitals: np.ndarray | None = None, broken: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For lines of documents (``doc`` ascending from 0, without gaps): the lines' languages as probabilities, and each document's main language.
+
+    A line in capitals goes with the lines that follow it, a line of a few letters with the line whose broken word it may end.
+    """
+    none = np.zeros(len(doc), dtype=bool)
+    capitals, broken = none if capitals is None else capitals, none if broken is None else broken
     n_docs = int(doc[-1]) + 1
     first = np.searchsorted(doc, np.arange(n_docs))
-    trust = np.minimum(1.0, letters / 14.0)[:, None]
+    trust = (np.minimum(1.0, letters / 14.0) * np.where(capitals, 0.6, 1.0))[:, None]
+    short = (letters <= 8) & ~capitals
     p = np.exp(lp * trust)
     p = p / p.sum(1, keepdims=True) * 0.99 + 0.01 / lp.shape[1]
     weight = np.minimum(letters, 60)[:, None] + 0.01
@@ -144,6 +166,13 @@ def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray) -> tuple[np.nda
                 same = (doc[d:] == doc[:-d])[:, None] * k
                 near[d:] += same * heavy[:-d]
                 near[:-d] += same * heavy[d:]
+        ahead, one, two = np.zeros_like(near), np.zeros_like(near), np.zeros_like(near)
+        ahead[:-1] = (doc[1:] == doc[:-1])[:, None] * heavy[1:]
+        one[1:] = (doc[1:] == doc[:-1])[:, None] * heavy[:-1] * (1 + 3 * broken[:-1, None])
+        if len(doc) > 2:
+            ahead[:-2] += (doc[2:] == doc[:-2])[:, None] * heavy[2:] * 0.3
+            two[2:] = (doc[2:] == doc[:-2])[:, None] * heavy[:-2] * (0.3 + 3 * broken[:-2, None])
+        near = np.where(capitals[:, None], 0.05 * near + ahead, np.where(short[:, None], 0.1 * near + one + two, near))
         near /= near.sum(1, keepdims=True)
         r = q * (near + 0.01)
         r /= r.sum(1, keepdims=True)
@@ -157,20 +186,15 @@ _OUT = "doc_id long, label string, main string, confidence float, line_no array<
 
 def detect(documents: DataFrame, net: ByteCnn, most_bytes: int = 4_000_000) -> DataFrame:
     """``(doc_id, label, main, confidence, line_no[], lang[], sure[])``: the main language and the lines in other languages."""
-    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", label_language(F.col("lang")).alias("label"))
+    src = exact(documents, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), "text", label_language(F.col("lang")).alias("label"))
 
     def some(texts: list[str], tables: list):
         data = [t.encode() for t in texts]
         lp, _ = net.line_log_probs(b"\n".join(data), tables)
         counts = np.array([d.count(b"\n") + 1 for d in data])
         doc = np.repeat(np.arange(len(data)), counts)
-        raw = np.frombuffer(b"\n".join(data), dtype=np.uint8)
-        # Letters of a line: bytes of letters, without continuation bytes.
-        is_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) & (raw < 128) | (raw >= 0xC3) & (raw < 0xE0)
-        ends = np.append(np.flatnonzero(raw == 10), len(raw))
-        cum = np.concatenate([[0], np.cumsum(is_letter)])
-        letters = np.diff(np.concatenate([[0], cum[ends]])).astype(float)
-        r, main = smooth(lp, letters, doc)
+        letters, capitals, broken = line_marks(np.frombuffer(b"\n".join(data), dtype=np.uint8))
+        r, main = smooth(lp, letters, doc, capitals, broken)
         best = r.argmax(1)
         own = best == main[doc]
         first = np.searchsorted(doc, np.arange(len(data)))
