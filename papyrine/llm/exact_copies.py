@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.session import cut
+from papyrine.session import cut, exact
 
 _SALTS = 64
 
@@ -28,7 +28,7 @@ def canonical(col: Column) -> Column:
 
 def encode(df: DataFrame, ident: str, fields: Sequence[str], required: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """``(id, key)``: every row with the integer tuple of its fields."""
-    src = df.select(F.col(f"`{ident}`").alias("id"), *(F.col(f"`{f}`").cast("string").alias(f"f{k}") for k, f in enumerate(fields)))
+    src = exact(df, ident, *fields).select(F.col(f"`{ident}`").alias("id"), *(F.col(f"`{f}`").cast("string").alias(f"f{k}") for k, f in enumerate(fields)))
     for f in required:
         src = src.filter(F.col(f"f{list(fields).index(f)}").isNotNull())
     values = None

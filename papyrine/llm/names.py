@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.trie import near_pairs
 from papyrine.operators.graph import connected_components
-from papyrine.session import cut
+from papyrine.session import cut, exact
 
 #: Usual short forms of given names, full name first, that aren't their beginning or end; a parameter of ``persons``.
 SHORT_FORMS = """
@@ -270,6 +270,7 @@ def venues(spellings: DataFrame) -> DataFrame:
 
 def spellings_of(cart: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(spelling, n)`` of the persons in ``authors`` and of the venues."""
+    cart = exact(cart, "authors", "venue")
     person = cart.select(F.explode(F.split("authors", ";")).alias("s")).select(F.regexp_replace("s", r"^\s+|\s+$", "").alias("spelling"))
     venue = cart.select(F.col("venue").alias("spelling"))
     return tuple(x.filter(F.col("spelling").rlike(r"\p{L}")).groupBy("spelling").agg(F.count("*").alias("n")) for x in (person, venue))

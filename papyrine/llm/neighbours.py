@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.session import cut
+from papyrine.session import cut, exact
 
 _PAIRS = 3_000_000  # candidate pairs held at once
 
@@ -216,7 +216,7 @@ def _columns(batch, dims: int) -> np.ndarray:
 def usable(df: DataFrame, ident: str, vector: str, dims: int) -> DataFrame:
     """``(id, v0, v1, ...)`` of the rows with a usable vector."""
     v = F.col(f"`{vector}`")
-    out = df.select(F.col(f"`{ident}`").cast("long").alias("id"), *(F.get(v, F.lit(i)).cast("double").alias(f"v{i}") for i in range(dims)), F.size(v).alias("n"))
+    out = exact(df, ident, vector).select(F.col(f"`{ident}`").cast("long").alias("id"), *(F.get(v, F.lit(i)).cast("double").alias(f"v{i}") for i in range(dims)), F.size(v).alias("n"))
     for i in range(dims):
         c = F.col(f"v{i}")
         out = out.filter(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.session import exact
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -23,7 +25,7 @@ def encoding(vocabulary: str = VOCABULARY):
 
 def token_counts(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), vocabulary: str = VOCABULARY) -> DataFrame:
     """``(id, tokens, kept columns)``; a null text has 0 tokens. Whole texts are encoded, one Arrow batch at a time."""
-    src = df.select(F.col(f"`{ident}`").cast("long").alias("id"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("text"))
+    src = exact(df, ident, text, *keep).select(F.col(f"`{ident}`").cast("long").alias("id"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("text"))
     names = ["id", *(f"k{i}" for i in range(len(keep)))]
     schema = ", ".join(["id long", *(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "tokens long"])
 

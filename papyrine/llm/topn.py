@@ -68,16 +68,12 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, ident: str, n: int)
     if n < 1:
         return df.limit(0)
     names = df.columns
-    if len({c.lower() for c in names}) < len(names):
-        raise ValueError("column names must be distinct")
-    q = lambda c: F.col(f"`{c}`")
-    indices = [names.index(g) for g in groups]
-    rest = [
-        f.name
-        for f in df.schema.fields
-        if f.name not in {*groups, score, ident} and not isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))
-    ]
-    order = [*(q(g).asc_nulls_first() for g in groups), q(score).desc_nulls_last(), q(ident).asc_nulls_last(), *(q(c).asc_nulls_last() for c in rest)]
-    step = _first_rows(indices, n)
-    local = df.sortWithinPartitions(*order).mapInArrow(step, df.schema)
-    return local.repartition(*(q(g) for g in groups)).sortWithinPartitions(*order).mapInArrow(step, df.schema)
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))  # names that clash don't matter from here on
+    keys, by, tie = [names.index(g) for g in groups], names.index(score), names.index(ident)
+    c = lambda i: F.col(f"c{i}")
+    no_order = (T.MapType, T.VariantType, T.ArrayType, T.StructType)
+    rest = [i for i, f in enumerate(plain.schema.fields) if i not in {*keys, by, tie} and not isinstance(f.dataType, no_order)]
+    order = [*(c(i).asc_nulls_first() for i in keys), c(by).desc_nulls_last(), c(tie).asc_nulls_last(), *(c(i).asc_nulls_last() for i in rest)]
+    step = _first_rows(keys, n)
+    local = plain.sortWithinPartitions(*order).mapInArrow(step, plain.schema)
+    return local.repartition(*(c(i) for i in keys)).sortWithinPartitions(*order).mapInArrow(step, plain.schema).toDF(*names)
