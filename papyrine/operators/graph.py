@@ -81,3 +81,34 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame
         ca, cb = (comp.select(F.col("id").alias(c), F.col("component").alias("n" + c)) for c in "ab")
         live = cut(live.join(ca, "a", "left").join(cb, "b", "left").select("src", "dst", "w", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).filter("a <> b"))
     return tree if tree is not None else e.limit(0)
+
+
+def hop_neighbours(edges: DataFrame, nodes: DataFrame, k: int, most_hops: int = 4, seed: int = 1) -> DataFrame:
+    """``(src, dst, hops)``: for every node k others, the fewest steps away first, among equals by a seeded hash; nodes that reach fewer within
+    ``most_hops`` get hashed others at one step more than the furthest.
+
+    Any k of a layer will do, so a node passes on at most 2 k of its neighbours and hubs don't multiply.
+    """
+    from pyspark.sql import Window
+
+    order = F.xxhash64("a", "b", F.lit(seed))
+    few = symmetric(edges).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(order, "b"))).filter(F.col("r") <= 2 * k).select("a", "b")
+    few = cut(few)
+    found = cut(few.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("hops")))
+    best = Window.partitionBy("src").orderBy("hops", F.xxhash64("src", "dst", F.lit(seed)), "dst")
+    found = cut(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
+    front = found
+    for h in range(2, most_hops + 1):
+        wanting = found.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") < k).select("src")
+        reached = front.join(wanting, "src", "left_semi").join(few, front["dst"] == few["a"]).select("src", F.col("b").alias("dst")).filter("src <> dst").distinct()
+        front = cut(reached.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(h)))
+        if front.isEmpty():
+            break
+        found = cut(found.unionByName(front).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
+    total = nodes.count()
+    slots = nodes.select(F.col("node_id").alias("dst"), F.pmod(F.xxhash64("node_id", F.lit(seed)), F.lit(max(1, total))).alias("slot"))
+    have = nodes.select(F.col("node_id").alias("src")).join(found.groupBy("src").agg(F.count("*").alias("n"), F.max("hops").alias("far")), "src", "left").fillna(0, ["n", "far"])
+    asked = have.filter(F.col("n") < k).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(4 * k)))).withColumn("slot", F.pmod(F.xxhash64("src", "i", F.lit(seed)), F.lit(max(1, total))))
+    padding = asked.join(slots, "slot").filter("src <> dst").select("src", "dst", (F.col("far") + 1).alias("hops")).distinct().join(found, ["src", "dst"], "left_anti")
+    both = found.unionByName(padding)
+    return both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("src", "dst", "hops")

@@ -320,3 +320,16 @@ def tree_tables(df: DataFrame, ident: str, vector: str, min_size: int, min_sampl
         return pd.DataFrame({"node_id": ids, "home": t.home, "level": t.leaf_level})
 
     return src.groupBy().applyInPandas(clusters, "cluster long, parent long, birth double, stability double, size long"), src.groupBy().applyInPandas(leaves, "node_id long, home long, level double")
+
+
+def ladder_levels(df: DataFrame, ident: str, vector: str, min_size: int, min_samples: int = 5, cap: int = 5) -> DataFrame:
+    """``(level_no, node_id, node_cluster)`` of the persistent layers of one tree, coarse to fine."""
+    src = df.select(F.col(ident).cast("long").alias("node_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+
+    def run_levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node_id")
+        found = ladder(fit(np.stack(pdf["v"].to_numpy()), min_samples), min_size, cap)
+        parts = [pd.DataFrame({"level_no": i, "node_id": pdf["node_id"].to_numpy(), "node_cluster": lv}) for i, lv in enumerate(found)]
+        return pd.concat(parts) if parts else pd.DataFrame({"level_no": [], "node_id": [], "node_cluster": []}).astype("int64")
+
+    return src.groupBy().applyInPandas(run_levels, "level_no int, node_id long, node_cluster long")

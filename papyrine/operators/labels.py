@@ -125,3 +125,13 @@ def combined(methods: dict[str, DataFrame], clusters: DataFrame) -> DataFrame:
     if "year" in methods:
         options.append(F.concat(F.col("first_year").cast("string"), F.lit("–"), F.col("last_year").cast("string")))
     return out.select("cluster", F.coalesce(*options, F.lit("(unlabelled)")).alias("label"))
+
+
+def available(texts: DataFrame | None, vectors: DataFrame | None, years: DataFrame | None) -> dict[str, str | None]:
+    """For each method why it can't run, or None if it can."""
+    has = lambda d, c: d is not None and not d.filter(F.col(c).isNotNull()).isEmpty()
+    why_text = None if texts is not None and not texts.filter(F.trim("text") != "").isEmpty() else "needs texts"
+    reasons = {m: why_text for m in METHODS}
+    reasons["representative"] = None if has(vectors, "vec") else "needs vectors"
+    reasons["year"] = None if has(years, "year") else "needs years"
+    return reasons

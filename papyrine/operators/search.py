@@ -142,3 +142,30 @@ def dimension_sweep(df: DataFrame, ident: str, vector: str, dims: list[int], see
 
 def dimension_verdict(result: DataFrame, d1: int, d2: int, threshold: float = 0.9) -> DataFrame:
     return result.filter((F.col("d1") == min(d1, d2)) & (F.col("d2") == max(d1, d2))).select("d1", "d2", (F.col("mean") > threshold).alias("redundant"))
+
+
+def scored(results: DataFrame, scorer: str) -> DataFrame:
+    """``results`` of clusterings with a ``score``, best first: "ari" with the truth, "clusters" their number, "stability" the mean Jaccard, "richness" both multiplied."""
+    score = {"ari": F.col("ari"), "clusters": F.col("clusters").cast("double"), "stability": F.col("macro"), "richness": F.col("clusters") * F.col("macro")}
+    if scorer not in score:
+        raise KeyError(f"no scorer {scorer!r}; there are {', '.join(score)}")
+    return results.withColumn("score", score[scorer]).orderBy(F.desc_nulls_last("score"), F.desc("clusters"), "params")
+
+
+def tagged(results: dict[str, DataFrame]) -> DataFrame:
+    """Results of several passes as one table with the pass as ``source``."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [d.withColumn("source", F.lit(name)) for name, d in results.items()])
+
+
+def layout_sweep(nodes: DataFrame, edges: DataFrame, base: DataFrame, methods: tuple[str, ...] = ("forces", "mds", "umap-graph"), seeds: tuple[int, ...] = (1, 2), top: int = 6) -> DataFrame:
+    """``(method, seed, correlation)`` of layouts aligned with positions component by component, best first."""
+    from papyrine.operators.layout import align_by_component, layout
+    from papyrine.session import cut
+
+    runs = {}
+    for m, s in itertools.product(methods, seeds):
+        placed = cut(layout(m, nodes, edges, seed=s))
+        runs[f"{m}/{s}"] = align_by_component(base, placed, edges)[1].select(F.lit(m).alias("method"), F.lit(s).alias("seed"), F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
+    return tagged(runs).drop("source").orderBy(F.desc("correlation"), "method", "seed").limit(top)

@@ -31,3 +31,12 @@ def add_first_wins(cart: DataFrame, items: DataFrame, key: str = "paper_id") ->
 def matches_text(columns: list[str], query: str):
     """Whether any of the columns contains the text, whatever the case."""
     return F.exists(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), lambda c: F.contains(F.lower(c), F.lit(query.lower())))
+
+
+def is_selected(level_uid: str | None = None, cluster: int | None = None, origin: int | None = None, node: int | None = None):
+    """The predicate of a selection: a cluster of a level, an origin, or a node."""
+    if cluster is not None:
+        return (F.col("level_uid") == level_uid) & (F.col("node_cluster") == cluster)
+    if origin is not None:
+        return F.col("origin_id") == origin
+    return F.col("node_id") == node if node is not None else F.lit(False)

@@ -278,3 +278,36 @@ def test_latin_hypercube_hits_every_bin():
     rows = search.latin_hypercube({"a": {"kind": "float", "min": 0, "max": 10}, "b": {"options": ["x", "y"]}, "c": {"kind": "int", "min": 1, "max": 1000, "scale": "log"}}, 10, 3, {"c": 7})
     assert sorted(int(r["a"]) for r in rows) == list(range(10)) and {r["b"] for r in rows} == {"x", "y"} and {r["c"] for r in rows} == {7}
     assert rows == search.latin_hypercube({"a": {"kind": "float", "min": 0, "max": 10}, "b": {"options": ["x", "y"]}, "c": {"kind": "int", "min": 1, "max": 1000, "scale": "log"}}, 10, 3, {"c": 7})
+
+
+def test_hop_neighbours(spark):
+    from papyrine.operators.graph import hop_neighbours
+
+    nodes = spark.createDataFrame([(i,) for i in range(12)], "node_id long")
+    path = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    rows = hop_neighbours(path, nodes, 3).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["src"], {})[r["dst"]] = r["hops"]
+    assert all(len(v) == 3 and k not in v for k, v in by.items()) and len(by) == 12
+    assert by[0] == {1: 1, 2: 2, 3: 3} and {4, 6} <= set(by[5])
+    assert set(by[11].values()) == {1}  # without links: others by hash, one step away
+
+
+def test_carving(spark):
+    from papyrine.sources import carving
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 2)], "src long, dst long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "node_id long")
+    pairs = lambda d: sorted((r["src"], r["dst"]) for r in d.collect())
+    assert pairs(carving.induced_edges(e, ids(1, 2, 3))) == [(1, 2), (2, 3)]
+    assert pairs(carving.contracted_edges(e, ids(2))) == [(1, 3), (3, 4), (5, 3)]
+    assert carving.random_subset(ids(*range(50)), 7).count() == 7
+    near = carving.connected_subset(e, spark.createDataFrame([(2,)], "id long"), 4).collect()
+    assert {r["node_id"] for r in near} == {1, 2, 3, 5}
+
+
+def test_scorers_and_tags(spark):
+    r = spark.createDataFrame([("a", 3, 0.5, 0.9), ("b", 9, 0.2, 0.4)], "params string, clusters long, ari double, macro double")
+    assert [search.scored(r, s).first()["params"] for s in ("ari", "clusters", "stability", "richness")] == ["a", "b", "a", "b"]
+    assert search.tagged({"pre": r, "post": r}).count() == 4
