@@ -4,7 +4,7 @@ Training, on the driver: lines of clean samples (with misreadings added) and of
 each; labels in other notations are read. A first network leaves out documents and lines that contradict their label; a second one is trained on the rest.
 
 Application: every line of every document is cut into windows of fixed length, whose log probabilities add up. Within a document the languages that are
-present are found by expectation maximisation; then each line weighs its own evidence against its neighbours' languages (lines of
+present are found by expectation maximisation over all lines and by the evidence of the best line or run, whatever the length of the page; then each line weighs its own evidence against its neighbours' languages (lines of
 mixed columns alternate, so near lines count, not only adjacent ones). The main language is the one most characters are in.
 
 Defined results: null, empty and blank texts get no language (null, confidence 0); a page without a letter likewise; very long texts are
@@ -132,6 +132,28 @@ def line_marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return per_line(letter), (upper >= 3) & (lower <= 0.15 * upper), broken
 
 
+#: Natural logarithm of how much more likely a line or run must be in another language than in the main one for that language to be on the page.
+_EVIDENCE = 4.0
+
+
+def evidence(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray, main: np.ndarray, capitals: np.ndarray) -> np.ndarray:
+    """For documents and languages: the log-likelihood gain over the main language of the best run of up to four lines, side by side or every other one.
+
+    It doesn't depend on the length of the page; a line of few letters, often a name, counts less.
+    """
+    rows = np.arange(len(doc))
+    gain = (lp - lp[rows, main[doc]][:, None]) * (np.minimum(1.0, letters / 20.0) * np.where(capitals, 0.6, 1.0))[:, None]
+    best = gain.copy()
+    for step in (1, 2):
+        run = gain
+        for k in range(step, 4 * step, step):
+            if k >= len(doc):
+                break
+            run = run[:-step] + gain[k:]
+            np.maximum(best[:-k], np.where((doc[k:] == doc[:-k])[:, None], run, -np.inf), out=best[:-k])
+    return np.maximum.reduceat(best, np.searchsorted(doc, np.arange(len(main))), axis=0)
+
+
 def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray, capitals: np.ndarray | None = None, broken: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For lines of documents (``doc`` ascending from 0, without gaps): the lines' languages as probabilities, and each document's main language.
 
@@ -153,8 +175,9 @@ def smooth(lp: np.ndarray, letters: np.ndarray, doc: np.ndarray, capitals: np.nd
         r = p * (share[doc] + 1e-4)
         r /= r.sum(1, keepdims=True)
     lines = np.add.reduceat(r * np.minimum(1.0, letters / 15.0)[:, None], first, axis=0)
-    present = lines >= 0.9
-    present[np.arange(n_docs), share.argmax(1)] = True
+    main = share.argmax(1)
+    present = (lines >= 0.9) | (evidence(lp, letters, doc, main, capitals) >= _EVIDENCE)  # many weak lines, or a sure one however long the page
+    present[np.arange(n_docs), main] = True
     q = p * np.where(present[doc], 1.0, 1e-4)
     r = q * (share[doc] + 0.02)
     r /= r.sum(1, keepdims=True)

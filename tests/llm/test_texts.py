@@ -131,6 +131,20 @@ def test_pages_and_passages(spark, trained):
     assert language.cases(language.detect(df.limit(0), trained)).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 300, 1000, 2500])
+def test_one_line_adverts_on_long_pages(size):
+    """A sure line in another language is found however long the page; a doubtful one brings no language in."""
+    rng = np.random.default_rng(size)
+    lp = np.full((size, 7), -9.0) + rng.normal(size=(size, 7))
+    lp[:, 0] = -0.01
+    letters, doc, at = np.full(size, 30.0), np.zeros(size, dtype=int), size // 3
+    lp[at] = [-8, -8, -8, -8, -8, -0.01, -8]
+    lp[at + 20 :: 40, 2] = -0.5  # doubtful lines, each a bit likelier in a third language
+    lp[at + 20 :: 40, 0] = -1.0
+    r, main = language.smooth(lp, letters, doc)
+    assert main.tolist() == [0] and np.flatnonzero(r.argmax(1) != 0).tolist() == [at] and r[at].argmax() == 5
+
+
 def test_held_out_lines(spark):
     """Trained on sf0.01, a network tells the lines of other documents, whose labels are a tenth wrong."""
     from papyrine.session import table
