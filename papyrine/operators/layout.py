@@ -120,19 +120,109 @@ def _smacof(d: np.ndarray, seed: int, rounds: int = 60) -> np.ndarray:
     return y
 
 
-def _forces(n: int, e: np.ndarray, t: np.ndarray, seed: int, rounds: int = 200, radius: float = 90.0) -> np.ndarray:
+def _hops_from(n: int, e: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers of steps from every node (rows) of one component to each of ``starts``, a multiple of 64 of them; all starts go forward together, as bits."""
+    a, b = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
+    b = b[np.argsort(a, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))[:-1]])  # every node of a component has a link
+    bits = np.zeros((n, len(starts)), dtype=np.uint8)
+    bits[starts, np.arange(len(starts))] = 1
+    front = np.packbits(bits, axis=1).view(np.uint64)
+    seen, d, k = front.copy(), np.zeros((n, len(starts)), dtype=np.uint16), 0
+    while front.any():
+        k += 1
+        front = np.bitwise_or.reduceat(front[b], first, axis=0) & ~seen
+        seen |= front
+        d[np.unpackbits(front.view(np.uint8), axis=1).astype(bool)] = k
+    return d
+
+
+def _stress(n: int, e: np.ndarray, seed: int, pivots: int = 256, rounds: int = 60, block: int = 8192) -> np.ndarray:
+    """``_smacof`` of a large component: each node's mean over all others is taken over ``pivots`` random ones, which are laid out first."""
+    starts = np.sort(np.random.default_rng(seed).choice(n, pivots, replace=False))
+    d = _hops_from(n, e, starts)
+    at = _smacof(d[starts].astype(float), seed, rounds)
+    y = np.random.default_rng(seed + 1).normal(size=(n, 3)) * max(1.0, d.max())
+    y[starts] = at
+    square, mean = (at**2).sum(1), at.mean(0)
+    for i in range(0, n, block):
+        z, want = y[i : i + block], d[i : i + block].astype(float)
+        for _ in range(rounds):
+            own = np.sqrt(np.maximum((z**2).sum(1)[:, None] + square - 2 * z @ at.T, 0))
+            ratio = np.divide(want, own, out=np.zeros_like(own), where=own > 1e-6)
+            z = mean + (ratio.sum(1)[:, None] * z - ratio @ at) / pivots
+        y[i : i + block] = z
+    y[starts] = at
+    return y
+
+
+def _repulsion(y: np.ndarray, block: int = 256) -> np.ndarray:
+    """Sums of (a - b) / |a - b|² over all pairs, in blocks of rows."""
+    out = np.empty_like(y)
+    for i in range(0, len(y), block):
+        delta = y[i : i + block, None] - y[None]
+        dist = np.sqrt((delta**2).sum(-1)) + 1e-6
+        out[i : i + block] = (delta * (1 / dist**2)[..., None]).sum(1)
+    return out
+
+
+class _Mesh:
+    """The same sums for many nodes in a ball: those of (a - b) / (|a - b|² + h²) over a mesh of spacing h, by Fourier transforms; the rest, which falls with
+    the third power of the distance, over the cells around a node, by one random node of each of 27 cells, counted as often as the cell has nodes."""
+
+    def __init__(self, half: float, cells: int, seed: int):
+        self.m, self.low, self.h = cells, -half, 2 * half / (cells - 1)
+        x = np.concatenate([np.arange(cells), np.arange(-cells, 0)]) * self.h
+        p, q, r = np.meshgrid(x, x, x, indexing="ij", sparse=True)
+        soft = p**2 + q**2 + r**2 + self.h**2
+        self.kernels = [np.fft.rfftn((c / soft).astype(np.float32)) for c in (p, q, r)]
+        self.rng = np.random.default_rng(seed)
+
+    def __call__(self, y: np.ndarray) -> np.ndarray:
+        m, n = self.m, len(y)
+        u = np.clip((y - self.low) / self.h, 0, m - 1.001)
+        base = u.astype(int)
+        f = u - base
+        cell = (base[:, 0] * m + base[:, 1]) * m + base[:, 2]
+        x, y_, z = (np.stack([1 - f[:, c], f[:, c]]) for c in range(3))
+        spots = [(cell + (a * m + b) * m + c, x[a] * y_[b] * z[c]) for a, b, c in np.ndindex(2, 2, 2)]
+        mass = sum(np.bincount(at, w, m**3) for at, w in spots).reshape(m, m, m)
+        spread = np.fft.rfftn(mass.astype(np.float32), (2 * m,) * 3, (0, 1, 2))
+        out = np.empty((n, 3))
+        for c, kernel in enumerate(self.kernels):
+            field = np.fft.irfftn(spread * kernel, (2 * m,) * 3, (0, 1, 2))[:m, :m, :m].ravel()
+            out[:, c] = sum(w * field[at] for at, w in spots)
+        wide = m + 2  # a margin of empty cells
+        cell = ((base[:, 0] + 1) * wide + base[:, 1] + 1) * wide + base[:, 2] + 1
+        order = np.argsort(cell, kind="stable")
+        out, y, cell = out[order], y[order], cell[order]
+        count = np.bincount(cell, minlength=wide**3)
+        first = np.cumsum(count) - count
+        for a, b, c in np.ndindex(3, 3, 3):
+            near = cell + ((a - 1) * wide + b - 1) * wide + c - 1
+            k = count[near]
+            j = np.minimum(first[near] + (self.rng.random(n) * k).astype(int), n - 1)  # a node picked itself adds nothing, nor does an empty cell
+            delta = y - y[j]
+            d2 = np.einsum("ij,ij->i", delta, delta)
+            out += delta * (k * self.h**2 / ((d2 + 1e-6) * (d2 + self.h**2)))[:, None]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def _forces(n: int, e: np.ndarray, t: np.ndarray, seed: int, rounds: int = 200, radius: float = 90.0, exact: int = 3000) -> np.ndarray:
+    """Beyond ``exact`` nodes the repulsion is that of ``_Mesh``."""
     rng = np.random.default_rng(seed)
     y = rng.normal(size=(n, 3)) * radius / 3
     k = radius * (4 / max(n, 1)) ** (1 / 3)
+    repulsion = _repulsion if n <= exact else _Mesh(1.5 * radius, 64, seed)
     for r in range(rounds):
-        delta = y[:, None] - y[None]
-        dist = np.sqrt((delta**2).sum(-1)) + 1e-6
-        push = (delta * (k * k / dist**2)[..., None]).sum(1)
+        push = repulsion(y) * (k * k)
         if len(e):
             d = y[e[:, 0]] - y[e[:, 1]]
             pull = d * (np.sqrt((d**2).sum(1)) / k)[:, None]
-            np.add.at(push, e[:, 0], -pull)
-            np.add.at(push, e[:, 1], pull)
+            for c in range(3):
+                push[:, c] += np.bincount(e[:, 1], pull[:, c], n) - np.bincount(e[:, 0], pull[:, c], n)
         out = np.sqrt((y**2).sum(1)) + 1e-6
         push -= y / out[:, None] * ((out - (0.2 + 0.8 * (1 - t)) * radius) * 0.5)[:, None]  # older nodes further out
         size = np.sqrt((push**2).sum(1)) + 1e-9
@@ -148,8 +238,8 @@ LAYOUTS = ("forces", "mds", "umap-graph")
 def layout(method: str, nodes: DataFrame, edges: DataFrame, seed: int = 1, most_in_task: int = 3000) -> DataFrame:
     """``(node_id, x, y, z)``: every component laid out in a task of its own; components are set apart by a seeded place.
 
-    Methods with all pairs of a component ("forces", "mds") refuse components beyond ``most_in_task`` nodes; "umap-graph" has no such bound but holds a
-    component's links.
+    In components beyond ``most_in_task`` nodes all pairs are approximated: the repulsion of "forces" on a mesh, the stress of "mds" by random pivots. All
+    methods hold a component's links in one task.
     """
     own = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
     comp = connected_components(edges.select("src", "dst").unionByName(own)).select(F.col("id").alias("src"), "component")
@@ -161,11 +251,11 @@ def layout(method: str, nodes: DataFrame, edges: DataFrame, seed: int = 1, most_
         links = pdf[(pdf["src"] != pdf["dst"]) & pdf["dst"].isin(ids)]
         pairs = np.unique(np.sort(np.stack([np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])], 1), axis=1), axis=0) if len(links) else np.zeros((0, 2), dtype=int)
         n = len(ids)
-        if method in ("forces", "mds") and n > most_in_task:
-            raise ValueError(f"a component of {n} nodes is too large for {method!r}")
         s = (seed * 1_000_003 + int(key[0])) % 2**32
         if n == 1:
             y = np.zeros((1, 3))
+        elif method == "mds" and n > most_in_task:
+            y = _stress(n, pairs, s)
         elif method == "mds":
             near = [[] for _ in range(n)]
             for a, b in pairs.tolist():
@@ -173,7 +263,7 @@ def layout(method: str, nodes: DataFrame, edges: DataFrame, seed: int = 1, most_
                 near[b].append(a)
             y = _smacof(_hops(n, near).astype(float), s)
         elif method == "forces":
-            y = _forces(n, pairs, t, s)
+            y = _forces(n, pairs, t, s, exact=most_in_task)
         else:
             y = embed_neighbours(n, pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), 3, 200, s)
         y = y + np.random.default_rng(s).normal(size=3) * 30 * (1 if n < 10 else 0)

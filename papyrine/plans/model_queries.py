@@ -388,16 +388,14 @@ def drawn_links(spark, d):
 
 @query("r4_layout_forces")
 def layout_forces(spark, d):
-    nodes, _ = mixture.mixture(spark, nodes=120)
-    links = nodes.select(F.col("node_id").alias("src"), F.pmod(F.col("node_id") * 7 + 3, F.lit(120)).alias("dst")).filter("src <> dst")
-    return layout.layout("forces", nodes, links)
+    dom = Domain(spark, d)
+    return layout.layout("forces", dom.nodes, dom.node_edges)
 
 
 @query("r5_layout_mds")
 def layout_mds(spark, d):
-    nodes, _ = mixture.mixture(spark, nodes=120)
-    links = nodes.select(F.col("node_id").alias("src"), F.pmod(F.col("node_id") * 7 + 3, F.lit(120)).alias("dst")).filter("src <> dst")
-    return layout.layout("mds", nodes, links)
+    dom = Domain(spark, d)
+    return layout.layout("mds", dom.nodes, dom.node_edges)
 
 
 @query("r6_layout_graph")

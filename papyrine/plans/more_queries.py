@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyrine.operators import clustering, graph, hdbscan, labels, search, vectors
+from papyrine.operators import clustering, graph, hdbscan, labels, search
 from papyrine.plans.registry import LEVELS, NODE_EDGES, NODES, query
 from papyrine.plans.tables import SCORES, Domain
 from papyrine.session import cut
@@ -59,11 +59,8 @@ def ladder_levels(spark, d):
 
 @query("o8_layout_sweep")
 def layout_sweep(spark, d):
-    nodes, _ = mixture.mixture(spark, nodes=80)
-    nodes = cut(nodes)
-    base = nodes.select("node_id", *(F.get("base_pos", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
-    near = vectors.knn(nodes, "node_id", "base_pos", 3).select("src", "dst")
-    r = search.layout_sweep(nodes, cut(near), base, ("forces", "umap-graph"), (1,))
+    dom = Domain(spark, d)
+    r = search.layout_sweep(cut(dom.nodes), cut(dom.node_edges), dom.positions)
     return r.withColumn("correlation", F.round("correlation", 4))
 
 

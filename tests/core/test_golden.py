@@ -311,3 +311,46 @@ def test_scorers_and_tags(spark):
     r = spark.createDataFrame([("a", 3, 0.5, 0.9), ("b", 9, 0.2, 0.4)], "params string, clusters long, ari double, macro double")
     assert [search.scored(r, s).first()["params"] for s in ("ari", "clusters", "stability", "richness")] == ["a", "b", "a", "b"]
     assert search.tagged({"pre": r, "post": r}).count() == 4
+
+
+@pytest.mark.parametrize("query", ["r4_layout_forces", "r5_layout_mds"])
+def test_layout_queries_place_every_node(spark, small, query):
+    import __spark_entry__ as entry
+    from papyrine.plans.tables import Domain
+
+    got = entry.queries()[query](spark, small).toPandas()
+    want = {r[0] for r in Domain(spark, small).nodes.select("node_id").distinct().collect()}
+    assert set(got.node_id) == want and len(got) == len(want) and np.isfinite(got[["x", "y", "z"]].to_numpy()).all()
+
+
+def test_layout_sweep_has_all_methods_and_seeds(spark, small):
+    import __spark_entry__ as entry
+
+    got = {(r["method"], r["seed"]) for r in entry.queries()["o8_layout_sweep"](spark, small).collect()}
+    assert got == {(m, s) for m in layout.LAYOUTS for s in (1, 2)}
+
+
+def test_layouts_of_large_components(spark):
+    """Beyond the bound of a task the approximations place every node, about as well as all pairs do."""
+    n = 600
+    rng = np.random.default_rng(2)
+    e = sorted({(int(rng.integers(0, i)), i) for i in range(1, n)} | {(a, a + 1) for a in range(0, n - 1, 3)})
+    nodes = spark.createDataFrame([(i, i / n) for i in range(n)], "node_id long, t double")
+    links = spark.createDataFrame(e, "src long, dst long")
+    hops = layout._hops_from(n, np.array(e), np.arange(576)).T.astype(float)
+    stress = {}
+    for method in ("forces", "mds"):
+        for most in (300, 3000):
+            p = layout.layout(method, nodes, links, most_in_task=most).toPandas().sort_values("node_id")
+            assert p.node_id.tolist() == list(range(n))
+            y = p[["x", "y", "z"]].to_numpy()
+            own = np.linalg.norm(y[:576, None] - y[None], axis=-1)
+            own *= (hops * own).sum() / (own**2).sum()
+            stress[method, most] = ((hops - own) ** 2).sum() / (hops**2).sum()
+    assert all(stress[m, 300] < 1.2 * stress[m, 3000] for m in ("forces", "mds"))
+
+
+def test_mesh_repulsion():
+    y = np.random.default_rng(3).normal(size=(1500, 3)) * 30
+    exact, mesh = layout._repulsion(y), layout._Mesh(135.0, 64, 1)(y)
+    assert np.median(np.linalg.norm(exact - mesh, axis=1) / np.linalg.norm(exact, axis=1)) < 0.05
