@@ -29,39 +29,66 @@ from papyrine.llm.trie import near_pairs
 from papyrine.operators.graph import connected_components
 from papyrine.session import cut, exact
 
-#: Usual short forms of given names, full name first, that aren't their beginning or end; a parameter of ``persons``.
+#: Usual short forms of given names, full name first, that aren't their beginning, end or one edit away; a parameter of ``persons``.
 SHORT_FORMS = """
 abigail abby
-alexander sandy sascha sasha sandro
-amelie amy
-benjamin benji benny
-katherine kate kathy katie kit
+alexander sandy sascha sasha sandro lex alec
+amelie amy millie
+anthony tony
+benjamin benji benny benno
+catherine kate kathy katie cathy
+katherine kate kathy katie kit kitty kay
 christopher kit
-dorothea dora dorle
+daniel danny
+deborah debbie
+dorothea dora dorle dolly dot dotty
 edward ed eddie ned ted teddy
-eleanor ellie nell elly nellie
-elizabeth liz betty lizzie betsy libby lisbeth
-francesca franci checca
-friedrich fritz fred rick
+eleanor ellie nell elly nellie lenny
+elizabeth liz betty lizzie betsy libby lisbeth elsie lisa bess
+emil milo
+francesca franci checca franca
+frances fanny frankie
+francis frank
+friedrich fritz fred rick freddy friedel fiete
+frederick freddie
 giuseppe beppe pino peppe beppo peppino
-henrietta hettie hetty hattie
-isabella izzy
-johannes hans jan
-joaquin chimo quim quino
+henrietta hettie hetty hattie harriet henny netti
+henry harry hal hank
+isabella izzy belle bel izzie
+james jim jimmy jamie
+johannes hans jan jo hanno
+john jack johnny
+joaquin chimo quim quino ximo kino
+joseph joe joey
 kaethe kathe kate
-leopold poldi
-margaret maggie peggy meg rita
-michael mike mick
-nikolaus klaus nick
-richard dick rick
-robert bob bobby
-susannah sue zanna susie
-tamara tammy
-theodore ted teddy
-ulrike ulli
-victoria vicky tori
-wilhelmina willa
-william bill
+lazaro lalo
+leopold poldi poldl
+lawrence larry
+margaret maggie peggy meg rita greta madge daisy marge margie
+marton marci
+matthias mats matze matti
+michael mike mick mickey michi micky misha
+nikolaus klaus nick nico claus nikki
+nicholas nick
+patricia trish patty
+patrick paddy
+rebecca becky
+richard dick rick ricky richie
+robert bob bobby robbie
+samuel sammy
+sebastian basti wastl
+stephen steve
+susannah sue zanna susie suzy susi sanna sanne
+susan sue susie
+tamara tammy toma
+theodore ted teddy dora
+thomas tom tommy
+tomas tomi
+ulrike ulli uli
+victoria vicky tori vicki tory
+walter wally wat
+wilhelmina willa minna wilma billie minnie
+william bill billy willy wim
 yvonne yvi
 zachary zak zack
 """.split("\n")

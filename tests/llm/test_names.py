@@ -74,3 +74,12 @@ def test_pairs_and_empty_tables(spark):
     got = [tuple(r) for r in names.pairs(names.variants(df)).collect()]
     assert sorted(got) == [("author", "Ann Telbogor", "Telbogor, Ann"), ("author", "Ann Telbogor", "ann telbogor"), ("author", "Telbogor, Ann", "ann telbogor")]
     assert names.pairs(names.variants(df.limit(0))).count() == 0
+
+
+def test_short_forms_no_rule_covers(spark):
+    pairs = [("James", "Jim"), ("John", "Jack"), ("Anthony", "Tony"), ("Stephen", "Steve"), ("Lawrence", "Larry"), ("Henry", "Harry"), ("Patrick", "Paddy"), ("Joseph", "Joey"), ("Rebecca", "Becky"), ("Sebastian", "Basti"), ("Matthias", "Matze"), ("Walter", "Wally")]
+    known = {(line.split()[0], w) for line in names.SHORT_FORMS if line.strip() for w in line.split()[1:]}
+    assert {(a.lower(), b.lower()) for a, b in pairs} <= known
+    rows = [(f"{given} {family}", 2) for family, pair in (("Quillfeather", pairs[0]), ("Brandtmeyer", pairs[9])) for given in pair]
+    entity = {r["spelling"]: r["entity"] for r in names.persons(spark.createDataFrame(rows, "spelling string, n long")).collect()}
+    assert entity["James Quillfeather"] == entity["Jim Quillfeather"] and entity["Sebastian Brandtmeyer"] == entity["Basti Brandtmeyer"]
