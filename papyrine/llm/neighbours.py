@@ -1,17 +1,25 @@
 """The k nearest vectors of every vector, by multiprobe p-stable hashing.
 
 1. Rows of one position are cut to its k + 1 smallest identifiers, so that no position, however often repeated, fills a block.
-2. A k-d tree over a bounded sample of positions (``sample_rows``; it only balances the blocks, no result depends on it) gives
-   blocks of about ``block_rows`` rows.
+2. A k-d tree over a sample of positions, ``per_leaf`` of them a block at least (it only balances the blocks), gives blocks of about ``block_rows`` rows.
+
+Exact, the way for up to three dimensions (``exact=True``):
+
 3. In a block every table hashes positions by floor(R x / w + b) with Gaussian directions made orthogonal within the table.
    A query visits the perturbed buckets in the order of their estimated success (squared distance to the bucket, which for
    orthogonal directions is also a lower bound); the candidates of all tables are merged and reranked by exact distance. Buckets
    that may still hold a nearer row follow until none is left, with w doubled for queries whose neighbours lie further than
    the perturbed buckets reach.
-4. A query whose k-th distance passes its block's border visits, in a second round, the blocks its ball meets.
+4. A query whose k-th distance passes its block's border goes down the tree with its ball, in a second round, to the blocks the ball meets.
+
+Approximate, the way for more dimensions (``exact=False``), where a ball meets nearly every block:
+
+5. Every table has directions of its own (``directions`` Gaussian ones, made orthogonal) and a tree over the projected positions, whose splits are the borders of its hash buckets.
+   A query visits its bucket and the ``probes`` buckets behind the borders it is nearest to, in the order of estimated success (distance to the border crossed);
+   within a bucket all rows are compared by exact distance in all dimensions, and the candidates of all tables and probes are merged. Work is proportional to
+   rows x tables x (probes + 1) x ``block_rows``.
 
-With as many directions as dimensions, or three, whichever is fewer, the bounds of 3. and 4. make the answer exact; hashing decides
-the order of work, not the result. Memory is bounded by a block.
+Memory is bounded by a block. The driver holds the sample: ``per_leaf`` / ``block_rows`` of the rows (1 / 512), and executors the tree, one split a block.
 
 Defined results: rows whose vector is null, has another length than ``dims`` or isn't finite take no part. Of equally near rows
 the smaller identifier goes first; a row isn't its own neighbour, a repeated position is (at distance 0). Identifiers must be unique.
@@ -58,6 +66,41 @@ class KdTree:
             node = 2 * node + (x[np.arange(len(x)), self.axis[node]] >= self.at[node])
         return node - 2**self.depth
 
+    def reach(self, x: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and leaves: every leaf that the ball around a row, of squared radius ``r2``, may meet; all rows go down the tree together."""
+        row, node, off = np.arange(len(x)), np.ones(len(x), dtype=np.int64), np.zeros((len(x), self.dims))
+        for _ in range(self.depth):
+            a = self.axis[node]
+            gap = x[row, a] - self.at[node]
+            right = gap >= 0
+            far = off.copy()
+            far[np.arange(len(row)), a] = np.maximum(far[np.arange(len(row)), a], np.abs(gap))  # distance to the far side, axis by axis
+            over = np.isfinite(gap) & ((far**2).sum(1) <= r2[row])
+            node = 2 * node
+            row, node, off = np.concatenate([row, row[over]]), np.concatenate([node + right, node[over] + ~right[over]]), np.concatenate([off, far[over]])
+        return row, node - 2**self.depth
+
+    def probes(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and leaves: for each row up to ``most`` leaves besides its own, those behind the splits it is nearest to, nearest first."""
+        path, node = [], np.ones(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            path.append(node)
+            node = 2 * node + (x[np.arange(len(x)), self.axis[node]] >= self.at[node])
+        if not path:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        nodes = np.stack(path, 1)
+        gaps = np.abs(np.take_along_axis(x, self.axis[nodes], 1) - self.at[nodes])
+        best = np.argsort(gaps, axis=1, kind="stable")[:, :most]
+        row = np.repeat(np.arange(len(x)), best.shape[1])
+        level = best.ravel()
+        row, level = row[np.isfinite(gaps[row, level])], level[np.isfinite(gaps[row, level])]
+        at = nodes[row, level]
+        at = 2 * at + (x[row, self.axis[at]] < self.at[at])  # over to the other side
+        for step in range(self.depth - 1):
+            down = level + 1 + step < self.depth
+            at = np.where(down, 2 * at + (x[row, self.axis[np.where(down, at, 1)]] >= self.at[np.where(down, at, 1)]), at)
+        return row, at - 2**self.depth
+
     def regions(self) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper corners of the leaves' regions; outer sides are infinite."""
         n = 2**self.depth
@@ -231,19 +274,42 @@ class Neighbours:
         self.base, self.lists, self.crowded, self.k, self.dims, self.depth = base, lists, crowded, k, dims, depth
 
 
-def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, sample_rows: int = 40_000, seed: int = 7) -> Neighbours:
-    """For each distinct position of ``points`` (from ``usable``) the k + 1 nearest rows, its own among them."""
+def _sample(rows: DataFrame, vs: list[str], n: int, leaves: int, per_leaf: int, seed: int) -> np.ndarray:
+    """Positions for a tree: all of few rows, else ``per_leaf`` for each leaf, 40,000 at least."""
+    want = max(40_000, per_leaf * leaves)
+    some = rows.select(*vs)
+    if n > want:
+        some = some.sample(min(1.0, want / n), seed)
+    got = some.toArrow()
+    return np.column_stack([got.column(v).to_numpy() for v in vs]).astype(float) if got.num_rows else np.zeros((0, len(vs)))
+
+
+def _answer(vs: list[str], ids, q, leaf, dist, rows, base_ids, open_) -> pa.Table:
+    nid = np.where(rows >= 0, base_ids[np.maximum(rows, 0)] if len(base_ids) else -1, -1)
+    keep = rows >= 0
+    offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32())
+    cols = [pa.array(ids, pa.int64()), *(pa.array(q[:, i]) for i in range(len(vs))), pa.array(leaf, pa.int64())]
+    cols += [pa.ListArray.from_arrays(offsets, pa.array(dist[keep])), pa.ListArray.from_arrays(offsets, pa.array(nid[keep], pa.int64())), pa.array(open_)]
+    return pa.Table.from_arrays(cols, names=["id", *vs, "leaf", "d2", "nid", "open"])
+
+
+def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, per_leaf: int = 32, seed: int = 7, exact: bool | None = None, **approximate) -> Neighbours:
+    """For each distinct position of ``points`` (from ``usable``) the k + 1 nearest rows, its own among them.
+
+    ``exact`` is the rule up to three dimensions; beyond, ``approximate`` takes ``tables``, ``probes``, ``directions`` and ``bucket_rows``.
+    """
     vs = [f"v{i}" for i in range(dims)]
     k1 = k + 1
     w = Window.partitionBy(*vs).orderBy("id")
-    ranked = points.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k1 + 1)
-    ranked = cut(ranked)
+    ranked = cut(points.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k1 + 1))
     n = ranked.count()
-    sample = ranked.select(*vs)
-    if n > sample_rows:
-        sample = sample.sample(0.9 * sample_rows / n, seed)
-    x = np.array([tuple(r) for r in sample.toLocalIterator()], dtype=float).reshape(-1, dims)
-    tree = KdTree(x, -(-n // block_rows))
+    crowded = ranked.filter(F.col("rn") == k1 + 1).select(*vs)
+    crowded = None if crowded.isEmpty() else crowded
+    if not (dims <= 3 if exact is None else exact):
+        base, lists = _approximate(ranked.filter(F.col("rn") <= k1).select("id", *vs, "rn"), k1, dims, n, per_leaf, seed, **approximate)
+        return Neighbours(base, lists, crowded, k, dims, 0)
+    leaves = -(-n // block_rows)
+    tree = KdTree(_sample(ranked, vs, n, leaves, per_leaf, seed), leaves)
     names = ["id", *vs, "rn"]
 
     def with_leaf(batches):
@@ -254,14 +320,6 @@ def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, sampl
     lo, hi = tree.regions()
     found_schema = ", ".join(["id long", *(f"{v} double" for v in vs), "leaf long", "d2 array<double>", "nid array<long>", "open double"])
 
-    def answer(ids, q, leaf, dist, rows, base_ids, open_) -> pa.Table:
-        nid = np.where(rows >= 0, base_ids[np.maximum(rows, 0)], -1)
-        keep = rows >= 0
-        offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32())
-        cols = [pa.array(ids, pa.int64()), *(pa.array(q[:, i]) for i in range(dims)), pa.array(leaf, pa.int64())]
-        cols += [pa.ListArray.from_arrays(offsets, pa.array(dist[keep])), pa.ListArray.from_arrays(offsets, pa.array(nid[keep], pa.int64())), pa.array(open_)]
-        return pa.Table.from_arrays(cols, names=["id", *vs, "leaf", "d2", "nid", "open"])
-
     def inside(tab: pa.Table) -> pa.Table:
         tab = tab.combine_chunks()
         x, ids, leaf = _columns(tab, dims), tab.column("id").to_numpy(), int(tab.column("leaf")[0].as_py())
@@ -272,48 +330,93 @@ def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, sampl
         open_ = np.where(dist[:, -1] < border**2, -1.0, dist[:, -1])
         if tree.depth == 0:
             open_[:] = -1.0
-        return answer(ids[ask], q, np.full(len(q), leaf), dist, rows, ids, open_)
+        return _answer(vs, ids[ask], q, np.full(len(q), leaf), dist, rows, ids, open_)
 
     first = base.groupBy("leaf").applyInArrow(inside, found_schema)
     if tree.depth == 0:
-        lists = cut(first.select("id", "leaf", "d2", "nid"))
-    else:
-        first = cut(first)
-        # One row for each block: their number is rows / block_rows, 72 bytes each.
-        boxes = base.groupBy("leaf").agg(*(F.min(v).alias(f"lo_{v}") for v in vs), *(F.max(v).alias(f"hi_{v}") for v in vs)).collect()
-        leaves = np.array([b["leaf"] for b in boxes])
-        blo, bhi = (np.array([[b[f"{s}_{v}"] for v in vs] for b in boxes]) for s in ("lo", "hi"))
-        qnames = ["id", *vs, "leaf", "open"]
-
-        def route(batches):
-            for b in batches:
-                q, own, r2 = _columns(b, dims), b.column("leaf").to_numpy(), b.column("open").to_numpy()
-                for s in range(0, len(q), 2048):
-                    part = q[s : s + 2048]
-                    gap = np.zeros((len(part), len(leaves)))
-                    for i in range(dims):
-                        gap += np.maximum(0, np.maximum(blo[None, :, i] - part[:, i, None], part[:, i, None] - bhi[None, :, i])) ** 2
-                    qi, li = np.nonzero((gap <= r2[s : s + 2048, None]) & (leaves[None, :] != own[s : s + 2048, None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(b.column("id").to_numpy()[s : s + 2048][qi]), *(pa.array(part[qi, i]) for i in range(dims)), pa.array(leaves[li]), pa.array(r2[s : s + 2048][qi])], names=qnames)
-
-        asked = first.filter(F.col("open") >= 0).select(*qnames).mapInArrow(route, ", ".join(["id long", *(f"{v} double" for v in vs), "leaf long", "open double"]))
-        both = base.select("id", *vs, "leaf", F.lit(-1.0).alias("open")).unionByName(asked)
-
-        def outside(tab: pa.Table) -> pa.Table:
-            tab = tab.combine_chunks()
-            x, ids, open_ = _columns(tab, dims), tab.column("id").to_numpy(), tab.column("open").to_numpy()
-            ask = open_ >= 0
-            dist, rows = search(x[~ask], ids[~ask], x[ask], open_[ask], k1, seed)
-            some = rows[:, 0] >= 0
-            return answer(ids[ask][some], x[ask][some], tab.column("leaf").to_numpy()[ask][some], dist[some], rows[some], ids[~ask], open_[ask][some])
-
-        second = both.groupBy("leaf").applyInArrow(outside, found_schema)
-        pairs = F.arrays_zip("d2", "nid").alias("p")
-        more = first.filter(F.col("open") >= 0).select("id", "leaf", pairs).unionByName(second.select("id", F.lit(-1).cast("long").alias("leaf"), pairs))
-        merged = more.groupBy("id").agg(F.max("leaf").alias("leaf"), F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k1).alias("p")).select("id", "leaf", F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid"))
-        lists = cut(first.filter(F.col("open") < 0).select("id", "leaf", "d2", "nid").unionByName(merged))
-    crowded = ranked.filter(F.col("rn") == k1 + 1).select(*vs)
-    return Neighbours(base, lists, None if crowded.isEmpty() else crowded, k, dims, tree.depth)
+        return Neighbours(base, cut(first.select("id", "leaf", "d2", "nid")), crowded, k, dims, tree.depth)
+    first = cut(first)
+    qnames = ["id", *vs, "leaf", "open"]
+
+    def route(batches):
+        for b in batches:
+            q, own, r2, ids = _columns(b, dims), b.column("leaf").to_numpy(), b.column("open").to_numpy(), b.column("id").to_numpy()
+            for s in range(0, len(q), 2048):
+                part = q[s : s + 2048]
+                qi, li = tree.reach(part, r2[s : s + 2048])
+                other = li != own[s : s + 2048][qi]
+                qi, li = qi[other], li[other]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 2048][qi]), *(pa.array(part[qi, i]) for i in range(dims)), pa.array(li), pa.array(r2[s : s + 2048][qi])], names=qnames)
+
+    asked = first.filter(F.col("open") >= 0).select(*qnames).mapInArrow(route, ", ".join(["id long", *(f"{v} double" for v in vs), "leaf long", "open double"]))
+    both = base.select("id", *vs, "leaf", F.lit(-1.0).alias("open")).unionByName(asked)
+
+    def outside(tab: pa.Table) -> pa.Table:
+        tab = tab.combine_chunks()
+        x, ids, open_ = _columns(tab, dims), tab.column("id").to_numpy(), tab.column("open").to_numpy()
+        ask = open_ >= 0
+        dist, rows = search(x[~ask], ids[~ask], x[ask], open_[ask], k1, seed)
+        some = rows[:, 0] >= 0
+        return _answer(vs, ids[ask][some], x[ask][some], tab.column("leaf").to_numpy()[ask][some], dist[some], rows[some], ids[~ask], open_[ask][some])
+
+    second = both.groupBy("leaf").applyInArrow(outside, found_schema)
+    pairs = F.arrays_zip("d2", "nid").alias("p")
+    more = first.filter(F.col("open") >= 0).select("id", "leaf", pairs).unionByName(second.select("id", F.lit(-1).cast("long").alias("leaf"), pairs))
+    merged = more.groupBy("id").agg(F.max("leaf").alias("leaf"), F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k1).alias("p")).select("id", "leaf", F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid"))
+    lists = cut(first.filter(F.col("open") < 0).select("id", "leaf", "d2", "nid").unionByName(merged))
+    return Neighbours(base, lists, crowded, k, dims, tree.depth)
+
+
+def _nearest_in(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of ``x`` to each query by comparing all, some hundred queries at a time; distances of those kept are computed again without cancellation."""
+    order = np.argsort(ids, kind="stable")
+    x, m = x[order], min(k, len(x))
+    square, dist, found = (x**2).sum(1), np.full((len(q), k), np.inf), np.full((len(q), k), -1, dtype=np.int64)
+    for s in range(0, len(q), 512):
+        part = q[s : s + 512]
+        d = square - 2 * part @ x.T
+        near = np.argpartition(d, m - 1, axis=1)[:, : min(len(x), m + 8)] if m < len(x) else np.broadcast_to(np.arange(len(x)), d.shape)
+        if near.shape[1] < min(len(x), m + 8):
+            near = np.argsort(d, axis=1)[:, : m + 8]
+        near = np.sort(near, axis=1)
+        exact = ((x[near] - part[:, None, :]) ** 2).sum(2)
+        best = np.argsort(exact, axis=1, kind="stable")[:, :m]
+        dist[s : s + 512, :m], found[s : s + 512, :m] = np.take_along_axis(exact, best, 1), order[np.take_along_axis(near, best, 1)]
+    return dist, found
+
+
+def _approximate(base: DataFrame, k1: int, dims: int, n: int, per_leaf: int, seed: int, tables: int = 6, probes: int = 3, directions: int = 16, bucket_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """``base`` and the lists found by ``tables`` tables of hash buckets."""
+    vs, leaves, m = [f"v{i}" for i in range(dims)], -(-n // bucket_rows), min(dims, directions)
+    rng = np.random.default_rng(seed)
+    turns = [np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :m] for _ in range(tables)]
+    x = _sample(base, vs, n, leaves, per_leaf, seed)
+    trees = [KdTree(x @ r, leaves) for r in turns]
+    schema = ", ".join(["tab int", "leaf long", "id long", *(f"{v} double" for v in vs), "ask boolean", "home boolean"])
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def hashed(batches):
+        for b in batches:
+            x, ids, ask = _columns(b, dims), b.column("id").to_numpy(), b.column("rn").to_numpy() == 1
+            for t, (r, tree) in enumerate(zip(turns, trees, strict=True)):
+                y = x @ r
+                row, leaf = tree.probes(y[ask], probes)
+                row = np.concatenate([np.arange(len(x)), np.flatnonzero(ask)[row]])
+                leaf = np.concatenate([tree.leaf(y), leaf])
+                home = np.arange(len(row)) < len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, dtype=np.int32)), pa.array(leaf), pa.array(ids[row]), *(pa.array(x[row, i]) for i in range(dims)), pa.array(ask[row]), pa.array(home)], names=names)
+
+    def compare(tab: pa.Table) -> pa.Table:
+        tab = tab.combine_chunks()
+        x, ids, ask, home = _columns(tab, dims), tab.column("id").to_numpy(), tab.column("ask").to_numpy(zero_copy_only=False), tab.column("home").to_numpy(zero_copy_only=False)
+        dist, rows = _nearest_in(x[home], ids[home], x[ask], k1) if home.any() else (np.full((int(ask.sum()), k1), np.inf), np.full((int(ask.sum()), k1), -1, dtype=np.int64))
+        out = _answer(vs, ids[ask], x[ask], np.zeros(int(ask.sum())), dist, rows, ids[home], np.zeros(int(ask.sum())))
+        return out.select(["id", "d2", "nid"])
+
+    found = base.mapInArrow(hashed, schema).groupBy("tab", "leaf").applyInArrow(compare, "id long, d2 array<double>, nid array<long>")
+    p = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("d2", "nid"))))), 1, k1)
+    lists = found.groupBy("id").agg(p.alias("p")).select("id", F.lit(0).cast("long").alias("leaf"), F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid"))
+    return base.withColumn("leaf", F.lit(0).cast("long")), cut(lists)
 
 
 def of_every_row(points: DataFrame, found: Neighbours) -> DataFrame:

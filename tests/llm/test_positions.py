@@ -35,6 +35,37 @@ def test_nearest_against_brute_force(spark, block, dims):
     assert got == want  # recall 1, where 0.9 would do
 
 
+@pytest.mark.parametrize("dims", [16, 64])
+def test_nearest_of_many_dimensions(spark, dims):
+    """Recall of at least 0.9 by the production parameters, over buckets of which a query sees a few only."""
+    rng = np.random.default_rng(dims)
+    n = 6000
+    x = rng.normal(size=(40, dims))[rng.integers(0, 40, n)] * 0.6 + rng.normal(size=(n, dims)) * rng.uniform(0.2, 1.0, (n, 1)) * 0.3
+    x[:7] = x[0]
+    p = neighbours.usable(frame(spark, x), "id", "v", dims)
+    got = lists(p, neighbours.nearest(p, 5, dims, bucket_rows=256))
+    asked = range(0, n, 50)
+    hits = 0
+    for i in asked:
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:5].tolist()) & set(got[i]))
+    assert hits / (5 * len(asked)) >= 0.9
+    assert got[0] == [1, 2, 3, 4, 5] and all(len(v) == 5 and i not in v for i, v in got.items())
+
+
+def test_tree_descent():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3))
+    tree = neighbours.KdTree(x, 64)
+    lo, hi = tree.regions()
+    q, r2 = rng.normal(size=(50, 3)), rng.uniform(0, 1, 50) ** 2
+    gap = (np.maximum(0, np.maximum(lo[None] - q[:, None], q[:, None] - hi[None])) ** 2).sum(2)
+    assert sorted(zip(*(a.tolist() for a in tree.reach(q, r2)), strict=True)) == sorted(zip(*(a.tolist() for a in np.nonzero(gap <= r2[:, None])), strict=True))
+    row, leaf = tree.probes(q, 3)
+    assert len(set(zip(row.tolist(), leaf.tolist(), strict=True))) == 150 and not (leaf == tree.leaf(q)[row]).any()
+
+
 def test_nearest_skips_unusable_rows(spark):
     rows = [(1, [0.0, 0.0, 0.0], "a"), (2, [1.0, 0.0, 0.0], "b"), (3, None, "c"), (4, [1.0, 2.0], "d"), (5, [float("nan"), 0.0, 0.0], "e"), (6, [float("inf"), 0.0, 0.0], "f"), (7, [None, 0.0, 0.0], "g"), (8, [0.0, 0.0, 0.0, 0.0], "h"), (None, [0.0, 0.0, 0.0], "i")]
     df = spark.createDataFrame(rows, "id long, v array<double>, leaf string")
