@@ -38,24 +38,29 @@ _STEPS = 4096  # levels in a unit of the natural logarithm
 
 
 def reach_edges(found: Neighbours, min_samples: int) -> DataFrame:
-    """Half-records ``(u, v, w, c, lu, lv)`` of the mutual-reachability graph, both directions; c starts as u."""
+    """Records ``(u, v, w, c, lu, lv)`` of the mutual-reachability graph, c being u; an edge within a block once, one between blocks in both directions."""
     k = found.k
     p = found.lists.select("leaf", F.arrays_zip("d2", "nid").alias("p"))
     each = p.select("leaf", "p", F.explode(F.expr("filter(p, e -> e.d2 = 0)")).alias("s"))
     each = each.select("leaf", F.col("s.nid").alias("u"), F.expr(f"slice(filter(p, e -> e.nid <> s.nid), 1, {k})").alias("p")).filter(F.size("p") > 0)
-    each = each.withColumn("core", F.sqrt(F.element_at("p", F.least(F.lit(min_samples), F.size("p")))["d2"]))
-    out = each.select(F.col("leaf").alias("lu"), "u", "core", F.explode("p").alias("e")).select("lu", "u", "core", F.col("e.nid").alias("v"), F.sqrt("e.d2").alias("d"))
-    far = each.select(F.col("u").alias("v"), F.col("core").alias("core_v"), F.col("leaf").alias("lv"))
-    edges = out.join(far, "v").select("u", "v", F.greatest("core", "core_v", "d").alias("w"), "lu", "lv")
-    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", F.col("lv").alias("lu"), F.col("lu").alias("lv"))
-    return edges.unionByName(turned).select("u", "v", "w", F.col("u").alias("c"), "lu", "lv")
+    each = each.withColumn("core", F.sqrt(F.element_at("p", F.least(F.lit(min_samples), F.size("p")))["d2"])).withColumn("last", F.element_at("p", -1)["d2"])
+    out = each.select(F.col("leaf").alias("lu"), "u", "core", F.explode("p").alias("e")).select("lu", "u", "core", F.col("e.nid").alias("v"), F.col("e.d2").alias("d2"))
+    far = each.select(F.col("u").alias("v"), F.col("core").alias("core_v"), F.col("leaf").alias("lv"), "last")
+    # If v is sure to have u among its nearest too, the edge comes once, from the smaller of them.
+    edges = out.join(far, "v").filter(~((F.col("d2") < F.col("last")) & (F.col("u") > F.col("v")))).select("u", "v", F.greatest("core", "core_v", F.sqrt("d2")).alias("w"), "lu", "lv")
+    ends = F.array(F.struct("u", "v", "lu", "lv"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("lv").alias("lu"), F.col("lu").alias("lv")))
+    halves = edges.select("w", F.explode(F.when(F.col("lu") == F.col("lv"), F.slice(ends, 1, 1)).otherwise(ends)).alias("e"))
+    return halves.select("e.u", "e.v", "w", F.col("e.u").alias("c"), "e.lu", "e.lv")
 
 
-def _boruvka(shift: int):
-    """Borůvka's steps inside one block: kind 0 are edges of the tree, kind 1 what is still open."""
+def _boruvka(shift: int, single: bool):
+    """Borůvka's steps inside one block: kind 0 are edges of the tree, kind 1 what is still open; ``single``: edges within a block come in one direction."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v, w, c, lu, lv = (pdf[x].to_numpy() for x in ("u", "v", "w", "c", "lu", "lv"))
+        if single:
+            own = lu == lv
+            u, v, w, c, lu, lv = (np.concatenate([x, y[own]]) for x, y in ((u, v), (v, u), (w, w), (c, v), (lu, lv), (lv, lu)))
         a, b = np.minimum(u, v), np.maximum(u, v)
         order = np.lexsort((u, b, a, w))
         u, v, w, c, lu, lv, a, b = (x[order] for x in (u, v, w, c, lu, lv, a, b))
@@ -113,7 +118,7 @@ def spanning_forest(half: DataFrame, depth: int) -> DataFrame:
     """``(u, v, w, lu, lv)``: the minimum spanning forest of the graph given by half-records, with the blocks of the ends."""
     tree, open_, shift = None, half, 0
     while True:
-        step = cut(open_.groupBy(F.expr(f"shiftright(lu, {shift})")).applyInPandas(_boruvka(shift), _HALF))
+        step = cut(open_.groupBy(F.expr(f"shiftright(lu, {shift})")).applyInPandas(_boruvka(shift, tree is None), _HALF))
         part = step.filter("kind = 0").select("u", "v", "w", "lu", "lv")
         tree = part if tree is None else tree.unionByName(part)
         if shift >= depth:

@@ -138,7 +138,7 @@ def test_spanning_forest_is_minimal(spark):
         return i
 
     total = n = 0
-    for r in half[half.u < half.v].sort_values("w").itertuples():
+    for r in half.sort_values("w").itertuples():
         a, b = find(r.u), find(r.v)
         if a != b:
             parent[a] = b
