@@ -9,7 +9,7 @@ Memory: ``open_windows`` containers a partition, ``merge_rows`` of them a group.
 table's rows and the parameters only.
 
 Defined results: items of size 0 (null or empty texts) take a place; rows with a null identifier, a null or negative size take no part; a repeated
-identifier is packed as often as it occurs; capacities that are null or under 1 are left out, of equal names the largest counts; empty tables give an empty result.
+identifier is packed as often as it occurs, each time in a place of its own (containers are named by partition and running number); capacities that are null or under 1 are left out, of equal names the largest counts; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,37 +30,44 @@ _COLS = [c.split()[0] for c in PLACED.split(", ")]
 class _Windows:
     """The open containers of one capacity."""
 
-    def __init__(self, name: str, capacity: int, most: int):
-        self.name, self.capacity, self.most = name, capacity, most
+    def __init__(self, name: str, capacity: int, most: int, partition: int):
+        self.name, self.capacity, self.most, self.partition = name, capacity, most, partition
         self.room: list[tuple[int, int]] = []  # (room left, number), ascending
         self.content: dict[int, list] = {}
         self.next = 0
 
-    def put(self, item: int, piece: int, start: int, size: int) -> list | None:
-        """Places an item; the content of the container that had to be emitted for it, if any."""
-        out = None
+    def new(self) -> int:
+        self.next += 1
+        return self.next - 1
+
+    def put(self, item: int, piece: int, start: int, size: int) -> list[tuple]:
+        """Places an item; the rows of the containers that are done by it."""
+        out = []
         at = bisect_left(self.room, (size, -1))
         if at < len(self.room):
             room, number = self.room.pop(at)
         else:
             if len(self.room) >= self.most:
-                out = self.content.pop(self.room.pop(0)[1])
-            room, number = self.capacity, self.next
-            self.next += 1
+                out += self.rows(self.room.pop(0)[1], True)
+            room, number = self.capacity, self.new()
             self.content[number] = []
         held = self.content[number]
         held.append((item, piece, len(held), start, size, self.capacity - room))
-        insort(self.room, (room - size, number))
         if room == size and size:
-            self.room.remove((0, number))
-            full = self.content.pop(number)
-            return full if out is None else out + [None, *full]
+            out += self.rows(number, True)
+        else:
+            insort(self.room, (room - size, number))
         return out
 
-    def rows(self, content: list, closed: bool) -> list[tuple]:
-        first = content[0]
-        name = f"{self.name}/{first[0]}/{first[1]}"
-        return [(self.name, name, *c, closed) for c in content]
+    def fill(self, item: int, piece: int, start: int) -> list[tuple]:
+        """A container for a piece that takes all of it."""
+        number = self.new()
+        self.content[number] = [(item, piece, 0, start, self.capacity, 0)]
+        return self.rows(number, True)
+
+    def rows(self, number: int, closed: bool) -> list[tuple]:
+        name = f"{self.name}/{self.partition}/{number}"
+        return [(self.name, name, *c, closed) for c in self.content.pop(number)]
 
 
 def pack(items: DataFrame, bins: list[tuple[str, int]], open_windows: int = 64, partition_rows: int = 20_000, merge_rows: int = 20_000) -> DataFrame:
@@ -73,19 +81,18 @@ def pack(items: DataFrame, bins: list[tuple[str, int]], open_windows: int = 64,
     parts = max(1, -(-items.count() // partition_rows))
 
     def run(batches):
-        open_ = [_Windows(n, c, open_windows) for n, c in sorted(sizes.items())]
+        open_ = [_Windows(n, c, open_windows, TaskContext.get().partitionId()) for n, c in sorted(sizes.items())]
         for pdf in batches:
             out = []
             for item, size in zip(pdf["id"].tolist(), pdf["tokens"].tolist(), strict=True):
                 for w in open_:
                     pieces, start = 0, 0
                     while size - start > w.capacity:
-                        out += w.rows([(item, pieces, 0, start, w.capacity, 0)], True)
+                        out += w.fill(item, pieces, start)
                         pieces, start = pieces + 1, start + w.capacity
-                    for done in _split(w.put(item, pieces, start, size - start)):
-                        out += w.rows(done, True)
+                    out += w.put(item, pieces, start, size - start)
             yield pd.DataFrame(out, columns=_COLS)
-        yield pd.DataFrame([r for w in open_ for c in w.content.values() for r in w.rows(c, False)], columns=_COLS)
+        yield pd.DataFrame([r for w in open_ for c in list(w.content) for r in w.rows(c, False)], columns=_COLS)
 
     spread = F.xxhash64("id")
     placed = cut(items.repartition(parts, "id").sortWithinPartitions(spread, "id", "tokens").mapInPandas(run, PLACED))
@@ -113,15 +120,6 @@ def pack(items: DataFrame, bins: list[tuple[str, int]], open_windows: int = 64,
     return placed.filter("closed").select(*cols).unionByName(late)
 
 
-def _split(done: list | None) -> list[list]:
-    if not done:
-        return []
-    if None in done:
-        at = done.index(None)
-        return [done[:at], done[at + 1 :]]
-    return [done]
-
-
 def usage(placed: DataFrame, capacities: DataFrame) -> DataFrame:
     """``(bin_name, containers, tokens, least, fill)``: ``least`` is the number that no packing can go below, ``fill`` the share of space used."""
     each = placed.groupBy("bin_name", "container").agg(F.sum("tokens").alias("load"))

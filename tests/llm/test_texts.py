@@ -44,6 +44,15 @@ def test_packing(spark, windows, rows, merge):
     assert fill["l"]["fill"] > 0.9 and fill["s"]["containers"] >= fill["s"]["least"]
 
 
+def test_packing_a_repeated_item(spark):
+    df = spark.createDataFrame([(1, 10), (1, 10), (1, 25), (2, 4)], "id long, tokens long")
+    got = packing.pack(df, [("b", 10)]).collect()
+    loads = {}
+    for r in got:
+        loads[r["container"]] = loads.get(r["container"], 0) + r["tokens"]
+    assert sorted(loads.values()) == [9, 10, 10, 10, 10]
+
+
 def test_packing_odd_rows(spark):
     df = spark.createDataFrame([(1, 5), (1, 5), (None, 3), (2, None), (3, -1)], "id long, tokens long")
     got = packing.pack(df, [("a", 10), ("a", 7), ("b", 0), (None, 5), ("c", None)]).collect()
