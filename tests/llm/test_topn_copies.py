@@ -77,3 +77,12 @@ def test_copies_in_field_order(spark):
 def test_copies_of_nothing(spark):
     enc = exact_copies.encode(spark.createDataFrame([], "row_id long, title string, doi string"), "row_id", ["title", "doi"], ["title"])
     assert exact_copies.copies(enc).count() == 0 and exact_copies.records(enc).count() == 0
+
+
+def test_copies_of_hot_values(spark):
+    """A title a third of all rows share, and a record that holds many of them."""
+    rows = [(i, "The Same  Title" if i % 3 == 0 else f"title {i}", "10/x" if i % 6 == 0 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, title string, doi string")
+    enc = exact_copies.encode(df, "row_id", ["title", "doi"], required=["title"])
+    got = {tuple(r) for r in exact_copies.copies(enc).collect()}
+    assert got == {(0, i) for i in range(6, 3000, 6)} | {(3, i) for i in range(9, 3000, 6)}
