@@ -82,11 +82,12 @@ def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, _ = mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
-    return chosen.withColumnRenamed("id", "doc_id")
+    return chosen.drop("budget").withColumnRenamed("id", "doc_id")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+    """The shares reached with the largest budget that meets them (``match``, that of p7_mix) and with all tokens (``all``)."""
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), ("match", "all"))[1]
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,11 +79,36 @@ def test_mixing(spark):
     assert sum(x["share_reached"] for k, x in r.items() if k[0] == "m") == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("bucket", [4096, 30])
+def test_mixing_meets_shares(spark, bucket):
+    """A source that is short bounds the budget, so that all shares are met; with all tokens it can't."""
+    rng = np.random.default_rng(7)
+    docs = [(i, "abc"[0 if i < 3000 else 1 if i < 3400 else 2], int(x)) for i, x in enumerate(rng.integers(1, 200, 3600))]
+    d = spark.createDataFrame(docs, "id long, source string, tokens long")
+    t = spark.createDataFrame([("m", "a", 0.3, 1), ("m", "b", 0.3, 2), ("m", "c", 0.4, 3), ("m", "void", 0.2, 2), ("m", "never", 0.1, 0)], "mix_name string, source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(d, t, ("match", "all"), bucket_rows=bucket)
+    r = {(x["budget"], x["source"]): x for x in report.collect()}
+    for s, want in (("a", 0.3), ("b", 0.3), ("c", 0.4)):
+        assert r["match", s]["share_reached"] == pytest.approx(want, abs=0.003)
+    assert r["match", "c"]["most_copies"] == 3 and r["all", "c"]["share_reached"] < 0.3 and r["match", "void"]["tokens"] == 0
+    c = chosen.filter("budget = 'match'").toPandas()
+    assert not c.duplicated("id").any() and (c.tokens * c.copies).sum() == sum(r["match", s]["tokens"] for s in "abc")
+
+
+def test_fill():
+    assert mixing.fill(np.array([5, 5, 5]), 10).tolist() == [True, True, False]
+    assert mixing.fill(np.array([7, 9, 2, 1]), 10).tolist() == [True, False, True, True]
+    assert mixing.fill(np.array([3, 8]), 10).tolist() == [True, False] or mixing.fill(np.array([3, 8]), 10).tolist() == [True, True]
+    assert mixing.fill(np.array([11]), 10).tolist() == [True] and mixing.fill(np.array([30]), 10).tolist() == [False] and mixing.fill(np.array([], dtype=int), 4).tolist() == []
+
+
 def test_mixing_fills_gaps_and_empty_tables(spark):
     d = spark.createDataFrame([(i, "a", 1000 if i % 5 == 0 else 7) for i in range(200)], "id long, source string, tokens long")
     t = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
     _, report = mixing.mix(d, t, budget=5600)
     assert abs(report.first()["tokens"] - 5600) <= 600
+    chosen, report = mixing.mix(d, t, budget=5600, bucket_rows=20)
+    assert abs(report.first()["tokens"] - 5600) <= 1000
     chosen, report = mixing.mix(d.limit(0), t)
     assert chosen.count() == 0 and report.first()["tokens"] == 0
     assert mixing.mix(d, t.limit(0))[0].count() == 0
