@@ -7,6 +7,9 @@ gather for every two places. Windows have at most ``WINDOW`` bytes; their positi
 
 from __future__ import annotations
 
+import io
+import json
+
 import numpy as np
 
 WINDOW = 64
@@ -42,6 +45,20 @@ class ByteCnn:
         self.v = (rng.normal(size=(filters * len(widths), len(labels))) * 0.1).astype(np.float32)
         self.c = np.zeros(len(labels), dtype=np.float32)
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        head = np.frombuffer(json.dumps({"labels": self.labels, "widths": self.widths, "filters": self.filters}).encode(), dtype=np.uint8)
+        np.savez_compressed(out, head=head, v=self.v, c=self.c, **{f"w{i}": w for i, w in enumerate(self.w)}, **{f"b{i}": b for i, b in enumerate(self.b)})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "ByteCnn":
+        with np.load(io.BytesIO(data), allow_pickle=False) as f:
+            net = cls(**json.loads(f["head"].tobytes()))
+            net.v, net.c = f["v"], f["c"]
+            net.w, net.b = [f[f"w{i}"] for i in range(len(net.widths))], [f[f"b{i}"] for i in range(len(net.widths))]
+        return net
+
     @staticmethod
     def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all bytes, each window with spaces around it; where the windows start and end; the text of each window."""

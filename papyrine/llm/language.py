@@ -1,7 +1,8 @@
 """Languages of pages and of passages within them, by a byte convolutional network over lines.
 
-Training, on the driver: lines of clean samples (with misreadings added) and of at most ``train_docs`` labelled documents, at most ``lines_each`` lines of
-each; labels in other notations are read. A first network leaves out documents and lines that contradict their label; a second one is trained on the rest.
+Training, on the driver, once for each state of the tables (``trained`` keeps the network in the shared folder and loads it from there): lines of clean samples (with misreadings added)
+and of at most ``train_docs`` labelled documents, at most ``lines_each`` lines of each, and at most as many samples, the same number of every language; labels in other notations
+are read. After some epochs documents and lines that contradict their label are left out, and the network goes on with the rest.
 
 Application: every line of every document is cut into windows of fixed length, whose log probabilities add up. Within a document the languages that are
 present are found by expectation maximisation over all lines and by the evidence of the best line or run, whatever the length of the page; then each line weighs its own evidence against its neighbours' languages (lines of
@@ -13,16 +14,18 @@ treated whole, with the memory of their own length; unknown labels count as miss
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.byte_cnn import WINDOW, ByteCnn
-from papyrine.session import exact
+from papyrine.session import ensure_checkpoint_dir, exact
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pt"]
 #: Codes and English names of the languages.
@@ -36,6 +39,7 @@ NOTATIONS = {
     "pt": ["pt", "por", "portuguese"],
 }
 _MISSING = ["", "und", "unknown", "unk", "n/a", "none", "null", "mis", "mul", "zxx", "xx", "?"]
+_VERSION = 2  # of what ``train`` does
 _LETTERS = re.compile(r"[^\W\d_]{3}")
 
 
@@ -70,12 +74,14 @@ def _pieces(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(samples: DataFrame, documents: DataFrame, train_docs: int = 3000, lines_each: int = 25, epochs: int = 8, seed: int = 11) -> ByteCnn:
+def train(samples: DataFrame, documents: DataFrame, train_docs: int = 3000, lines_each: int = 25, epochs: int = 6, seed: int = 11) -> ByteCnn:
     """A network from ``samples`` (lang, text) and labelled ``documents`` (doc_id, text, lang)."""
     rng = np.random.default_rng(seed)
     texts, ys, docs = [], [], []
-    for r in samples.filter("lang is not null and text is not null").orderBy("lang", "sample_no").limit(train_docs).toLocalIterator():
-        if r["lang"] in LANGUAGES:
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("sample_no", F.xxhash64("text")))
+    clean = samples.filter("text is not null").filter(F.col("lang").isin(LANGUAGES)).withColumn("turn", turn).filter(F.col("turn") <= -(-train_docs // len(LANGUAGES)))
+    for r in clean.select("lang", "text", "sample_no").orderBy("lang", "sample_no", F.xxhash64("text")).toLocalIterator():
+        if r["text"]:
             for rate in (0.0, 0.03, 0.1):
                 for p in _pieces(r["text"], rng):
                     texts.append(misread(p, rng, rate).encode()[:WINDOW])
@@ -104,16 +110,35 @@ def train(samples: DataFrame, documents: DataFrame, train_docs: int = 3000, line
     net = ByteCnn(LANGUAGES, seed=seed)
     if not len(y):
         return net
-    net.train(texts, y, epochs=max(1, epochs - 2), seed=seed)
+    net.train(texts, y, epochs=max(1, epochs // 2), seed=seed)
     lp = np.maximum(net.log_probs(texts), -6)
     sums = np.zeros((doc.max() + 2, len(LANGUAGES)))
     np.add.at(sums, doc + 1, lp)
     agrees = (sums.argmax(1)[doc + 1] == y) & (lp[np.arange(len(y)), y] > -2.5) | (doc < 0)
-    net = ByteCnn(LANGUAGES, seed=seed)
     net.train([t for t, a in zip(texts, agrees, strict=True) if a], y[agrees], epochs=epochs, seed=seed + 1)
     return net
 
 
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """A name for the present content of some Parquet tables: their files, sizes and times, of which no data are read."""
+    rows = sorted(tuple(r) for p in paths for r in spark.read.parquet(p).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect())  # one row a file
+    return hashlib.sha256(repr(rows).encode()).hexdigest()[:24]
+
+
+def trained(samples: DataFrame, documents: DataFrame, state: str, **how) -> ByteCnn:
+    """The network for this state of the tables and these parameters: from the shared folder, or trained and kept there."""
+    spark = samples.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = hashlib.sha256(repr((state, sorted(how.items()), _VERSION)).encode()).hexdigest()[:24]
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/').rsplit('/', 1)[0]}/papyrine-networks/{name}"
+    try:
+        return ByteCnn.from_bytes(bytes(spark.read.parquet(path).first()["net"]))
+    except AnalysisException:  # no such network yet
+        net = train(samples, documents, **how)
+        spark.createDataFrame([(bytearray(net.to_bytes()),)], "net binary").coalesce(1).write.mode("overwrite").parquet(path)
+        return net
+
+
 _NEAR = {1: 0.7, 2: 1.0, 3: 0.5, 4: 0.5, 5: 0.2, 6: 0.2}
 
 
@@ -269,8 +294,6 @@ def cases(found: DataFrame) -> DataFrame:
 def segments(found: DataFrame, gap: int = 3) -> DataFrame:
     """``(doc_id, first_line, last_line, lang, confidence, lines)``: the page (lines null) and its passages; the lines of a passage lie at most ``gap`` apart."""
     line = F.explode(F.arrays_zip("line_no", "lang", "sure")).alias("l")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id", "lang").orderBy("line_no")
     rows = found.select("doc_id", line).select("doc_id", "l.line_no", "l.lang", "l.sure")
     rows = rows.withColumn("new", F.when(F.col("line_no") - F.lag("line_no").over(w) <= gap, 0).otherwise(1)).withColumn("part", F.sum("new").over(w))

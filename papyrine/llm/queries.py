@@ -92,7 +92,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return language.detect(documents, language.train(table(spark, sf_dir, "lang_samples"), documents))
+    state = language.state_of(spark, f"{sf_dir}/lang_samples.parquet", f"{sf_dir}/documents.parquet")
+    return language.detect(documents, language.trained(table(spark, sf_dir, "lang_samples"), documents, state))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

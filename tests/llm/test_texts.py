@@ -188,3 +188,26 @@ def test_held_out_lines(spark):
     other = table(spark, "/root/testdata/sf0.1", "documents").filter(F.col("lang").isin(language.LANGUAGES)).limit(400)
     got = language.detect(other, net)
     assert got.agg(F.avg((F.col("main") == F.col("label")).cast("int"))).first()[0] > 0.8
+
+
+def test_network_is_kept(spark, small):
+    samples, documents = spark.read.parquet(f"{small}/lang_samples.parquet"), spark.read.parquet(f"{small}/documents.parquet")
+    state = language.state_of(spark, f"{small}/lang_samples.parquet", f"{small}/documents.parquet")
+    assert state == language.state_of(spark, f"{small}/lang_samples.parquet", f"{small}/documents.parquet") != language.state_of(spark, f"{small}/documents.parquet")
+    a = language.trained(samples, documents, state, train_docs=20, epochs=1)
+    b = language.trained(samples.limit(0), documents.limit(0), state, train_docs=20, epochs=1)  # loaded
+    texts = [b"das ist ein Satz", b"this is one", b""]
+    assert np.allclose(a.log_probs(texts), b.log_probs(texts)) and b.labels == language.LANGUAGES
+    assert ByteCnn.from_bytes(a.to_bytes()).widths == a.widths
+
+
+def test_samples_of_every_language_count(spark):
+    """More samples than the bound: each language keeps its share of it."""
+    rows = [(lang, i, f"text {lang} {i}") for lang in language.LANGUAGES for i in range(30)]
+    seen = []
+    keep, ByteCnn.train = ByteCnn.train, lambda self, texts, y, **k: seen.append(np.bincount(y, minlength=7))
+    try:
+        language.train(spark.createDataFrame(rows, "lang string, sample_no int, text string"), spark.createDataFrame([], "doc_id long, text string, lang string"), train_docs=70)
+    finally:
+        ByteCnn.train = keep
+    assert (seen[0] == 30).all()  # ten samples of each, at three rates of misreading
