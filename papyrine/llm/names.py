@@ -1,97 +1,50 @@
 """Spellings that mean the same person or the same venue.
 
-Every distinct spelling is parsed once; words one edit apart come from a trie join (``trie.near_pairs``) over the distinct words; whether
+Every distinct spelling is parsed once; words within the bounded edit distance come from a trie join (``trie.near_pairs``) over the distinct words; whether
 two spellings agree in any order of their words is decided on keys that have no order.
 
-Persons: a spelling gives a family name (all its parts, particles left out) and a first given name, full or shortened. The order of two plain words
-is the one in which the corpus mostly has them. Given names agree if equal, one edit apart, a known short form, or the beginning or end of the
-other; family names if equal or one edit apart. Agreeing full names are joined (connected components); a shortened name joins the one person
-of that family name whose given name begins so; if several could be meant, it stays with its like.
+Persons: a spelling gives a family name (all its parts, particles left out), a first given name, full or shortened, and the initial of a further one. The order of two plain words
+is the one in which the corpus mostly has them. They are joined in steps, each over connected groups of the one before, so that no step chains what it finds unclear:
 
-Venues: words are put right against words one edit apart that are at least four times as frequent; order, case, remarks in brackets and linking words
-don't count; shortened words match within groups of equal initials by a trie descent; initials alone match the one venue with these initials.
+1. Typing errors: family and given names equal or near, further initials equal. Near means ``edits`` edits (one, exchanges included; two from ``long`` letters on if asked for);
+   of family names of three or four letters an exchange of neighbours, or an edit if the other is ten times as frequent. Given names that are near or short forms but both common in the corpus (with ``common`` family names or more) must mostly
+   occur with the same families, as spellings of one name do: Mario and Maria don't, Sören and Soeren do. So must common family names with given names.
+2. A group without further initial joins the one group with such an initial that agrees otherwise; if there are several, none. Conflicting initials never meet.
+3. Short given names: those of the list ``short_forms``, beginnings of three letters or more, and endings if the corpus supports them (three families have both, at least half of those that have
+   the ending). They join the one group of that family they can mean (its most frequent given name counts for a group); if several, none: Chris is neither Christian nor Christopher where both exist.
+4. Spellings with an initial or an abbreviation join the one group of that family whose given name begins so and whose further initial doesn't conflict; if several could be meant, they stay with their like.
+
+Venues: words are put right against near words that are at least four times as frequent; order, case, remarks in brackets and linking words
+don't count. Shortened words (beginnings, or up to five letters in order) are found by a trie join over the distinct words: the longest word of each key goes down the trie of all words, keys
+with equal initials that have such a word are candidates, and a matching of the words in any order decides. A key joins the one full key it abbreviates, beginnings going before other letters in order. Initials alone match the one venue with these initials.
 
 Defined results: null and blank spellings, "et al." and spellings without a letter take no part. Repeated spellings count once. Ties go to the
-smaller string. Very long spellings are treated whole. Empty tables give empty results.
+smaller string. Very long spellings are treated whole. Given names of one or two letters have no near ones: an edit leaves too little of them; those of more than 64 have no short form. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.trie import near_pairs
+from papyrine.llm.trie import abbreviations, near_pairs
 from papyrine.operators.graph import connected_components
 from papyrine.session import cut, exact
 
-#: Usual short forms of given names, full name first, that aren't their beginning, end or one edit away; a parameter of ``persons``.
-SHORT_FORMS = """
-abigail abby
-alexander sandy sascha sasha sandro lex alec
-amelie amy millie
-anthony tony
-benjamin benji benny benno
-catherine kate kathy katie cathy
-katherine kate kathy katie kit kitty kay
-christopher kit
-daniel danny
-deborah debbie
-dorothea dora dorle dolly dot dotty
-edward ed eddie ned ted teddy
-eleanor ellie nell elly nellie lenny
-elizabeth liz betty lizzie betsy libby lisbeth elsie lisa bess
-emil milo
-francesca franci checca franca
-frances fanny frankie
-francis frank
-friedrich fritz fred rick freddy friedel fiete
-frederick freddie
-giuseppe beppe pino peppe beppo peppino
-henrietta hettie hetty hattie harriet henny netti
-henry harry hal hank
-isabella izzy belle bel izzie
-james jim jimmy jamie
-johannes hans jan jo hanno
-john jack johnny
-joaquin chimo quim quino ximo kino
-joseph joe joey
-kaethe kathe kate
-lazaro lalo
-leopold poldi poldl
-lawrence larry
-margaret maggie peggy meg rita greta madge daisy marge margie
-marton marci
-matthias mats matze matti
-michael mike mick mickey michi micky misha
-nikolaus klaus nick nico claus nikki
-nicholas nick
-patricia trish patty
-patrick paddy
-rebecca becky
-richard dick rick ricky richie
-robert bob bobby robbie
-samuel sammy
-sebastian basti wastl
-stephen steve
-susannah sue zanna susie suzy susi sanna sanne
-susan sue susie
-tamara tammy toma
-theodore ted teddy dora
-thomas tom tommy
-tomas tomi
-ulrike ulli uli
-victoria vicky tori vicki tory
-walter wally wat
-wilhelmina willa minna wilma billie minnie
-william bill billy willy wim
-yvonne yvi
-zachary zak zack
-""".split("\n")
+
+def read_forms(path: str | Path) -> list[tuple[str, str]]:
+    """``(short, full)`` of a file with a full name and its short forms a line."""
+    lines = Path(path).read_text(encoding="utf-8").splitlines()
+    return [(w, line.split()[0]) for line in lines if line.strip() and not line.startswith("#") for w in line.split()[1:]]
+
+
+#: Usual short forms of given names (a general list, see the file); a parameter of ``persons``.
+SHORT_FORMS = read_forms(Path(__file__).with_name("short_forms.txt"))
 _TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md", "jr", "sr", "mag", "ing", "dipl"}
 _PARTICLES = {"von", "van", "der", "den", "de", "di", "da", "del", "della", "la", "le", "al", "el", "du", "dos", "ten", "ter", "zu", "zum", "af"}
 _LINKING = {"of", "in", "on", "the", "and", "for"}
@@ -103,10 +56,10 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def parse_person(spelling: str) -> tuple[str, str, bool, bool] | None:
-    """Family name, first given name, whether that is shortened, whether the order is a guess."""
+def parse_person(spelling: str) -> tuple[str, str, str, bool, bool] | None:
+    """Family name, first given name, initial of a further one, whether the given name is shortened, whether the order is a guess."""
     comma = spelling.find(",")
-    words = []  # (folded letters, shortened, before the comma)
+    words = []  # (folded letters, shortened, before the comma, second letter of several initials)
     for m in re.finditer(r"[^\s,.]+\.?", spelling):
         raw = m.group()
         dot = raw.endswith(".")
@@ -116,23 +69,28 @@ def parse_person(spelling: str) -> tuple[str, str, bool, bool] | None:
             continue
         plain = raw.rstrip(".")
         initials = len(word) <= 3 and plain.isupper() and (len(word) == 1 or not spelling.isupper() and not any(c in "aeiouy" for c in word) or (len(word) == 2 and not spelling.isupper()))
-        words.append((word[0] if initials else word, initials or dot and len(word) <= 4, 0 <= m.start() < comma))
+        words.append((word[0] if initials else word, initials or dot and len(word) <= 4, 0 <= m.start() < comma, word[1:2] if initials else ""))
     if not words:
         return None
+
+    def further(given: list[tuple]) -> str:
+        return given[0][3] or (given[1][0][0] if len(given) > 1 else "") if given else ""
+
     if any(w[2] for w in words):
         family = [w[0] for w in words if w[2]]
         given = [w for w in words if not w[2]]
-        return "".join(family), given[0][0] if given else "", bool(given and given[0][1]), False
+        return "".join(family), given[0][0] if given else "", further(given), bool(given and given[0][1]), False
     long = [w for w in words if not w[1]]
     if not long:
-        return "".join(w[0] for w in words), "", False, False
+        return "".join(w[0] for w in words), "", "", False, False
     if len(words) == 1:
-        return words[0][0], "", False, False
+        return words[0][0], "", "", False, False
     if words[-1][1] and not words[0][1]:  # family name first, then initials
-        return "".join(w[0] for w in long), words[-1][0] if words[1:] and len(words) == 2 else next(w[0] for w in words if w[1]), True, False
+        given = [words[-1]] if len(words) == 2 else [w for w in words if w[1]]
+        return "".join(w[0] for w in long), given[0][0], further(given), True, False
     first = words[0]
     rest = [w[0] for w in words[1:] if not w[1]]
-    return "".join(rest) or first[0], first[0], first[1], len(words) == 2 and not first[1]
+    return "".join(rest) or first[0], first[0], further([first, *(w for w in words[1:] if w[1])]) if rest else "", first[1], len(words) == 2 and not first[1]
 
 
 def _persons(spellings: DataFrame) -> DataFrame:
@@ -144,64 +102,116 @@ def _persons(spellings: DataFrame) -> DataFrame:
                     continue
                 if p := parse_person(s):
                     rows.append((s, n, *p))
-            yield pd.DataFrame(rows, columns=["spelling", "n", "family", "given", "short", "guess"])
+            yield pd.DataFrame(rows, columns=["spelling", "n", "family", "given", "mid", "short", "guess"])
 
-    parsed = cut(spellings.mapInPandas(run, "spelling string, n long, family string, given string, short boolean, guess boolean"))
+    parsed = cut(spellings.mapInPandas(run, "spelling string, n long, family string, given string, mid string, short boolean, guess boolean"))
     # Which of two plain words is the given name: the one the corpus has more often in that place.
     roles = parsed.filter("not short and given <> ''").select(F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(1).alias("g")), F.struct(F.col("family").alias("word"), F.lit(0).alias("g")))).alias("r"))
     roles = roles.groupBy("r.word").agg(F.avg("r.g").alias("share"))
     a, b = roles.select(F.col("word").alias("given"), F.col("share").alias("share_g")), roles.select(F.col("word").alias("family"), F.col("share").alias("share_f"))
     guess = parsed.filter("guess").join(a, "given").join(b, "family")
     turn = F.col("share_f") > F.col("share_g")
-    guess = guess.select("spelling", "n", F.when(turn, F.col("given")).otherwise(F.col("family")).alias("family"), F.when(turn, F.col("family")).otherwise(F.col("given")).alias("given"), "short")
-    return cut(parsed.filter("not guess").select("spelling", "n", "family", "given", "short").unionByName(guess))
+    guess = guess.select("spelling", "n", F.when(turn, F.col("given")).otherwise(F.col("family")).alias("family"), F.when(turn, F.col("family")).otherwise(F.col("given")).alias("given"), "mid", "short")
+    return cut(parsed.filter("not guess").select("spelling", "n", "family", "given", "mid", "short").unionByName(guess))
 
 
-def _directed(pairs: DataFrame, counts: DataFrame, word: str) -> DataFrame:
-    """Pairs from the rarer to the more frequent word, ties to the smaller string."""
-    ca, cb = counts.select(F.col(word).alias("a"), F.col("n").alias("na")), counts.select(F.col(word).alias("b"), F.col("n").alias("nb"))
-    j = pairs.join(ca, "a").join(cb, "b")
-    up = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    return j.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("frequent"))
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def persons(spellings: DataFrame, short_forms: list[str] = SHORT_FORMS) -> DataFrame:
-    """``(spelling, entity)`` for ``(spelling, n)``; ``short_forms``: lines of a full given name and its short forms."""
+def _exchanged(a: str, b: str) -> Column:
+    """Whether two words one edit apart have the same letters, so that the edit is an exchange."""
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    return letters(a) == letters(b)
+
+
+def _together(pairs: DataFrame, names: DataFrame, word: str, beside: str) -> DataFrame:
+    """``pairs`` of ``word`` with the numbers of ``beside`` each occurs with (ka, kb) and both occur with."""
+    k = names.groupBy(word).agg(F.count("*").alias("k"))
+    x, y = names.select(F.col(word).alias("a"), beside), names.select(F.col(word).alias("b"), beside)
+    both = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", beside]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    out = pairs.join(k.select(F.col(word).alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col(word).alias("b"), F.col("k").alias("kb")), "b")
+    return out.join(both, ["a", "b"], "left").fillna(0, ["both"])
+
+
+def persons(spellings: DataFrame, short_forms: list[tuple[str, str]] = SHORT_FORMS, edits: int = 1, long: int = 10, common: int = 5) -> DataFrame:
+    """``(spelling, entity)`` for ``(spelling, n)``; ``short_forms``: (short, full) of given names; ``edits``: at most so many in words of ``long`` letters or more."""
     spark = spellings.sparkSession
     parsed = _persons(spellings)
-    full = cut(parsed.filter("not short").groupBy("family", "given").agg(F.count("*").alias("n")).withColumn("node", F.concat_ws("|", "family", "given")))
-    givens = full.filter("given <> ''").groupBy("given").agg(F.sum("n").alias("n"))
-    # Given names that agree.
-    known = spark.createDataFrame([(w, line.split()[0]) for line in short_forms if line.strip() for w in line.split()[1:]], "a string, b string")
-    ends = givens.select("given", F.explode(F.expr("filter(transform(sequence(3, greatest(3, length(given) - 1)), i -> array(substring(given, 1, i), right(given, i))), p -> length(given) > 3)")).alias("p")).select("given", F.explode("p").alias("a"))
-    inside = ends.join(givens.select(F.col("given").alias("a")), "a").select("a", F.col("given").alias("b")).filter("a <> b")
-    agree = near_pairs(givens, "given").unionByName(known).unionByName(inside).distinct()
-    agree = cut(_directed(agree, givens, "given").distinct())
-    families = parsed.groupBy("family").agg(F.count("*").alias("n"))
-    near = cut(_directed(near_pairs(families, "family", 5), families, "family").distinct())
-    n2 = full.select(F.col("family").alias("family2"), F.col("given").alias("given2"), F.col("node").alias("node2"))
-    same = full.join(agree, full["given"] == agree["rare"]).select("node", F.col("family").alias("family2"), F.col("frequent").alias("given2")).join(n2, ["family2", "given2"]).select("node", "node2")
-    either = agree.select(F.col("rare").alias("g1"), F.col("frequent").alias("g2")).unionByName(agree.select(F.col("frequent").alias("g1"), F.col("rare").alias("g2")))
-    near_full = full.join(near, full["family"] == near["rare"]).select("node", "given", F.col("frequent").alias("family2"))
-    equal = near_full.withColumnRenamed("given", "given2").join(n2, ["family2", "given2"]).select("node", "node2")
-    like = near_full.join(either, near_full["given"] == either["g1"]).select("node", "family2", F.col("g2").alias("given2")).join(n2, ["family2", "given2"]).select("node", "node2")
+    full = cut(parsed.filter("not short and given <> ''").groupBy("family", "given", "mid").agg(F.count("*").alias("n")).withColumn("node", F.concat_ws("|", "family", "given", "mid")))
+    names = cut(full.select("family", "given").distinct())
+    givens, families = names.select("given").distinct(), parsed.groupBy("family").agg(F.sum("n").alias("n"))
+
+    # Given names: near ones, and (a, b) with a short for b.
+    near = _together(near_pairs(givens, "given", 3, edits, long), names, "given", "family")
+    near = _both_ways(near.filter((F.least("ka", "kb") < common) | (F.col("both") >= 0.3 * F.least("ka", "kb")))).withColumn("kind", F.lit("near"))
+    known = spark.createDataFrame(short_forms, "a string, b string").distinct().withColumn("how", F.lit("known"))
+    ends = givens.filter(F.length("given") <= 64).select("given", F.explode(F.expr("filter(transform(sequence(3, greatest(3, length(given) - 1)), i -> struct(substring(given, 1, i) as begin, right(given, i) as end)), p -> length(given) > 3)")).alias("p"))
+    ends = ends.select(F.col("given").alias("b"), F.explode(F.array(F.struct(F.col("p.begin").alias("a"), F.lit("begin").alias("how")), F.struct(F.col("p.end").alias("a"), F.lit("end").alias("how")))).alias("e")).select("e.a", "b", "e.how")
+    less = known.unionByName(ends.join(givens.withColumnRenamed("given", "a"), "a", "left_semi")).filter("a <> b").distinct()
+    less = _together(less, names, "given", "family").withColumn("all", F.sum("both").over(Window.partitionBy("a", "how")))
+    common_enough = (F.col("ka") < common) | (F.col("all") >= 0.3 * F.col("ka"))
+    supported = (F.col("both") >= 3) & (F.col("both") >= 0.5 * F.col("ka"))
+    less = less.filter(F.when(F.col("how") == "end", supported).otherwise(common_enough)).select("a", "b").distinct().withColumn("kind", F.lit("short"))
+    given_pairs = cut(near.unionByName(less))
+
+    # Family names.
+    na, nb = families.select(F.col("family").alias("a"), F.col("n").alias("na")), families.select(F.col("family").alias("b"), F.col("n").alias("nb"))
+    close = near_pairs(families, "family", 3, edits, long).join(na, "a").join(nb, "b")
+    close = close.filter((F.least(F.length("a"), F.length("b")) >= 5) | _exchanged("a", "b") | (F.greatest("na", "nb") >= 10 * F.least("na", "nb")))
+    counted = _together(close.select("a", "b"), names, "family", "given")
+    # Families of which no given name is known in full stay: whom they are is decided by the initials.
+    close = close.join(counted, ["a", "b"], "left").filter("ka is null or kb is null or least(ka, kb) < {0} or both >= 0.8 * least(ka, kb)".format(common))
+    close = cut(close.select("a", "b", "na", "nb"))
+    around = cut(_both_ways(close))
+
+    # Pairs of nodes whose names agree: (node, node2, mid, mid2, kind).
+    n2 = full.select(F.col("family").alias("family2"), F.col("given").alias("given2"), F.col("mid").alias("mid2"), F.col("node").alias("node2"))
+    same = full.select("node", "mid", F.col("family").alias("family2"), "given")
+    near_family = full.join(around, full["family"] == around["a"]).select("node", "mid", F.col("b").alias("family2"), "given")
+    other_given = same.unionByName(near_family).join(given_pairs, F.col("given") == F.col("a")).select("node", "mid", "family2", F.col("b").alias("given2"), "kind")
+    equal_given = same.unionByName(near_family).select("node", "mid", "family2", F.col("given").alias("given2"), F.lit("near").alias("kind"))
+    links = cut(other_given.unionByName(equal_given).join(n2, ["family2", "given2"]).filter("node <> node2 and (mid = mid2 or mid = '' or mid2 = '')").select("node", "node2", "mid", "mid2", "kind").distinct())
+
     alone = full.select("node", F.col("node").alias("node2"))
-    comps = cut(connected_components(same.unionByName(equal).unionByName(like).unionByName(alone), "node", "node2"))
-    named = cut(full.join(comps, full["node"] == comps["id"]).select("family", "given", "component"))
+    groups = cut(connected_components(links.filter("kind = 'near' and mid = mid2").select("node", "node2").unionByName(alone), "node", "node2").select(F.col("id").alias("node"), F.col("component").alias("g")))
+    other = groups.select(F.col("node").alias("node2"), F.col("g").alias("g2"))
+    one = lambda d: d.groupBy("g").agg(F.min("g2").alias("lo"), F.max("g2").alias("hi")).filter("lo = hi").select("g", F.col("lo").alias("to"))
+    bare = one(links.filter("kind = 'near' and mid = '' and mid2 <> ''").join(groups, "node").join(other, "node2"))
+    groups = cut(groups.join(bare, "g", "left").select("node", F.coalesce("to", "g").alias("g")))
+
+    # Short given names: the groups a group may belong to that don't belong to another one themselves.
+    at = full.join(groups, "node")
+    main = at.groupBy("g").agg(F.max(F.struct("n", F.col("given").alias("main")))["main"].alias("main"), F.max("mid").alias("mid"))
+    spoken = at.join(main.select("g", "main"), "g").filter("given = main").select("node", "g")
+    other = groups.select(F.col("node").alias("node2"), F.col("g").alias("g2"))
+    may = cut(links.filter("kind = 'short'").join(spoken, "node").join(other, "node2").filter("g <> g2").select("g", "g2").distinct())
+    last = may.join(may.select(F.col("g").alias("g2")).distinct(), "g2", "left_anti")
+    to = one(last).join(main.select("g", "mid"), "g")
+    mids = to.join(main.select(F.col("g").alias("to"), F.col("mid").alias("mid2")), "to")
+    clash = mids.groupBy("to").agg(F.size(F.array_distinct(F.filter(F.concat(F.collect_set("mid"), F.collect_set("mid2")), lambda m: m != ""))).alias("k")).filter("k > 1").select("to")
+    unclear = mids.join(clash, "to").filter("mid <> '' and mid <> mid2").select("g")
+    to = to.join(unclear, "g", "left_anti").select("g", "to")
+    named = cut(at.join(to, "g", "left").select("family", "given", "mid", F.coalesce("to", "g").alias("component")))
+
     # Shortened given names join the one person they can mean.
-    short = parsed.filter("short or given = ''").select("family", "given").distinct()
-    begins = named.filter("given <> ''").select("family", "component", F.explode(F.expr("transform(sequence(1, least(4, length(given))), i -> substring(given, 1, i))")).alias("given")).distinct()
-    own = short.join(begins, ["family", "given"]).groupBy("family", "given").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    around = near.select(F.col("rare").alias("family"), F.col("frequent").alias("family2")).unionByName(near.select(F.col("frequent").alias("family"), F.col("rare").alias("family2")))
-    other = short.join(own, ["family", "given"], "left_anti").join(around, "family").join(begins.withColumnRenamed("family", "family2"), ["family2", "given"])
-    other = other.groupBy("family", "given").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sure = own.unionByName(other).filter("lo = hi").select("family", "given", F.col("lo").alias("component"))
-    main = near.groupBy("rare").agg(F.min("frequent").alias("main"))
-    left = short.join(sure, ["family", "given"], "left_anti").join(main, F.col("family") == F.col("rare"), "left")
-    left = left.select("family", "given", F.concat(F.coalesce("main", "family"), F.lit("|"), F.substring("given", 1, 1), F.lit(".")).alias("component"))
-    whole = sure.unionByName(left)
-    a = parsed.filter("not short and given <> ''").join(named, ["family", "given"])
-    b = parsed.filter("short or given = ''").join(whole, ["family", "given"])
+    short = parsed.filter("short or given = ''").select("family", "given", "mid").distinct()
+    of = named.groupBy("component").agg(F.max("mid").alias("mid2"))
+    begins = named.select("family", "component", F.explode(F.expr("transform(sequence(1, least(4, length(given))), i -> substring(given, 1, i))")).alias("given")).distinct().join(of, "component")
+    fits = F.expr("mid = '' or mid2 = '' or mid = mid2")
+    key = ["family", "given", "mid"]
+    own = short.join(begins, ["family", "given"]).filter(fits).groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    beside = short.join(own, key, "left_anti").join(around.select(F.col("a").alias("family"), F.col("b").alias("family2")), "family").join(begins.withColumnRenamed("family", "family2"), ["family2", "given"]).filter(fits)
+    beside = beside.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    sure = cut(own.unionByName(beside).filter("lo = hi").select(*key, F.col("lo").alias("component")))
+    up = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    better = close.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("frequent")).groupBy("rare").agg(F.min("frequent").alias("better"))
+    left = short.join(sure, key, "left_anti").join(better, F.col("family") == F.col("rare"), "left")
+    left = left.select(*key, F.concat(F.coalesce("better", "family"), F.lit("|"), F.substring("given", 1, 1), F.lit(".")).alias("like"))
+    mids = left.filter("mid <> ''").groupBy("like").agg(F.min("mid").alias("lo"), F.max("mid").alias("hi"))
+    left = left.join(mids, "like", "left").select(*key, F.concat("like", F.when((F.col("mid") == "") & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("mid"))).alias("component"))
+    a = parsed.filter("not short and given <> ''").join(named, key)
+    b = parsed.filter("short or given = ''").join(sure.unionByName(left), key)
     return a.select("spelling", F.col("component").alias("entity")).unionByName(b.select("spelling", F.col("component").alias("entity")))
 
 
@@ -232,35 +242,50 @@ def abbreviates(short: str, full: str) -> bool:
     return all(c in it for c in short)
 
 
-def _agree(short: list[str], full: list[str]) -> bool:
-    """Whether the words of ``short`` abbreviate those of ``full`` in some order."""
+def agree(short: list[str], full: list[str], fit=abbreviates) -> bool:
+    """Whether the words of ``short`` abbreviate those of ``full`` in some order: a matching of all of them, by augmenting paths."""
     if len(short) != len(full):
         return False
-    if not short:
-        return True
-    return any(abbreviates(short[0], f) and _agree(short[1:], full[:i] + full[i + 1 :]) for i, f in enumerate(full))
-
-
-def group_keys(keys: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[str, ...]]:
-    """For keys with equal initials: the one full key each shortened key abbreviates (itself if none or several)."""
-    same: dict[str, set] = defaultdict(set)  # keys with a word that begins so
-    longer: dict[str, set] = defaultdict(set)  # and is longer
-    for k in keys:
-        for w in k:
-            for i in range(1, len(w) + 1):
-                same[w[:i]].add(k)
-                if i < len(w):
-                    longer[w[:i]].add(k)
-    over = {}
-    for k in keys:
-        # A word of over five letters can only be a beginning; a shorter one is taken for one if it is a beginning of some word.
-        sets = [same[w] if len(w) > 5 else longer[w] for w in k if len(w) > 5 or longer[w]]
-        over[k] = [c for c in min(sets, key=len, default=keys) if c != k and _agree(list(k), list(c)) and not _agree(list(c), list(k))]
-    top = {k: {c for c in v if not over[c]} for k, v in over.items()}
-    return {k: min(t) if len(t) == 1 else k for k, t in top.items()}
-
-
-def venues(spellings: DataFrame) -> DataFrame:
+    fits = [[j for j, f in enumerate(full) if fit(w, f)] for w in short]
+    taken: dict[int, int] = {}
+
+    def place(i: int, seen: set[int]) -> bool:
+        for j in fits[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in taken or place(taken[j], seen):
+                    taken[j] = i
+                    return True
+        return False
+
+    return all(place(i, set()) for i in range(len(short)))
+
+
+def whole_keys(keyed: DataFrame) -> DataFrame:
+    """``(key, entity)`` for distinct ``(key, block)``: the one full key of its block that a key abbreviates, else itself."""
+    words = cut(keyed.select("key", "block", F.explode(F.array_distinct("key")).alias("word")))
+    longest = F.array_sort("key", lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).when(x < y, -1).when(x > y, 1).otherwise(0))[0]
+    asked = cut(keyed.select("key", "block", longest.alias("a")))
+    pairs = abbreviations(asked.select("a"), words.select("word"), abbreviates)
+    equal = asked.select("a", F.col("a").alias("b")).distinct()
+    other = words.select("block", F.col("word").alias("b"), F.col("key").alias("full"))
+    candidates = asked.join(pairs.unionByName(equal), "a").join(other, ["block", "b"]).filter(F.col("key") != F.col("full")).select("key", "full").distinct()
+
+    def decide(batches):
+        for pdf in batches:
+            keep = [agree(list(k), list(f)) and not agree(list(f), list(k)) for k, f in zip(pdf["key"], pdf["full"], strict=True)]
+            begins = [agree(list(k), list(f), lambda a, b: b.startswith(a)) for k, f in zip(pdf["key"], pdf["full"], strict=True)]
+            yield pdf.assign(begins=begins)[keep]
+
+    over = cut(candidates.mapInPandas(decide, "key array<string>, full array<string>, begins boolean"))
+    top = over.join(over.select(F.col("key").alias("full")).distinct(), "full", "left_anti")
+    # Beginnings of all words go before letters in order: Ling is Linguistics rather than Limnology.
+    best = top.groupBy("key").agg(F.min(F.struct(~F.col("begins"), "full"))["full"].alias("lo"), F.bool_or("begins").alias("any"), F.count_if("begins").alias("k"), F.count("*").alias("n"))
+    top = best.filter("if(any, k, n) = 1").select("key", "lo")
+    return keyed.select("key").join(top, "key", "left").select("key", F.array_join(F.coalesce("lo", "key"), " ").alias("entity"))
+
+
+def venues(spellings: DataFrame, edits: int = 1, long: int = 10) -> DataFrame:
     """``(spelling, entity)`` for ``(spelling, n)``."""
 
     def run(batches):
@@ -271,8 +296,7 @@ def venues(spellings: DataFrame) -> DataFrame:
     parsed = cut(spellings.mapInPandas(run, "spelling string, n long, words array<string>, initials string, bare boolean").filter("bare or size(words) > 0"))
     words = parsed.filter("not bare").select("spelling", "n", F.posexplode("words").alias("at", "word"))
     counts = words.groupBy("word").agg(F.sum("n").alias("n"))
-    pairs = near_pairs(counts, "word", 5)
-    sided = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sided = _both_ways(near_pairs(counts, "word", 3, edits, long)).filter((F.least(F.length("a"), F.length("b")) >= 5) | _exchanged("a", "b"))
     ca, cb = counts.select(F.col("word").alias("a"), F.col("n").alias("na")), counts.select(F.col("word").alias("b"), F.col("n").alias("nb"))
     better = sided.join(ca, "a").join(cb, "b").filter("nb >= 4 * na and not startswith(b, a)").groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("right"))
     fixed = words.join(better, words["word"] == better["a"], "left").select("spelling", "at", F.coalesce("right", "word").alias("word"))
@@ -280,13 +304,8 @@ def venues(spellings: DataFrame) -> DataFrame:
     general = F.array(*(F.lit(w) for w in sorted(_GENERAL)))
     keyed = keyed.select("spelling", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "").alias("initials"), F.array_sort(F.filter("words", lambda w: ~F.array_contains(general, w))).alias("key"))
     keyed = cut(keyed.filter(F.size("key") > 0))
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [tuple(k) for k in pdf["key"]]
-        return pd.DataFrame([(list(k), " ".join(v)) for k, v in group_keys(sorted(keys)).items()], columns=["key", "entity"])
-
     block = F.array_join(F.array_sort(F.transform("key", lambda w: F.substring(w, 1, 1))), "").alias("block")
-    groups = cut(keyed.select("key", block).distinct().groupBy("block").applyInPandas(within, "key array<string>, entity string"))
+    groups = cut(whole_keys(cut(keyed.select("key", block).distinct())))
     named = cut(keyed.join(groups, "key").select("spelling", "initials", "entity"))
     # Initials belong to the one venue whose words begin so; the order is that of the spellings of the full key.
     whole = named.groupBy("initials", "entity").agg(F.count("*").alias("n"))

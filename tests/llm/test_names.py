@@ -35,6 +35,49 @@ def test_near_pairs_lose_nothing(spark):
     assert got == [(a, b) for a, b in itertools.combinations(ws, 2) if osa(a, b) <= 1]
 
 
+def test_near_pairs_two_edits(spark):
+    import random
+
+    rng = random.Random(5)
+    ws = {"".join(rng.choice("abc") for _ in range(rng.randint(7, 14))) for _ in range(120)}
+    for w in sorted(ws):  # neighbours at one to three edits
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.randint(1, 3)):
+                i = rng.randrange(len(x) - 1)
+                k = rng.randrange(4)
+                if k == 0:
+                    x[i] = rng.choice("abc")
+                elif k == 1:
+                    x.insert(i, rng.choice("abc"))
+                elif k == 2 and len(x) > 4:
+                    del x[i]
+                else:
+                    x[i], x[i + 1] = x[i + 1], x[i]
+            ws.add("".join(x))
+    ws = sorted(ws)
+    df = spark.createDataFrame([(w,) for w in ws], "w string")
+    got = sorted(map(tuple, trie.near_pairs(df, "w", edits=2, long=9).collect()))
+    assert got == [(a, b) for a, b in itertools.combinations(ws, 2) if osa(a, b) <= (2 if min(len(a), len(b)) >= 9 else 1)]
+
+
+shorts = st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=12, unique=True)
+
+
+@settings(max_examples=200, deadline=None)
+@given(a=shorts, b=shorts)
+def test_shortened_against_all_pairs(a, b):
+    got = sorted(p for p in trie.shortened(sorted(a), sorted(b)) if names.abbreviates(*p))
+    assert got == sorted((x, y) for x in a for y in b if len(y) > len(x) and names.abbreviates(x, y))
+
+
+def test_agree_in_any_order():
+    assert names.agree(["j", "biol", "mol"], ["biology", "molecular", "journal"]) and not names.agree(["j", "j"], ["journal", "molecular"])
+    assert names.agree(["co", "c"], ["computing", "cell"]) and names.agree(["c", "co"], ["computing", "cell"])
+    many = ["c" * i for i in range(1, 40)]
+    assert names.agree(many, many[::-1])  # no factorial of words with equal initials
+
+
 def entities(spark, authors, venues=()):
     rows = [(a, None) for a in authors] + [(None, v) for v in venues]
     df = spark.createDataFrame(rows, "authors string, venue string")
@@ -58,6 +101,55 @@ def test_unclear_initial_joins_nobody(spark):
     assert sorted(map(len, got)) == [1, 1, 2]
 
 
+def together(spark, *authors):
+    got = entities(spark, ["; ".join(authors)])
+    return [set(g) for g in got if len(g) > 1]
+
+
+def test_what_is_unclear_is_not_joined(spark):
+    assert together(spark, "Christian Meyer", "Ian Meyer", "Anna Weber", "Rosanna Weber", "John A. Smith", "John B. Smith") == []
+    assert together(spark, "Chris Lang", "Christian Lang", "Christopher Lang") == []
+    assert together(spark, "John A. Smith", "John Smith", "John B. Smith") == []
+    assert together(spark, "John A. Smith", "John Smith", "Smith, J.", "Smith, J. A.", "Smith, J. B.") == [{"John A. Smith", "John Smith", "Smith, J.", "Smith, J. A."}]
+
+
+def test_what_is_clear_is_joined(spark):
+    assert together(spark, "Chris Lang", "Christian Lang") == [{"Chris Lang", "Christian Lang"}]
+    assert together(spark, "Kath Meyer", "Kathy Meyer", "Katherine Meyer") == [{"Kath Meyer", "Kathy Meyer", "Katherine Meyer"}]
+    assert together(spark, "Wei Ngai", "Wei Nagi", "Wei Ngao") == [{"Wei Ngai", "Wei Nagi"}]
+    assert together(spark, "Jim Quillfeather", "James Quillfeather", "Quilfeather, James") == [{"Jim Quillfeather", "James Quillfeather", "Quilfeather, James"}]
+
+
+def test_names_common_in_their_own_right(spark):
+    """Mario and Maria, Paul and Paula are near, but common with different families; Soeren and Soren are spellings of one."""
+    fam = [f"{a}{b}ensek" for a in ("Bra", "Klo", "Tru", "Wex", "Zil", "Hov") for b in ("dum", "gop", "rix")]
+    rows = [f"Mario {f}" for f in fam[:8]] + [f"Maria {f}" for f in fam[8:16]] + ["Mario Zzyzx", "Maria Zzyzx", "Paul Zzyzx", "Paula Zzyzx"]
+    rows += [f"Paul {f}" for f in fam[8:16]] + [f"Paula {f}" for f in fam[:8]] + [f"{g} {f}son" for g in ("Soeren", "Soren") for f in fam[:7]]
+    got = together(spark, *rows)
+    assert sorted(map(sorted, got)) == sorted(sorted([f"Soeren {f}son", f"Soren {f}son"]) for f in fam[:7])
+
+
+def test_two_edits_if_asked_for(spark):
+    rows = [("Anna Quillfeatherstone", 5), ("Anna Qillfeathersotne", 1), ("Anna Brook", 1)]
+    df = spark.createDataFrame(rows, "spelling string, n long")
+    for edits, n in ((1, 3), (2, 2)):
+        assert names.persons(df, edits=edits).select("entity").distinct().count() == n
+
+
+def test_venues_of_one_initial(spark):
+    """One hot block: all names are one word with the same first letter."""
+    v = [f"C{a}{b}ology" for a in ("ardi", "ryo", "hrono", "limat", "yto", "arto") for b in ("l", "n", "r")]
+    got = entities(spark, [], [*v, "Chronol", "Climatnol", "C"])
+    flat = [set(g) for g in got]
+    assert {"Chronol", "Chronolology"} in flat and {"Climatnol", "Climatnology"} in flat and {"C"} in flat
+
+
+def test_beginnings_go_before_letters_in_order(spark):
+    v = ["Transactions on Lattice Linguistics", "Transactions on Lattice Limnology", "Trans. Latt. Ling.", "Trans. Latt. Lgy."]
+    flat = [set(g) for g in entities(spark, [], v)]
+    assert {v[0], v[2]} in flat and {v[1], v[3]} in flat
+
+
 def test_venues(spark):
     a = ["Advances in Basalt Hydrology", "Adv. Basalt Hydr.", "Basalt Hydrology, Advances in", "ADVANCES IN BASALT HYDROLOGY", "Advances in Basalt Hydrology (ABH)", "A.B.H.", "Basalt Hydrology (Advances in)", "Adv.Basalt Hydr."]
     b = ["Annals of Basalt Hydrology", "Annals of Bsaalt Hydrology", "Ann Basalt Hydr"]
@@ -78,7 +170,7 @@ def test_pairs_and_empty_tables(spark):
 
 def test_short_forms_no_rule_covers(spark):
     pairs = [("James", "Jim"), ("John", "Jack"), ("Anthony", "Tony"), ("Stephen", "Steve"), ("Lawrence", "Larry"), ("Henry", "Harry"), ("Patrick", "Paddy"), ("Joseph", "Joey"), ("Rebecca", "Becky"), ("Sebastian", "Basti"), ("Matthias", "Matze"), ("Walter", "Wally")]
-    known = {(line.split()[0], w) for line in names.SHORT_FORMS if line.strip() for w in line.split()[1:]}
+    known = {(full, short) for short, full in names.SHORT_FORMS}
     assert {(a.lower(), b.lower()) for a, b in pairs} <= known
     rows = [(f"{given} {family}", 2) for family, pair in (("Quillfeather", pairs[0]), ("Brandtmeyer", pairs[9])) for given in pair]
     entity = {r["spelling"]: r["entity"] for r in names.persons(spark.createDataFrame(rows, "spelling string, n long")).collect()}
