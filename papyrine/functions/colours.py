@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stops from 0 to 1, as red, green, blue.
+#: Stops of the scales, as place, red, green, blue.
 SCALES = {
-    "time": [(38, 70, 130), (120, 170, 200), (240, 230, 180), (230, 140, 60), (160, 30, 40)],
-    "density": [(68, 1, 84), (59, 82, 139), (33, 145, 140), (94, 201, 98), (253, 231, 37)],
-    "boundary": [(70, 110, 180), (200, 200, 200), (200, 60, 50)],
-    "agreement": [(180, 40, 40), (240, 220, 120), (40, 140, 70)],
+    "time": [(0.00, 97, 175, 239), (0.50, 191, 188, 168), (1.00, 242, 142, 43)],
+    "in_degree": [(0.00, 68, 1, 84), (0.25, 59, 82, 139), (0.50, 33, 144, 141), (0.75, 94, 201, 98), (1.00, 253, 231, 37)],
+    "boundary": [(0.00, 58, 63, 74), (0.50, 180, 130, 80), (1.00, 230, 108, 117)],
+    "agreement": [(0.00, 180, 68, 74), (0.50, 200, 180, 120), (0.90, 120, 180, 100), (1.00, 60, 140, 80)],
 }
 
 
 def colour(value: Column, scale: str = "time") -> Column:
     """``#rrggbb`` of a number of [0, 1]; clamped, null stays null."""
     stops = SCALES[scale]
-    n = len(stops) - 1
-    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) * n
-    i = F.least(F.floor(v), F.lit(n - 1)).cast("int")
-    channel = lambda c: F.round(F.get(F.array(*(F.lit(float(s[c])) for s in stops)), i) * (1 - (v - i)) + F.get(F.array(*(F.lit(float(s[c])) for s in stops)), i + 1) * (v - i)).cast("int")
-    return F.when(value.isNotNull(), F.lower(F.format_string("#%02x%02x%02x", channel(0), channel(1), channel(2))))
+    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+    def channel(c: int) -> Column:
+        out = F.lit(float(stops[-1][c]))
+        for a, b in zip(stops[-2::-1], stops[:0:-1], strict=True):
+            out = F.when(v <= b[0], a[c] + (v - a[0]) / (b[0] - a[0]) * (b[c] - a[c])).otherwise(out)
+        return F.floor(out + 0.5).cast("int")
+
+    return F.when(value.isNotNull(), F.lower(F.format_string("#%02x%02x%02x", channel(1), channel(2), channel(3))))
 
 
 def log_scale(count: Column, most: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrine.operators import hdbscan, metrics
 from papyrine.operators.graph import connected_components
+from papyrine.operators.numbering import numbered
 from papyrine.operators.vectors import kmeans, knn
 
 #: Parameters of the algorithms: kind, range, scale, the values a sweep tries.
@@ -24,7 +25,7 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node_id, node_cluster)`` of components, numbered by their smallest node."""
     own = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
     comp = connected_components(links.select("src", "dst").unionByName(own))
-    first = comp.select("component").distinct().withColumn("node_cluster", F.row_number().over(Window.orderBy("component")) - 1)
+    first = numbered(comp.select("component").distinct(), "component", "node_cluster")
     return comp.join(first, "component").select(F.col("id").alias("node_id"), "node_cluster")
 
 

@@ -33,8 +33,8 @@ def ris_record(authors: Column, title: Column, year: Column, venue: Column, doi:
 
 
 def write_ris(records: DataFrame, path: str) -> None:
-    """Files of records with a blank line between them, in the order of ``ord``; one file for each partition."""
-    records.filter("record is not null").sortWithinPartitions("ord").select(F.concat("record", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+    """Files of records with a blank line between them, in the order of ``ord`` within and across files; one file for each range of it."""
+    records.filter("record is not null").repartitionByRange("ord").sortWithinPartitions("ord").select(F.concat("record", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
 def ris_text(records: DataFrame) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.operators.numbering import numbered
 from papyrine.session import cut
 
 
@@ -51,17 +52,26 @@ def bridged_pairs(nodes: DataFrame, edges: DataFrame, min_ghost_degree: int = 2)
     return pairs.join(common, ["a", "b"], "left_anti")
 
 
-def rewire(nodes: DataFrame, edges: DataFrame, seed: int = 1) -> DataFrame:
-    """``(src, dst)``: every ghost keeps its number of links but gets other partners, picked by a seeded hash among all positioned nodes."""
+def rewire(nodes: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int = 200) -> DataFrame:
+    """``(src, dst)``, once for each link of a ghost: every ghost keeps its number of links to other nodes but gets other partners, picked by a seeded hash among all positioned nodes; links between ghosts stay.
+
+    Where two picks of a ghost meet, further ones are drawn until it has its number. A ghost linked to every node can't have others and gets all of them.
+    """
     g = nodes.filter("is_ghost").select(F.col("node_id").alias("g"))
     both = _both(edges)
     at = both.join(g, both["a"] == g["g"], "left_semi")
+    between = at.join(g, at["b"] == g["g"], "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     real = nodes.filter("base_pos is not null").select("node_id")
-    from pyspark.sql import Window
-
     total = real.count()
-    numbered = cut(real.withColumn("part", F.spark_partition_id()))  # numbers of partitions must not change between uses
-    k = numbered.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    numbered = numbered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("node_id")) - 1).join(k, "part").select((F.col("offset") + F.col("i")).alias("slot"), F.col("node_id").alias("dst"))
-    picked = at.select(F.col("a").alias("src"), F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(max(total, 1))).alias("slot"))
-    return picked.join(numbered, "slot").select("src", "dst").distinct()
+    slots = cut(numbered(real, "node_id", "slot").select("slot", F.col("node_id").alias("dst")))
+    outside = at.join(g, at["b"] == g["g"], "left_anti").groupBy(F.col("a").alias("src")).agg(F.count("*").alias("wanted"))
+    want = cut(outside.select("src", F.least("wanted", F.lit(total)).alias("wanted")))
+    got = cut(want.select("src", F.lit(0).cast("long").alias("dst")).limit(0))
+    for turn in range(max_rounds):
+        lack = want.join(got.groupBy("src").agg(F.count("*").alias("n")), "src", "left").fillna(0, ["n"]).filter("n < wanted")
+        if lack.isEmpty():
+            return got.unionByName(between)
+        drawn = lack.select("src", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted") - F.col("n"))).alias("i")).select("src", F.pmod(F.xxhash64("src", "i", F.lit(seed), F.lit(turn)), F.lit(max(total, 1))).alias("slot"))
+        new = drawn.join(slots, "slot").select("src", "dst").distinct().join(got, ["src", "dst"], "left_anti")
+        got = cut(got.unionByName(new))
+    raise RuntimeError(f"ghosts lack partners after {max_rounds} rounds")

@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't found after {max_rounds} rounds")
     roots = state.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return nodes.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -80,14 +82,17 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame
         comp = connected_components(joined, "a", "b")
         ca, cb = (comp.select(F.col("id").alias(c), F.col("component").alias("n" + c)) for c in "ab")
         live = cut(live.join(ca, "a", "left").join(cb, "b", "left").select("src", "dst", "w", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).filter("a <> b"))
+    else:
+        raise RuntimeError(f"the forest isn't complete after {max_rounds} rounds")
     return tree if tree is not None else e.limit(0)
 
 
-def hop_neighbours(edges: DataFrame, nodes: DataFrame, k: int, most_hops: int = 4, seed: int = 1) -> DataFrame:
-    """``(src, dst, hops)``: for every node k others, the fewest steps away first, among equals by a seeded hash; nodes that reach fewer within
-    ``most_hops`` get hashed others at one step more than the furthest.
+def hop_neighbours(edges: DataFrame, nodes: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """``(src, dst, hops)``: for every node k others, the fewest steps away first, among equals by a seeded hash; nodes whose component holds
+    fewer get hashed others at one step more than the furthest.
 
-    Any k of a layer will do, so a node passes on at most 2 k of its neighbours and hubs don't multiply.
+    Any k of a layer will do, so a node passes on at most 2 k of its neighbours and hubs don't multiply. Each step brings a node that still wants others one at least,
+    or its component is exhausted; so there are k steps at most.
     """
     from pyspark.sql import Window
 
@@ -98,7 +103,7 @@ def hop_neighbours(edges: DataFrame, nodes: DataFrame, k: int, most_hops: int =
     best = Window.partitionBy("src").orderBy("hops", F.xxhash64("src", "dst", F.lit(seed)), "dst")
     found = cut(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
     front = found
-    for h in range(2, most_hops + 1):
+    for h in range(2, k + 1):
         wanting = found.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") < k).select("src")
         reached = front.join(wanting, "src", "left_semi").join(few, front["dst"] == few["a"]).select("src", F.col("b").alias("dst")).filter("src <> dst").distinct()
         front = cut(reached.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(h)))

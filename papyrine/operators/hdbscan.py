@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.session import cut
+
 
 @dataclass
 class Model:
@@ -307,19 +309,15 @@ def tree_tables(df: DataFrame, ident: str, vector: str, min_size: int, min_sampl
     """The condensed tree ``(cluster, parent, birth, stability, size)`` and its leaves ``(node_id, home, level)``."""
     src = df.select(F.col(ident).cast("long").alias("node_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
 
-    def grow(pdf):
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")
-        return pdf["node_id"].to_numpy(), condense(fit(np.stack(pdf["v"].to_numpy()), min_samples), min_size)
-
-    def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = grow(pdf)[1]
-        return pd.DataFrame({"cluster": range(len(t.parent)), "parent": t.parent, "birth": t.birth, "stability": t.stability, "size": t.size})
-
-    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, t = grow(pdf)
-        return pd.DataFrame({"node_id": ids, "home": t.home, "level": t.leaf_level})
+        t = condense(fit(np.stack(pdf["v"].to_numpy()), min_samples), min_size)
+        clusters = pd.DataFrame({"leaf": False, "node_id": 0, "cluster": range(len(t.parent)), "parent": t.parent, "level": t.birth, "stability": t.stability, "size": t.size})
+        leaves = pd.DataFrame({"leaf": True, "node_id": pdf["node_id"].to_numpy(), "cluster": t.home, "parent": 0, "level": t.leaf_level, "stability": 0.0, "size": 0})
+        return pd.concat([clusters, leaves])
 
-    return src.groupBy().applyInPandas(clusters, "cluster long, parent long, birth double, stability double, size long"), src.groupBy().applyInPandas(leaves, "node_id long, home long, level double")
+    both = cut(src.groupBy().applyInPandas(grow, "leaf boolean, node_id long, cluster long, parent long, level double, stability double, size long"))  # one model for both tables
+    return both.filter("not leaf").select("cluster", "parent", F.col("level").alias("birth"), "stability", "size"), both.filter("leaf").select("node_id", F.col("cluster").alias("home"), "level")
 
 
 def ladder_levels(df: DataFrame, ident: str, vector: str, min_size: int, min_samples: int = 5, cap: int = 5) -> DataFrame:

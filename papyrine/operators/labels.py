@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import is_junk, phrases, tokens
+from papyrine.session import cut
 
 METHODS = ("representative", "year", "tfidf", "cTfidf", "keybert", "tfidfStratified", "cTfidfStratified", "keybertStratified")
 BANDS = ("anchor", "broad", "mid", "specific", "signature")
@@ -21,6 +22,7 @@ def term_scores(texts: DataFrame, longest: int = 1, boost: float = 0.0) -> DataF
     the term; ``boost`` adds to it for every further word of a phrase. Counts are combined before anything is shuffled by term.
     """
     counts = texts.filter("cluster is not null and text is not null").select("cluster", F.explode(phrases(tokens(F.col("text")), longest)).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("count"))
+    counts = cut(counts)  # used three times; texts are gone through once
     total = counts.groupBy("cluster").agg(F.sum("count").alias("total"))  # one row a cluster
     clusters = texts.filter("cluster is not null").agg(F.countDistinct("cluster").alias("clusters"))  # one row
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
@@ -78,7 +80,7 @@ def banded(texts: DataFrame, n: int = 3, longest: int = 2, boost: float = 0.15,
     A single word already part of a chosen phrase of its band is passed over; numbers and foreign function words don't sign. At most ``candidates`` best
     terms of a band are looked at, many more than can be passed over.
     """
-    s = term_scores(texts, longest, boost)
+    s = cut(term_scores(texts, longest, boost))  # used for the bands' edges and for the terms
     edges = band_edges(s.agg(F.max("df")).first()[0] or 2)
     df = F.col("df")
     band = F.when(df == 1, "signature").when(df <= edges[0], "specific").when(df <= edges[1], "mid").when(df <= edges[2], "broad").otherwise("anchor")

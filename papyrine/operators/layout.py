@@ -13,12 +13,15 @@ from papyrine.operators.graph import connected_components
 _XYZ = "node_id long, x double, y double, z double"
 
 
-def rotation(cross: np.ndarray) -> tuple[np.ndarray, float]:
-    """The proper rotation that turns a onto b best for cross = Σ a bᵀ, and the trace it reaches."""
+def rotations(cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of many matrices Σ a bᵀ the proper rotation that turns a onto b best, and the trace it reaches."""
+    if not len(cross):
+        return np.zeros((0, 3, 3)), np.zeros(0)
     u, s, vt = np.linalg.svd(cross)
-    flip = np.sign(np.linalg.det(vt.T @ u.T)) or 1.0
-    fix = np.diag([1.0, 1.0, flip])
-    return vt.T @ fix @ u.T, float(s[0] + s[1] + flip * s[2])
+    v = np.swapaxes(vt, 1, 2)
+    flip = np.where(np.linalg.det(v @ np.swapaxes(u, 1, 2)) < 0, -1.0, 1.0)
+    v = v * np.stack([np.ones_like(flip), np.ones_like(flip), flip], axis=1)[:, None, :]
+    return v @ np.swapaxes(u, 1, 2), s[:, 0] + s[:, 1] + flip * s[:, 2]
 
 
 def align(target: DataFrame, source: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -38,16 +41,12 @@ def align(target: DataFrame, source: DataFrame, groups: DataFrame | None = None)
     def solve(batches):
         for pdf in batches:
             out = pdf[["component", "n", "max", "may", "maz", "mbx", "mby", "mbz", "va", "vb"]].copy()
-            rows, traces, scales = [], [], []
-            for _, r in pdf.iterrows():
-                m = np.array([[r[f"s{p}{q}"] for q in "xyz"] for p in "xyz"], dtype=float) * r["n"]
-                rot, trace = rotation(m) if r["n"] > 1 else (np.eye(3), 0.0)
-                rows.append(rot.ravel())
-                traces.append(trace)
-                s = np.sqrt(r["vb"] / r["va"]) if r["va"] * r["n"] > 1e-9 else 1.0
-                scales.append(s if np.isfinite(s) and s > 0 else 1.0)
-            out[names] = np.array(rows).reshape(-1, 9)
-            out["trace"], out["scale"] = traces, scales
+            n, va, vb = (pdf[c].to_numpy(dtype=float) for c in ("n", "va", "vb"))
+            rot, trace = rotations(pdf[[f"s{p}{q}" for p in "xyz" for q in "xyz"]].to_numpy(dtype=float).reshape(-1, 3, 3) * n[:, None, None])
+            alone = n <= 1
+            out[names] = np.where(alone[:, None], np.eye(3).ravel(), rot.reshape(-1, 9))
+            scale = np.sqrt(np.divide(vb, va, out=np.ones_like(va), where=va * n > 1e-9))
+            out["trace"], out["scale"] = np.where(alone, 0.0, trace), np.where(np.isfinite(scale) & (scale > 0), scale, 1.0)
             yield out
 
     cols = ["component long", "n long", *(f"m{s}{c} double" for s in "ab" for c in "xyz"), "va double", "vb double", *(f"{x} double" for x in names), "trace double", "scale double"]

@@ -128,10 +128,11 @@ def pca(df: DataFrame, ident: str, vector: str, components: int) -> tuple[DataFr
     return out, [float(v) for v in model.explainedVariance]
 
 
-def kmeans(df: DataFrame, ident: str, vector: str, k: int, seed: int = 1, max_iter: int = 100) -> DataFrame:
-    """``(ident, cluster)``, clusters numbered by their smallest member."""
-    src = df.select(ident, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    raw = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=5).fit(src).transform(src).select(ident, F.col("prediction").alias("p"))
+def kmeans(df: DataFrame, ident: str, vector: str, k: int, seed: int = 1, max_iter: int = 100, restarts: int = 5) -> DataFrame:
+    """``(ident, cluster)``, clusters numbered by their smallest member; of ``restarts`` fits from different seeds that with the least sum of squares (ties: the first)."""
+    src = df.select(ident, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
+    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(src) for i in range(restarts)]
+    raw = min(fits, key=lambda m: m.summary.trainingCost).transform(src).select(ident, F.col("prediction").alias("p"))
     from pyspark.sql import Window
 
     first = raw.groupBy("p").agg(F.min(ident).alias("f"))  # k rows

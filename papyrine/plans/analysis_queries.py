@@ -331,13 +331,15 @@ def picked_layer_bridges(spark, d):
 @query("f3_rank_correlation", f"""WITH {NODE_EDGES}, deg AS (SELECT dst, count(*) AS k FROM ne GROUP BY 1), v AS (SELECT t, coalesce(k, 0) AS k FROM nodes1 LEFT JOIN deg ON dst = node_id WHERE t IS NOT NULL),
     r AS (SELECT rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS a, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2 AS b FROM v) SELECT round(corr(a, b), 6) AS rho FROM r""")
 def rank_correlation(spark, d):
-    # Mean ranks of the distinct values, from their counts: no window over all rows.
+    # Mean ranks of the distinct values, from their counts summed up by ranges: no window over all rows.
+    from papyrine.operators.numbering import running_sum
+
     dom = Domain(spark, d)
     v = analytics.in_degree(dom.nodes, dom.node_edges).join(dom.nodes.filter("t is not null").select("node_id", "t"), "node_id")
 
     def ranks(c):
         k = v.groupBy(c).agg(F.count("*").alias("m"))
-        return k.select(c, (F.sum("m").over(Window.orderBy(c)) - (F.col("m") - 1) / 2).alias(f"r_{c}"))
+        return running_sum(k, c, F.col("m"), "upto").select(c, (F.col("upto") - (F.col("m") - 1) / 2).alias(f"r_{c}"))
 
     return v.join(ranks("t"), "t").join(ranks("in_deg"), "in_deg").agg(F.round(F.corr("r_t", "r_in_deg"), 6).alias("rho"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import STOP_WORDS, phrases, tokens
 from papyrine.operators import analytics, clustering, dimred, export, graph, hdbscan, labels, layout, metrics, multilevel, search, taste, vectors
+from papyrine.operators.numbering import running_sum
 from papyrine.plans.registry import ASSIGN, EDGES, LEVELS, NODE_EDGES, NODES, POSITIONS, query
 from papyrine.plans.tables import SCORES, Domain
 from papyrine.session import cut
@@ -178,14 +179,17 @@ def size_sweep(spark, d):
     return clustering.size_sweep(_embeddings(spark, d), "vec_id", "embedding")
 
 
-_STEPS = "steps AS (SELECT s AS size, (SELECT count(*) FROM (SELECT count(*) AS k FROM leveled WHERE level_no = 2 AND node_cluster >= 0 GROUP BY node_cluster) WHERE k >= s) AS count FROM range(2, 200) t(s))"
+_STEPS = """ks AS (SELECT count(*) AS k FROM leveled WHERE level_no = 2 AND node_cluster >= 0 GROUP BY node_cluster), steps AS (SELECT s AS size, (SELECT count(*) FROM ks WHERE k >= s) AS count FROM (SELECT unnest(range(2, (SELECT max(k) + 1 FROM ks))) AS s))"""
 
 
 def _steps(spark, d):
-    k = Domain(spark, d).level(2).filter("node_cluster >= 0").groupBy("node_cluster").agg(F.least(F.count("*"), F.lit(199)).alias("k"))
-    at_least = k.select(F.explode(F.sequence(F.lit(2).cast("long"), F.greatest("k", F.lit(2)))).alias("size"), "k").filter("k >= size").groupBy("size").agg(F.count("*").alias("count"))
-    sizes = spark.range(2, 200).withColumnRenamed("id", "size")
-    return sizes.join(at_least, "size", "left").select("size", F.coalesce("count", F.lit(0)).alias("count"))
+    """The number of clusters of each least size from 2 to the largest: sizes of the clusters summed up from above, every size in between once."""
+    k = Domain(spark, d).level(2).filter("node_cluster >= 0").groupBy("node_cluster").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("m"))
+    at_least = running_sum(k, "k", F.col("m"), "count", True).select("k", "count")
+    below = running_sum(k.select("k"), "k", F.lit(1).cast("long"), "place").select("k", "place")  # sizes above the one before
+    before = below.select(F.col("k").alias("prior"), (F.col("place") + 1).alias("place"))
+    spans = below.join(before, "place", "left").join(at_least, "k")
+    return spans.filter("k >= 2").select(F.explode(F.sequence(F.greatest(F.lit(2).cast("long"), F.coalesce(F.col("prior") + 1, F.lit(2))), F.col("k"))).alias("size"), "count")
 
 
 @query("m9_plateaus", f"""WITH {LEVELS}, {_STEPS}, m AS (SELECT *, CASE WHEN count = lag(count) OVER (ORDER BY size) THEN 0 ELSE 1 END AS new FROM steps), r AS (SELECT *, sum(new) OVER (ORDER BY size) AS run FROM m),
@@ -203,7 +207,7 @@ def layer_ladder(spark, d):
 def bootstrap(spark, d):
     e = _embeddings(spark, d)
     ref = cut(hdbscan.cluster(e, "vec_id", "embedding", min_size=15))
-    r = clustering.bootstrap(e, "vec_id", "embedding", ref, rounds=8, min_size=8)
+    r = clustering.bootstrap(e, "vec_id", "embedding", ref, min_size=8)
     return r.select("cluster", "members", F.round("jaccard", 6).alias("jaccard"), "rounds", "class")
 
 
@@ -223,7 +227,7 @@ def pca(spark, d):
 
 @query("j4_umap")
 def umap(spark, d):
-    return dimred.umap(_embeddings(spark, d), "vec_id", "embedding", 2, 10, 50).select("vec_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
+    return dimred.umap(_embeddings(spark, d), "vec_id", "embedding", 2).select("vec_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
 
 
 @query("o1_latin_hypercube")
@@ -242,7 +246,7 @@ def grid_sweep(spark, d):
 @query("o3_target_range")
 def target_range(spark, d):
     schema = {"min_size": {"kind": "int", "min": 3, "max": 40}}
-    return search.target_range(_embeddings(spark, d), "vec_id", "embedding", schema, 5, 15, probes=4)
+    return search.target_range(_embeddings(spark, d), "vec_id", "embedding", schema, 5, 15)
 
 
 @query("o6_dimension_sweep")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyrine.operators import clustering, graph, hdbscan, labels, search
+from papyrine.operators.numbering import running_sum
 from papyrine.plans.registry import LEVELS, NODE_EDGES, NODES, query
 from papyrine.plans.tables import SCORES, Domain
 from papyrine.session import cut
@@ -17,8 +17,8 @@ def newer_older_pairs(spark, d):
     """Pairs of a newer (smaller t) and an older node, counted by what they are without forming them: times are few, nodes many."""
     n = Domain(spark, d).nodes.filter("t is not null").groupBy("t", "is_ghost").agg(F.count("*").alias("k"))
     wide = n.groupBy("t").agg(F.sum(F.when(F.col("is_ghost"), F.col("k")).otherwise(0)).alias("g"), F.sum(F.when(F.col("is_ghost"), 0).otherwise(F.col("k"))).alias("r"))
-    later = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    w = wide.select("t", "g", "r", F.coalesce(F.sum("g").over(later), F.lit(0)).alias("og"), F.coalesce(F.sum("r").over(later), F.lit(0)).alias("orr"))
+    w = running_sum(running_sum(wide, "t", F.col("g"), "og", True), "t", F.col("r"), "orr", True)
+    w = w.select("t", "g", "r", (F.col("og") - F.col("g")).alias("og"), (F.col("orr") - F.col("r")).alias("orr"))
     pairs = F.explode(F.array(*(F.struct(F.lit(a == "g").alias("newer_ghost"), F.lit(b == "og").alias("older_ghost"), (F.col(a) * F.col(b)).alias("pairs")) for a in ("g", "r") for b in ("og", "orr")))).alias("p")
     return w.select(pairs).groupBy("p.newer_ghost", "p.older_ghost").agg(F.sum("p.pairs").alias("pairs")).filter("pairs > 0")
 
@@ -35,7 +35,7 @@ def origins(spark, d):
 def stability_summary(spark, d):
     e = Domain(spark, d).raw("embeddings")
     ref = cut(hdbscan.cluster(e, "vec_id", "embedding", min_size=15))
-    s = clustering.stability_summary(clustering.bootstrap(e, "vec_id", "embedding", ref, rounds=5, min_size=8))
+    s = clustering.stability_summary(clustering.bootstrap(e, "vec_id", "embedding", ref, min_size=8))
     return s.select(F.round("macro", 6).alias("macro"), F.round("unweighted", 6).alias("unweighted"), "stable", "doubtful", "unstable")
 
 
