@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.operators.skew import join_hot
 from papyrine.operators.vectors import pca
 from papyrine.session import cut
 
@@ -27,13 +28,14 @@ def defaults(slot: str, method: str) -> dict:
 
 
 def diffuse(vectors: DataFrame, edges: DataFrame, alpha: float = 0.5, iterations: int = 4, ghosts: DataFrame | None = None, ghost_degree: bool = True, cut_every: int = 4) -> DataFrame:
-    """``(node_id, dim, value)`` after ``iterations`` steps of X' = (1 - alpha) X0 + alpha D⁻¹ A X.
+    """``(node_id, vec)`` after ``iterations`` steps of X' = (1 - alpha) X0 + alpha D⁻¹ A X.
 
-    ``vectors``: (node_id, dim, value); ``edges``: (src, dst), taken in both directions, once each. Ghosts have no X0: they begin at the mean of their
+    ``vectors``: (node_id, vec), all of one length; ``edges``: (src, dst), taken in both directions, once each. Ghosts have no X0: they begin at the mean of their
     other neighbours (or 0) and go to the mean of all. ``ghost_degree=False`` drops the edges at ghosts. A node without edges keeps (1 - alpha) of its vector; without
-    any edges vectors stay as they are.
+    any edges vectors stay as they are. A step shuffles a vector once for each link's other end, sums by position before the shuffle; hubs' links stay where they are.
     """
     alpha, iterations = min(max(alpha, 0.0), 0.999), int(min(max(round(iterations), 0), 50))
+    vectors = vectors.select("node_id", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     real = vectors.select("node_id").distinct()
@@ -44,18 +46,26 @@ def diffuse(vectors: DataFrame, edges: DataFrame, alpha: float = 0.5, iterations
     both = cut(both)
     if both.isEmpty() or not iterations:
         return vectors
-    degree = both.groupBy("a").agg(F.count("*").alias("k"))
-    linked = cut(both.join(degree, "a"))
-    anchor = vectors.select(F.col("node_id").alias("a"), "dim", F.col("value").alias("x0"))
+    dims = vectors.agg(F.max(F.size("vec"))).first()[0]
+    counts = cut(both.groupBy("b").agg(F.count("*").alias("n")))  # links of each end; both directions are there, so also its degree
+    anchor = vectors.select(F.col("node_id").alias("a"), F.col("vec").alias("x0"))
+    total = F.array(*(F.sum(F.col("vec")[i]) for i in range(dims)))
+    over = lambda v, k: F.transform(v, lambda x: x / k)
+
+    def spread(now: DataFrame, links: DataFrame, n: DataFrame) -> DataFrame:
+        return join_hot(links, now.withColumnRenamed("node_id", "b"), "b", n).groupBy("a").agg(total.alias("s"), F.count("*").alias("seen"))
+
     now = vectors
     if ghosts is not None:
-        start = both.join(ghosts.withColumnRenamed("node_id", "a"), "a", "left_semi").join(vectors.withColumnRenamed("node_id", "b"), "b").groupBy("a", "dim").agg(F.avg("value").alias("value"))
-        now = now.unionByName(start.select(F.col("a").alias("node_id"), "dim", "value"))
+        own = both.join(ghosts.withColumnRenamed("node_id", "a"), "a", "left_semi").join(real.withColumnRenamed("node_id", "b"), "b", "left_semi")
+        start = spread(vectors, own, own.groupBy("b").agg(F.count("*").alias("n"))).select(F.col("a").alias("node_id"), over("s", F.col("seen")).alias("vec"))
+        now = cut(now.unionByName(start))
+    degree = counts.select(F.col("b").alias("a"), F.col("n").alias("k"))
     for step in range(1, iterations + 1):
-        spread = linked.join(now.withColumnRenamed("node_id", "b"), "b").groupBy("a", "dim").agg((F.sum("value") / F.max("k")).alias("m"))
-        now = spread.join(anchor, ["a", "dim"], "full").select(
-            F.col("a").alias("node_id"), "dim", F.when(F.col("x0").isNull(), F.col("m")).otherwise((1 - alpha) * F.col("x0") + alpha * F.coalesce("m", F.lit(0.0))).alias("value")
-        )
+        mean = spread(now, both, counts).join(degree, "a").select("a", over("s", F.col("k")).alias("m"))
+        kept = F.transform("x0", lambda x: (1 - alpha) * x)
+        mixed = F.zip_with("x0", "m", lambda x, m: (1 - alpha) * x + alpha * m)
+        now = mean.join(anchor, "a", "full").select(F.col("a").alias("node_id"), F.when(F.col("x0").isNull(), F.col("m")).when(F.col("m").isNull(), kept).otherwise(mixed).alias("vec"))
         if step % cut_every == 0:
             now = cut(now)
     return now
@@ -119,24 +129,33 @@ def fuzzy_weights(n: int, src: np.ndarray, dst: np.ndarray, dist: np.ndarray, k:
     return pair["a"].to_numpy(), pair["b"].to_numpy(), both
 
 
-def umap(df: DataFrame, ident: str, vector: str, components: int = 3, neighbours: int = 15, epochs: int = 200, seed: int = 42) -> DataFrame:
-    """``(ident, vec)``: neighbours are found in blocks over the cluster; the placement is one task with the rows' links, no vectors."""
+def umap_links(df: DataFrame, ident: str, vector: str, neighbours: int = 15) -> DataFrame:
+    """``(src, dst, d)``: the neighbour links that a placement starts from, and a row without ``dst`` for every node."""
     from papyrine.operators.vectors import knn
 
     links = knn(df, ident, vector, neighbours).select("src", "dst", F.sqrt("d2").alias("d"))
-    ids = df.select(F.col(ident).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("d"))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.sort(pdf.loc[pdf["dst"].isna(), "src"].unique())
-        e = pdf[pdf["dst"].notna()].sort_values(["src", "d", "dst"])
-        if len(own) < 2 or not len(e):
-            return pd.DataFrame({"node": own, "vec": [[0.0] * components] * len(own)})
-        s, t = np.searchsorted(own, e["src"].to_numpy()), np.searchsorted(own, e["dst"].to_numpy(dtype="int64"))
-        a, b, w = fuzzy_weights(len(own), s, t, e["d"].to_numpy(), neighbours)
-        y = embed_neighbours(len(own), a, b, w, components, epochs, seed)
+    return links.unionByName(df.select(F.col(ident).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(-1.0).alias("d")))
+
+
+def place(pdf: pd.DataFrame, components: int, neighbours: int, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of ``umap_links`` in ascending order and their places."""
+    own = np.sort(pdf.loc[pdf["d"] < 0, "src"].unique())
+    e = pdf[pdf["d"] >= 0].sort_values(["src", "d", "dst"])
+    if len(own) < 2 or not len(e):
+        return own, np.zeros((len(own), components))
+    s, t = np.searchsorted(own, e["src"].to_numpy()), np.searchsorted(own, e["dst"].to_numpy(dtype="int64"))
+    a, b, w = fuzzy_weights(len(own), s, t, e["d"].to_numpy(), neighbours)
+    return own, embed_neighbours(len(own), a, b, w, components, epochs, seed)
+
+
+def umap(df: DataFrame, ident: str, vector: str, components: int = 3, neighbours: int = 15, epochs: int = 200, seed: int = 42) -> DataFrame:
+    """``(ident, vec)``: neighbours are found in blocks over the cluster; the placement is one task with the rows' links, no vectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, y = place(pdf, components, neighbours, epochs, seed)
         return pd.DataFrame({"node": own, "vec": list(y)})
 
-    return links.unionByName(ids).groupBy().applyInPandas(place, "node long, vec array<double>").select(F.col("node").alias(ident), "vec")
+    return umap_links(df, ident, vector, neighbours).groupBy().applyInPandas(run, "node long, vec array<double>").select(F.col("node").alias(ident), "vec")
 
 
 def reduce(method: str, df: DataFrame, ident: str, vector: str, **params) -> DataFrame:

@@ -312,14 +312,12 @@ def _step(i: int) -> str:
 def _diffused(spark, d, iterations: int = 3):
     dom = Domain(spark, d)
     n = dom.nodes
-    flat = n.filter("base_pos is not null").select("node_id", F.posexplode("base_pos").alias("dim", "value"))
-    return dimred.diffuse(flat, dom.node_edges, 0.5, iterations, ghosts=n.filter("is_ghost").select("node_id"))
+    return dimred.diffuse(n.filter("base_pos is not null").select("node_id", F.col("base_pos").alias("vec")), dom.node_edges, 0.5, iterations, ghosts=n.filter("is_ghost").select("node_id"))
 
 
 @query("j5_diffusion", f"WITH {NODE_EDGES}, {_START}, {_step(1)}, {_step(2)}, {_step(3)} SELECT node_id, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM s3")
 def diffusion(spark, d):
-    wide = _diffused(spark, d).groupBy("node_id").agg(*(F.round(F.max(F.when(F.col("dim") == i, F.col("value"))), 3).alias(c) for i, c in enumerate("xyz")))
-    return wide
+    return _wide(_diffused(spark, d)).select("node_id", *(F.round(c, 3).alias(c) for c in "xyz"))
 
 
 @query("j6_viewer_scale", f"WITH {POSITIONS}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS r FROM pos) SELECT node_id, round((x - mx) * 90 / r, 4) AS x, round((y - my) * 90 / r, 4) AS y, round((z - mz) * 90 / r, 4) AS z FROM pos, m")
@@ -334,8 +332,8 @@ def blend(spark, d):
     return layout.blend(p, dimred.viewer_scale(p), mirrored, 0.4, 0.3).select("node_id", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
-def _wide(long):
-    return long.groupBy("node_id").agg(*(F.max(F.when(F.col("dim") == i, F.col("value"))).alias(c) for i, c in enumerate("xyz")))
+def _wide(vectors_):
+    return vectors_.select("node_id", *(F.col("vec")[i].alias(c) for i, c in enumerate("xyz")))
 
 
 @query("n10_displacement")
@@ -365,7 +363,7 @@ def align_global(spark, d):
 def contamination(spark, d):
     """How far diffusion with ghosts moves the other nodes against diffusion without them, and whether ranks of distances to the centre keep."""
     dom = Domain(spark, d)
-    flat = dom.nodes.filter("base_pos is not null").select("node_id", F.posexplode("base_pos").alias("dim", "value"))
+    flat = dom.nodes.filter("base_pos is not null").select("node_id", F.col("base_pos").alias("vec"))
     a, b = cut(_wide(_diffused(spark, d))), cut(_wide(dimred.diffuse(flat, dom.node_edges, 0.5, 3)))
     j = a.select("node_id", *(F.col(c).alias(c + "1") for c in "xyz")).join(b, "node_id")
     far = lambda s: F.sqrt(sum(F.col(c + s) ** 2 for c in "xyz"))

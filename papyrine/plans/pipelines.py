@@ -14,9 +14,7 @@ def reduction(vectors: DataFrame, ident: str, vector: str, edges: DataFrame | No
     """The stages noise → fusion → compression, and the compression before fusion where there are links; independent stages run at the same time."""
 
     def fuse(done):
-        flat = done["noise"].select(F.col(ident).alias("node_id"), F.posexplode("vec").alias("dim", "value"))
-        out = dimred.diffuse(flat, edges, alpha)
-        return cut(out.groupBy(F.col("node_id").alias(ident)).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda e: e["value"]).alias("vec")))
+        return cut(dimred.diffuse(done["noise"].select(F.col(ident).alias("node_id"), "vec"), edges, alpha).select(F.col("node_id").alias(ident), "vec"))
 
     small = lambda d: cut(dimred.reduce("pca", d, ident, "vec", components=compression))
     tasks = {

@@ -249,14 +249,14 @@ def test_forest_weight(spark):
 
 
 def test_diffusion_conventions(spark):
-    v = spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0), (2, 0, 8.0)], "node_id long, dim int, value double")
+    v = spark.createDataFrame([(0, [1.0]), (1, [3.0]), (2, [8.0])], "node_id long, vec array<double>")
     e = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
-    got = {r["node_id"]: r["value"] for r in diffuse(v, e, 0.5, 1).collect()}
+    got = {r["node_id"]: r["vec"][0] for r in diffuse(v, e, 0.5, 1).collect()}
     assert got == {0: 2.0, 1: 2.0, 2: 4.0}
-    assert {r["node_id"]: r["value"] for r in diffuse(v, e.limit(0), 0.5, 3).collect()} == {0: 1.0, 1: 3.0, 2: 8.0}
+    assert {r["node_id"]: r["vec"][0] for r in diffuse(v, e.limit(0), 0.5, 3).collect()} == {0: 1.0, 1: 3.0, 2: 8.0}
     g = spark.createDataFrame([(9,)], "node_id long")
     e2 = spark.createDataFrame([(9, 0), (9, 1)], "src long, dst long")
-    assert {r["node_id"]: r["value"] for r in diffuse(v, e2, 0.5, 1, ghosts=g).collect()}[9] == 2.0
+    assert {r["node_id"]: r["vec"][0] for r in diffuse(v, e2, 0.5, 1, ghosts=g).collect()}[9] == 2.0
 
 
 def test_knn_breaks_ties_by_id(spark):
