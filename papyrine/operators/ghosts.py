@@ -24,14 +24,26 @@ def nearest_neighbour(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return near.groupBy(F.col("a").alias("ghost")).agg(F.min(F.struct(F.abs(F.col("gt") - F.col("nt")).alias("gap"), "b"))["b"].alias("nearest"), F.count("*").alias("neighbours"))
 
 
-def inherit_labels(nodes: DataFrame, edges: DataFrame, labels: DataFrame, structural: int = -1) -> DataFrame:
-    """``(node_id, node_cluster)`` of the ghosts: the label of the nearest neighbour, ``structural`` without one."""
+def inherit_labels(nodes: DataFrame, edges: DataFrame, labels: DataFrame, structural: int = -1, reserve: bool = False) -> DataFrame:
+    """``(node_id, node_cluster)`` of the ghosts: the label of the nearest neighbour, ``structural`` without one; ``reserve``: a cluster of their own after the last one instead."""
     near = nearest_neighbour(nodes, edges).select(F.col("ghost").alias("node_id"), "nearest")
     of = labels.select(F.col("node_id").alias("nearest"), "node_cluster")
     out = nodes.filter("is_ghost").select("node_id").join(near, "node_id", "left").join(of, "nearest", "left")
+    if reserve:
+        after = labels.agg((F.coalesce(F.max("node_cluster"), F.lit(-1)) + 1).alias("after"))  # one row
+        return out.crossJoin(F.broadcast(after)).select("node_id", F.coalesce("node_cluster", "after").alias("node_cluster"))
     return out.select("node_id", F.coalesce("node_cluster", F.lit(structural)).alias("node_cluster"))
 
 
+def lift_tree(tree: DataFrame, leaves: DataFrame, strays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A condensed tree (cluster, parent, birth, stability, size) and its leaves (node_id, home, level) with nodes that have no vector as one more child of the root, born and left at level 0."""
+    top = tree.agg((F.max("cluster") + 1).alias("cluster"), F.max(F.when(F.col("parent") < 0, F.col("cluster"))).alias("root"))
+    n = strays.agg(F.count("*").alias("size"))
+    extra = top.crossJoin(n).filter("size > 0").select("cluster", F.col("root").alias("parent"), F.lit(0.0).alias("birth"), F.lit(0.0).alias("stability"), "size")  # one row
+    homes = strays.crossJoin(F.broadcast(extra.select("cluster"))).select("node_id", F.col("cluster").alias("home"), F.lit(0.0).alias("level"))
+    return tree.unionByName(extra), leaves.unionByName(homes)
+
+
 def bridged_pairs(nodes: DataFrame, edges: DataFrame, min_ghost_degree: int = 2) -> DataFrame:
     """``(a, b)``: pairs of other nodes linked to one ghost, without a link or a common neighbour of their own.
 

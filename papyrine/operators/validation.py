@@ -32,3 +32,24 @@ def vector_violations(df: DataFrame, vector: str, dims: int) -> DataFrame:
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return df.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(F.size(v) != dims).alias("wrong_length"), F.count_if(bad).alias("not_finite"))
+
+
+def layout_violations(positions: DataFrame) -> DataFrame:
+    """``(repeated, not_finite)`` of places ``(node_id, x, y, z)``."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf")))
+    return positions.agg((F.count("*") - F.countDistinct("node_id")).alias("repeated"), F.count_if(bad("x") | bad("y") | bad("z")).alias("not_finite"))
+
+
+def tree_violations(tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``(roots, orphans, younger_parents, homeless)`` of a condensed tree and its leaves; a sound one has 1, 0, 0, 0."""
+    up = tree.select(F.col("cluster").alias("parent"), F.col("birth").alias("parent_birth"))
+    j = tree.filter("parent >= 0").join(up, "parent", "left")
+    below = j.agg(F.count_if(F.col("parent_birth").isNull()).alias("orphans"), F.count_if(F.col("parent_birth") > F.col("birth")).alias("younger_parents"))
+    homes = leaves.join(tree.select(F.col("cluster").alias("home")), "home", "left_anti").agg(F.count("*").alias("homeless"))
+    return tree.agg(F.count_if(F.col("parent") < 0).alias("roots")).crossJoin(below).crossJoin(homes)  # one row each
+
+
+def assignment_violations(assign: DataFrame) -> DataFrame:
+    """``(level_uid, repeated, gaps)``: nodes assigned twice at a level, and numbers of clusters below the largest that no node has."""
+    gaps = F.max("node_cluster") + 1 - F.countDistinct(F.when(F.col("node_cluster") >= 0, F.col("node_cluster")))
+    return assign.groupBy("level_uid").agg((F.count("*") - F.countDistinct("node_id")).alias("repeated"), F.greatest(gaps, F.lit(0)).alias("gaps"))

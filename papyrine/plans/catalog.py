@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.plans import analysis_queries, model_queries, more_queries  # noqa: F401
+from papyrine.plans import analysis_queries, comparison_queries, model_queries, more_queries  # noqa: F401
 from papyrine.plans.registry import QUERIES, SQL
 
 

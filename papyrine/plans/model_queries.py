@@ -24,7 +24,7 @@ def _strip(sql: str) -> str:
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
-@query("a1_sources", "SELECT * FROM (VALUES ('matrix', 'NPY matrix'), ('tables', 'Parquet tables of nodes and citations'), ('toy', 'Gaussian mixture')) AS v(name, label)")
+@query("a1_sources", "SELECT * FROM (VALUES ('matrix', 'NPY matrix'), ('subset', 'NPY matrix with its papers, years and links'), ('tables', 'Parquet tables of nodes and citations'), ('toy', 'Gaussian mixture')) AS v(name, label)")
 def sources(spark, d):
     return spark.createDataFrame([(s.name, s.label) for s in registry.SOURCES.values()], "name string, label string")
 

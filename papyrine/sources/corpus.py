@@ -43,6 +43,30 @@ def subset(papers: DataFrame, wanted: DataFrame, key: str = "paper_id") -> DataF
     return papers.join(wanted.select(key, F.col("position").alias("node_id")), key)
 
 
+def assemble(index: DataFrame, papers: DataFrame, citations: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes (node_id, paper_id, year, t, is_ghost), edges (src, dst), vectors (node_id, vec) and the number of citations left out, of a corpus.
+
+    ``index``: (row_no, paper_id), the rows of the matrix ``vectors`` (row_no, vec). Raises if index and embedded papers differ. Embedded nodes are numbered by their row, ghosts after
+    them by ``paper_id``; a citation with an end that is neither is left out and counted.
+    """
+    from papyrine.operators.numbering import numbered
+    from papyrine.session import cut
+
+    whole = embedded(papers)
+    lost = drift(index, whole).groupBy("side").count().collect()  # two rows at most
+    if lost:
+        raise ValueError("index and papers differ: " + ", ".join(f"{r['count']} only in the {r['side']}" for r in sorted(lost)))
+    real = index.join(whole, "paper_id").select(F.col("row_no").cast("long").alias("node_id"), "paper_id", "year", F.lit(False).alias("is_ghost"))
+    n = real.count()
+    late = numbered(ghosts(papers).select("paper_id", "year"), "paper_id", "r").select((F.col("r") + n).alias("node_id"), "paper_id", "year", F.lit(True).alias("is_ghost"))
+    nodes = cut(normalised_time(real.unionByName(late)))
+    ends = nodes.select("paper_id", "node_id")
+    all_ = citations.filter("citing_id is not null and cited_id is not null and citing_id <> cited_id").select("citing_id", "cited_id").distinct()
+    kept = cut(all_.join(ends.toDF("citing_id", "src"), "citing_id").join(ends.toDF("cited_id", "dst"), "cited_id").select("src", "dst"))
+    out = {"nodes": nodes, "edges": kept, "dropped": all_.agg(F.count("*").alias("n")).select((F.col("n") - kept.count()).alias("dropped"))}
+    return out | ({"vectors": vectors.select(F.col("row_no").cast("long").alias("node_id"), "vec")} if vectors is not None else {})
+
+
 def discover(spark: SparkSession, root: str) -> list[str]:
     """Names ``project::subset`` of the directories below ``root`` that hold an index, each once."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.sources import mixture, npy, snapshot
+from papyrine.sources import matrix, mixture, npy, snapshot
 
 
 @dataclass(frozen=True)
@@ -34,12 +34,17 @@ def _matrix(spark, p):
     return {"embeddings": npy.read_npy(spark, p["path"])}
 
 
+def _subset(spark, p):
+    return matrix.read(spark, p["matrix"], p["index"], p["years"], p["edges"])
+
+
 SOURCES = {
     s.name: s
     for s in (
         Source("toy", "Gaussian mixture", {"seed": 42, "nodes": 400, "origins": 6, "spread_scale": 1.0}, _toy),
         Source("tables", "Parquet tables of nodes and citations", {"path": None}, _tables),
         Source("matrix", "NPY matrix", {"path": None}, _matrix),
+        Source("subset", "NPY matrix with its papers, years and links", {"matrix": None, "index": None, "years": None, "edges": None}, _subset),
     )
 }
 
