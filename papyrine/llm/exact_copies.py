@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.skew import hot_keys, join_hot
+from papyrine.operators.skew import hot_keys, join_hot
 from papyrine.session import cut, exact
 
 _SALTS = 64
