@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.operators.dimred import embed_neighbours
-from papyrine.operators.graph import connected_components
+from papyrine.operators.dimred import embed_neighbours, fuzzy_weights
+from papyrine.operators.graph import connected_components, hop_neighbours
+from papyrine.session import cut
 
 _XYZ = "node_id long, x double, y double, z double"
 
@@ -50,10 +51,7 @@ def align(target: DataFrame, source: DataFrame, groups: DataFrame | None = None)
             yield out
 
     cols = ["component long", "n long", *(f"m{s}{c} double" for s in "ab" for c in "xyz"), "va double", "vb double", *(f"{x} double" for x in names), "trace double", "scale double"]
-    turned = sums.mapInPandas(solve, ", ".join(cols))
-    from papyrine.session import cut
-
-    turned = cut(turned)
+    turned = cut(sums.mapInPandas(solve, ", ".join(cols)))
     k = j.join(turned, "component")
     d = [F.col(f"a{c}") - F.col(f"ma{c}") for c in "xyz"]
     moved = [F.when(F.col("n") == 1, F.col(f"b{c}")).otherwise(F.col("scale") * (F.col(f"r{i}0") * d[0] + F.col(f"r{i}1") * d[1] + F.col(f"r{i}2") * d[2]) + F.col(f"mb{c}")).alias(c) for i, c in enumerate("xyz")]
@@ -231,18 +229,44 @@ def _forces(n: int, e: np.ndarray, t: np.ndarray, seed: int, rounds: int = 200,
     return y
 
 
-LAYOUTS = ("forces", "mds", "umap-graph")
+#: Methods with their parameters: kind, range, the values a sweep tries.
+LAYOUTS = {
+    "forces": {"label": "Forces", "parameters": {"iterations": {"kind": "int", "min": 50, "max": 600, "default": 200, "sweep": [100, 200, 400]}}},
+    "mds": {"label": "Distances in steps", "parameters": {"iterations": {"kind": "int", "min": 50, "max": 600, "default": 60, "sweep": [60, 100, 200]}, "scale": {"kind": "float", "min": 1, "max": 30, "default": 1.0, "sweep": [6, 12, 18, 24]}}},
+    "umap-graph": {"label": "Neighbour embedding of the links", "parameters": {"neighbours": {"kind": "int", "min": 4, "max": 50, "default": 15, "sweep": [10, 15, 25, 40]}, "iterations": {"kind": "int", "min": 50, "max": 2000, "default": 200, "sweep": [200, 500, 1000]}}},
+}
+
 
+def parameters(method: str, **given) -> dict:
+    """The parameters of a method, defaults where none are given; unknown methods, names and values out of range raise."""
+    if method not in LAYOUTS:
+        raise KeyError(f"no layout {method!r}; there are {', '.join(LAYOUTS)}")
+    schema = LAYOUTS[method]["parameters"]
+    for name, v in given.items():
+        if name not in schema:
+            raise TypeError(f"{method} has no parameter {name}")
+        if not schema[name]["min"] <= v <= schema[name]["max"]:
+            raise ValueError(f"{name} = {v} is out of range")
+    return {n: given.get(n, f["default"]) for n, f in schema.items()}
 
-def layout(method: str, nodes: DataFrame, edges: DataFrame, seed: int = 1, most_in_task: int = 3000) -> DataFrame:
+
+def layout(method: str, nodes: DataFrame, edges: DataFrame, seed: int = 1, most_in_task: int = 3000, **given) -> DataFrame:
     """``(node_id, x, y, z)``: every component laid out in a task of its own; components are set apart by a seeded place.
 
+    "umap-graph" embeds, for each node, as many neighbours by steps along the links as ``neighbours`` says, itself among them, weighted like distances.
+
     In components beyond ``most_in_task`` nodes all pairs are approximated: the repulsion of "forces" on a mesh, the stress of "mds" by random pivots. All
     methods hold a component's links in one task.
     """
-    own = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
-    comp = connected_components(edges.select("src", "dst").unionByName(own)).select(F.col("id").alias("src"), "component")
-    e = edges.select("src", "dst").unionByName(own).join(comp, "src").join(nodes.select(F.col("node_id").alias("src"), F.coalesce("t", F.lit(0.0)).alias("t")), "src")
+    p = parameters(method, **given)
+    own = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).alias("hops"))
+    comp = cut(connected_components(edges.select("src", "dst").unionByName(own.select("src", "dst"))).select(F.col("id").alias("src"), "component"))
+    links = edges.select("src", "dst", F.lit(1).alias("hops"))
+    if method == "umap-graph":
+        near = hop_neighbours(edges, nodes, p["neighbours"] - 1, seed)
+        other = comp.select(F.col("src").alias("dst"), F.col("component").alias("there"))
+        links = near.join(comp, "src").join(other, "dst").filter("component = there").select("src", "dst", "hops")  # without those that only fill up
+    e = links.unionByName(own).join(comp, "src").join(nodes.select(F.col("node_id").alias("src"), F.coalesce("t", F.lit(0.0)).alias("t")), "src")
 
     def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
         own_ = pdf[pdf["src"] == pdf["dst"]].drop_duplicates("src").sort_values("src")
@@ -254,17 +278,18 @@ def layout(method: str, nodes: DataFrame, edges: DataFrame, seed: int = 1, most_
         if n == 1:
             y = np.zeros((1, 3))
         elif method == "mds" and n > most_in_task:
-            y = _stress(n, pairs, s)
+            y = _stress(n, pairs, s, rounds=p["iterations"]) * p["scale"]
         elif method == "mds":
             near = [[] for _ in range(n)]
             for a, b in pairs.tolist():
                 near[a].append(b)
                 near[b].append(a)
-            y = _smacof(_hops(n, near).astype(float), s)
+            y = _smacof(_hops(n, near).astype(float), s, p["iterations"]) * p["scale"]
         elif method == "forces":
-            y = _forces(n, pairs, t, s, exact=most_in_task)
+            y = _forces(n, pairs, t, s, p["iterations"], exact=most_in_task)
         else:
-            y = embed_neighbours(n, pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), 3, 200, s)
+            a, b, w = fuzzy_weights(n, np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"]), links["hops"].to_numpy(dtype=float), p["neighbours"])
+            y = embed_neighbours(n, a, b, w, 3, p["iterations"], s)
         y = y + np.random.default_rng(s).normal(size=3) * 30 * (1 if n < 10 else 0)
         return pd.DataFrame({"node_id": ids, "x": y[:, 0], "y": y[:, 1], "z": y[:, 2]})
 

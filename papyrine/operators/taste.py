@@ -10,6 +10,44 @@ from pyspark.sql import functions as F
 from papyrine.functions.rng import generator, poisson, shuffled
 from papyrine.operators.graph import connected_components
 from papyrine.operators.vectors import knn
+from papyrine.session import cut
+
+
+#: Where links come from, and what each way needs.
+CITATIONS = {
+    "taste-network": {"label": "Drawn from tastes", "needs_neighbourhoods": True, "needs_positions": True, "is_async": False, "defaults": {"budget": 1200, "rate_inside": 1.0, "rate_outside": 0.02, "seed": 11}},
+    "imported": {"label": "Imported links", "needs_neighbourhoods": False, "needs_positions": False, "is_async": True, "defaults": {}},
+}
+
+
+def citations(method: str, nodes: DataFrame, assign: DataFrame | None = None, positions: DataFrame | None = None, imported: DataFrame | None = None, **given) -> DataFrame:
+    """``(src, dst)`` by a registered way: each link once, no node with itself, both ends known. Raises if what the way needs is missing."""
+    if method not in CITATIONS:
+        raise KeyError(f"no way {method!r}; there are {', '.join(CITATIONS)}")
+    way = CITATIONS[method]
+    if unknown := set(given) - set(way["defaults"]):
+        raise TypeError(f"{method} has no parameter {', '.join(sorted(unknown))}")
+    params = way["defaults"] | given
+    if method == "imported":
+        if imported is None:
+            raise ValueError("there are no links to import")
+        links = imported.select("src", "dst")
+    else:
+        if assign is None or positions is None:
+            raise ValueError(f"{method} needs clusters and positions")
+        near = cut(neighbourhoods(positions, assign))
+        centres = near.join(positions, "node_id").groupBy("neighbourhood").agg(*(F.avg(c).alias(c) for c in "xyz")).orderBy("neighbourhood")
+        likes = tastes([(r["neighbourhood"], r["x"], r["y"], r["z"]) for r in centres.collect()])  # drawn on the driver for some hundred neighbourhoods
+        pairs = nodes.sparkSession.createDataFrame([(a, b) for a, s in likes.items() for b in s], "neighbourhood long, cites long")
+        links = draw_links(near.join(nodes.select("node_id", "t"), "node_id"), pairs, **params)
+    known = nodes.select("node_id")
+    links = links.filter("src is not null and dst is not null and src <> dst").distinct()
+    return links.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def of_clusters(taste: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node_cluster, cites)``: the tastes of all neighbourhoods of a cluster together; ``members``: (neighbourhood, node_cluster)."""
+    return members.select("neighbourhood", "node_cluster").distinct().join(taste, "neighbourhood").select("node_cluster", "cites").distinct()
 
 
 def neighbourhoods(pos: DataFrame, assign: DataFrame, k: int = 4) -> DataFrame:

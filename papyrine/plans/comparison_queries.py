@@ -259,3 +259,23 @@ def stage_input(spark, d):
     return df.agg(F.lit(name).alias("stage"), F.count("*").alias("rows"), F.round(F.sum(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)), 2).alias("total")).select("stage", "rows", "total")
 
 
+
+
+@query("h4_tastes_of_clusters", f"""WITH {NODE_EDGES}, {LEVELS}, f AS (SELECT node_id, node_cluster FROM leveled WHERE level_no = 3 AND node_cluster >= 0), c AS (SELECT node_id, node_cluster FROM leveled WHERE level_no = 2 AND node_cluster >= 0),
+    m AS (SELECT DISTINCT f.node_cluster AS nb, c.node_cluster FROM f JOIN c USING (node_id)), t AS (SELECT DISTINCT x.node_cluster AS nb, y.node_cluster AS cites FROM ne JOIN f x ON x.node_id = src JOIN f y ON y.node_id = dst) SELECT DISTINCT m.node_cluster, t.cites FROM m JOIN t USING (nb)""")
+def tastes_of_clusters(spark, d):
+    """What each cluster's finer clusters cite, taken together."""
+    dom = Domain(spark, d)
+    f, c = dom.level(3).filter("node_cluster >= 0"), dom.level(2).filter("node_cluster >= 0")
+    members = f.select("node_id", F.col("node_cluster").alias("neighbourhood")).join(c, "node_id")
+    x, y = (f.select(F.col("node_id").alias(e), F.col("node_cluster").alias(n)) for e, n in (("src", "neighbourhood"), ("dst", "cites")))
+    return taste.of_clusters(dom.node_edges.join(x, "src").join(y, "dst").select("neighbourhood", "cites").distinct(), members)
+
+
+@query("q1_imported_links", f"WITH {NODE_EDGES} SELECT src, dst FROM ne")
+def imported_links(spark, d):
+    dom = Domain(spark, d)
+    raw = dom.raw("citations")
+    n = dom.nodes
+    a, b = (n.select(F.col("paper_id").alias(p), F.col("node_id").alias(e)) for p, e in (("citing_id", "src"), ("cited_id", "dst")))
+    return taste.citations("imported", n, imported=raw.join(a, "citing_id").join(b, "cited_id").select("src", "dst"))

@@ -379,13 +379,9 @@ def neighbourhoods(spark, d):
 
 @query("q4_drawn_links")
 def drawn_links(spark, d):
-    nodes, _ = mixture.mixture(spark)
+    nodes, _ = mixture.mixture(spark)  # links are drawn for the mixture only; the tables have theirs
     pos = nodes.select("node_id", *(F.get("base_pos", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
-    near = cut(taste.neighbourhoods(pos, nodes.select("node_id", F.col("origin_id").alias("node_cluster"))))
-    centres = near.join(pos, "node_id").groupBy("neighbourhood").agg(*(F.avg(c).alias(c) for c in "xyz")).orderBy("neighbourhood")
-    likes = taste.tastes([(r["neighbourhood"], r["x"], r["y"], r["z"]) for r in centres.collect()])  # the toy's neighbourhoods
-    pairs = spark.createDataFrame([(a, b) for a, s in likes.items() for b in s], "neighbourhood long, cites long")
-    return taste.draw_links(near.join(nodes.select("node_id", "t"), "node_id"), pairs, 1200)
+    return taste.citations("taste-network", nodes, nodes.select("node_id", F.col("origin_id").alias("node_cluster")), pos)
 
 
 @query("r4_layout_forces")

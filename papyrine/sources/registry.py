@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyrine.sources import matrix, mixture, npy, snapshot
 
@@ -20,7 +21,12 @@ class Source:
 
 def _toy(spark, p):
     nodes, origins = mixture.mixture(spark, p["seed"], p["nodes"], p["origins"], p["spread_scale"])
-    return {"nodes": nodes, "origins": origins}
+    from papyrine.operators import clustering, metrics
+
+    # How well the origins can be told from the positions at all.
+    best = clustering.bayes_labels(nodes, origins).select("node_id", F.col("origin").alias("b"))
+    limit = metrics.scores(metrics.contingency(nodes.select("node_id", F.col("origin_id").alias("a")), best)).select("n", "ari")
+    return {"nodes": nodes, "origins": origins, "bayes": limit}
 
 
 def _tables(spark, p):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyrine.operators import clustering, comparison, ghosts, graph, hdbscan, instrumentation, numbering, search, validation, vectors
+from papyrine.operators import clustering, comparison, ghosts, graph, hdbscan, instrumentation, layout, numbering, search, taste, validation, vectors
 from papyrine.plans import lanes
 from papyrine.sources import corpus, registry
 
@@ -224,3 +224,36 @@ def test_stability_needs_no_order(spark):
     ref = hdbscan.cluster(df, "id", "v", min_size=8).select("node_id", "node_cluster")
     a, b = (clustering.stability_summary(clustering.bootstrap(x, "id", "v", ref, rounds=3, min_size=4)).first() for x in (df, df.repartition(5)))
     assert a == b
+
+
+def test_layouts_and_their_parameters(spark):
+    nodes = spark.createDataFrame([(i, i / 10) for i in range(12)], "node_id long, t double")
+    ring = spark.createDataFrame([(i, (i + 1) % 10) for i in range(10)], "src long, dst long")
+    for m in layout.LAYOUTS:
+        p = layout.layout(m, nodes, ring, iterations=50).toPandas()
+        assert sorted(p.node_id) == list(range(12)) and np.isfinite(p[["x", "y", "z"]].to_numpy()).all()
+    # On a ring the nearest places belong to linked nodes.
+    p = layout.layout("umap-graph", nodes, ring, neighbours=5).filter("node_id < 10").toPandas().sort_values("node_id")
+    y = p[["x", "y", "z"]].to_numpy()
+    d = np.linalg.norm(y[:, None] - y[None], axis=-1)
+    ring_d = np.minimum((a := np.abs(np.arange(10)[:, None] - np.arange(10)[None])), 10 - a)
+    assert d[ring_d == 1].mean() < d[ring_d >= 4].mean()
+    for bad, error in (({"steps": 3}, TypeError), ({"iterations": 5}, ValueError)):
+        with pytest.raises(error):
+            layout.parameters("mds", **bad)
+    with pytest.raises(KeyError):
+        layout.layout("spiral", nodes, ring)
+
+
+def test_ways_of_links(spark):
+    nodes = spark.createDataFrame([(i, i / 10) for i in range(4)], "node_id long, t double")
+    e = spark.createDataFrame([(0, 1), (0, 1), (2, 2), (3, 9), (None, 1)], "src long, dst long")
+    assert [tuple(r) for r in taste.citations("imported", nodes, imported=e).collect()] == [(0, 1)]
+    for how, error in ((dict(method="imported"), ValueError), (dict(method="taste-network"), ValueError), (dict(method="guess"), KeyError), (dict(method="imported", budget=3), TypeError)):
+        with pytest.raises(error):
+            taste.citations(nodes=nodes, **how)
+
+
+def test_toy_source_knows_its_limit(spark):
+    got = registry.read(spark, "toy", nodes=120)
+    assert 0 < got["bayes"].first()["ari"] <= 1
