@@ -17,7 +17,8 @@ Approximate, the way for more dimensions (``exact=False``), where a ball meets n
 5. Every table has directions of its own (``directions`` Gaussian ones, made orthogonal) and a tree over the projected positions, whose splits are the borders of its hash buckets.
    A query visits its bucket and the ``probes`` buckets behind the borders it is nearest to, in the order of estimated success (distance to the border crossed);
    within a bucket all rows are compared by exact distance in all dimensions, and the candidates of all tables and probes are merged. Work is proportional to
-   rows x tables x (probes + 1) x ``block_rows``.
+   rows x tables x (probes + 1) x ``bucket_rows``.
+6. Recall is measured: ``asked`` queries, picked by a hash, are compared with all rows. Below ``recall`` as many tables again are added, ``rounds`` times at most; if that doesn't do, the exact way is taken.
 
 Memory is bounded by a block. The driver holds the sample: ``per_leaf`` / ``block_rows`` of the rows (1 / 512), and executors the tree, one split a block.
 
@@ -296,7 +297,7 @@ def _answer(vs: list[str], ids, q, leaf, dist, rows, base_ids, open_) -> pa.Tabl
 def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, per_leaf: int = 32, seed: int = 7, exact: bool | None = None, **approximate) -> Neighbours:
     """For each distinct position of ``points`` (from ``usable``) the k + 1 nearest rows, its own among them.
 
-    ``exact`` is the rule up to three dimensions; beyond, ``approximate`` takes ``tables``, ``probes``, ``directions`` and ``bucket_rows``.
+    ``exact`` is the rule up to three dimensions; beyond, ``approximate`` takes ``tables``, ``probes``, ``directions``, ``bucket_rows``, ``recall``, ``asked`` and ``rounds``.
     """
     vs = [f"v{i}" for i in range(dims)]
     k1 = k + 1
@@ -307,7 +308,8 @@ def nearest(points: DataFrame, k: int, dims: int, block_rows: int = 16384, per_l
     crowded = None if crowded.isEmpty() else crowded
     if not (dims <= 3 if exact is None else exact):
         base, lists = _approximate(ranked.filter(F.col("rn") <= k1).select("id", *vs, "rn"), k1, dims, n, per_leaf, seed, **approximate)
-        return Neighbours(base, lists, crowded, k, dims, 0)
+        if lists is not None:
+            return Neighbours(base, lists, crowded, k, dims, 0)
     leaves = -(-n // block_rows)
     tree = KdTree(_sample(ranked, vs, n, leaves, per_leaf, seed), leaves)
     names = ["id", *vs, "rn"]
@@ -385,38 +387,68 @@ def _nearest_in(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[
     return dist, found
 
 
-def _approximate(base: DataFrame, k1: int, dims: int, n: int, per_leaf: int, seed: int, tables: int = 6, probes: int = 3, directions: int = 16, bucket_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """``base`` and the lists found by ``tables`` tables of hash buckets."""
+def recall_of(base: DataFrame, lists: DataFrame, vs: list[str], k1: int, asked: int, seed: int) -> float:
+    """The share of the true neighbours of ``asked`` queries that their lists hold; the queries, a bounded set, are compared with all rows batch by batch."""
+    some = base.filter("rn = 1").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(asked).select("id", *vs).toArrow().combine_chunks()
+    if not some.num_rows:
+        return 1.0
+    qid, q = some.column("id").to_numpy(), np.column_stack([some.column(v).to_numpy() for v in vs])
+
+    def compare(batches):
+        for b in batches:
+            if b.num_rows:
+                dist, rows = _nearest_in(_columns(b, len(vs)), b.column("id").to_numpy(), q, k1)
+                yield from _answer(vs, qid, q, np.zeros(len(q)), dist, rows, b.column("id").to_numpy(), np.zeros(len(q))).select(["id", "d2", "nid"]).to_batches()
+
+    near = base.select("id", *vs).mapInArrow(compare, "id long, d2 array<double>, nid array<long>").groupBy("id").agg(_merged(k1).alias("p"))
+    j = near.select("id", F.array_except(F.col("p.nid"), F.array("id")).alias("true")).join(lists.select("id", F.col("nid").alias("got")), "id", "left")
+    share = j.agg(F.sum(F.size(F.array_intersect("true", F.coalesce("got", F.array().cast("array<bigint>"))))) / F.sum(F.size("true"))).first()[0]
+    return 1.0 if share is None else float(share)
+
+
+def _merged(k1: int):
+    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("d2", "nid"))))), 1, k1)
+
+
+def _approximate(base: DataFrame, k1: int, dims: int, n: int, per_leaf: int, seed: int, tables: int = 6, probes: int = 3, directions: int = 16, bucket_rows: int = 2048, recall: float = 0.9, asked: int = 256, rounds: int = 4) -> tuple[DataFrame, DataFrame | None]:
+    """``base`` and the lists found by tables of hash buckets; None if they don't reach the recall."""
     vs, leaves, m = [f"v{i}" for i in range(dims)], -(-n // bucket_rows), min(dims, directions)
-    rng = np.random.default_rng(seed)
-    turns = [np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :m] for _ in range(tables)]
     x = _sample(base, vs, n, leaves, per_leaf, seed)
-    trees = [KdTree(x @ r, leaves) for r in turns]
     schema = ", ".join(["tab int", "leaf long", "id long", *(f"{v} double" for v in vs), "ask boolean", "home boolean"])
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def hashed(batches):
-        for b in batches:
-            x, ids, ask = _columns(b, dims), b.column("id").to_numpy(), b.column("rn").to_numpy() == 1
-            for t, (r, tree) in enumerate(zip(turns, trees, strict=True)):
-                y = x @ r
-                row, leaf = tree.probes(y[ask], probes)
-                row = np.concatenate([np.arange(len(x)), np.flatnonzero(ask)[row]])
-                leaf = np.concatenate([tree.leaf(y), leaf])
-                home = np.arange(len(row)) < len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, dtype=np.int32)), pa.array(leaf), pa.array(ids[row]), *(pa.array(x[row, i]) for i in range(dims)), pa.array(ask[row]), pa.array(home)], names=names)
-
-    def compare(tab: pa.Table) -> pa.Table:
-        tab = tab.combine_chunks()
-        x, ids, ask, home = _columns(tab, dims), tab.column("id").to_numpy(), tab.column("ask").to_numpy(zero_copy_only=False), tab.column("home").to_numpy(zero_copy_only=False)
-        dist, rows = _nearest_in(x[home], ids[home], x[ask], k1) if home.any() else (np.full((int(ask.sum()), k1), np.inf), np.full((int(ask.sum()), k1), -1, dtype=np.int64))
-        out = _answer(vs, ids[ask], x[ask], np.zeros(int(ask.sum())), dist, rows, ids[home], np.zeros(int(ask.sum())))
-        return out.select(["id", "d2", "nid"])
-
-    found = base.mapInArrow(hashed, schema).groupBy("tab", "leaf").applyInArrow(compare, "id long, d2 array<double>, nid array<long>")
-    p = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("d2", "nid"))))), 1, k1)
-    lists = found.groupBy("id").agg(p.alias("p")).select("id", F.lit(0).cast("long").alias("leaf"), F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid"))
-    return base.withColumn("leaf", F.lit(0).cast("long")), cut(lists)
+    def pass_of(number: int) -> DataFrame:
+        rng = np.random.default_rng((seed, number))
+        turns = [np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :m] for _ in range(tables)]
+        trees = [KdTree(x @ r, leaves) for r in turns]
+
+        def hashed(batches):
+            for b in batches:
+                x, ids, ask = _columns(b, dims), b.column("id").to_numpy(), b.column("rn").to_numpy() == 1
+                for t, (r, tree) in enumerate(zip(turns, trees, strict=True)):
+                    y = x @ r
+                    row, leaf = tree.probes(y[ask], probes)
+                    row = np.concatenate([np.arange(len(x)), np.flatnonzero(ask)[row]])
+                    leaf = np.concatenate([tree.leaf(y), leaf])
+                    home = np.arange(len(row)) < len(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, dtype=np.int32)), pa.array(leaf), pa.array(ids[row]), *(pa.array(x[row, i]) for i in range(dims)), pa.array(ask[row]), pa.array(home)], names=names)
+
+        def compare(tab: pa.Table) -> pa.Table:
+            tab = tab.combine_chunks()
+            x, ids, ask, home = _columns(tab, dims), tab.column("id").to_numpy(), tab.column("ask").to_numpy(zero_copy_only=False), tab.column("home").to_numpy(zero_copy_only=False)
+            dist, rows = _nearest_in(x[home], ids[home], x[ask], k1) if home.any() else (np.full((int(ask.sum()), k1), np.inf), np.full((int(ask.sum()), k1), -1, dtype=np.int64))
+            out = _answer(vs, ids[ask], x[ask], np.zeros(int(ask.sum())), dist, rows, ids[home], np.zeros(int(ask.sum())))
+            return out.select(["id", "d2", "nid"])
+
+        return base.mapInArrow(hashed, schema).groupBy("tab", "leaf").applyInArrow(compare, "id long, d2 array<double>, nid array<long>")
+
+    lists = None
+    for number in range(1 + rounds):
+        found = pass_of(number) if lists is None else pass_of(number).unionByName(lists.select("id", "d2", "nid"))
+        lists = cut(found.groupBy("id").agg(_merged(k1).alias("p")).select("id", F.lit(0).cast("long").alias("leaf"), F.col("p.d2").alias("d2"), F.col("p.nid").alias("nid")))
+        if recall_of(base, lists, vs, k1, asked, seed) >= recall:
+            return base.withColumn("leaf", F.lit(0).cast("long")), lists
+    return base, None
 
 
 def of_every_row(points: DataFrame, found: Neighbours) -> DataFrame:

@@ -54,6 +54,18 @@ def test_nearest_of_many_dimensions(spark, dims):
     assert got[0] == [1, 2, 3, 4, 5] and all(len(v) == 5 and i not in v for i, v in got.items())
 
 
+@pytest.mark.parametrize("rounds", [8, 0])
+def test_tables_are_added_until_recall_is_reached(spark, rounds):
+    """Vectors without any structure: one table of narrow buckets doesn't do; more tables do, or else the exact way."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24))
+    p = neighbours.usable(frame(spark, x), "id", "v", 24)
+    got = lists(p, neighbours.nearest(p, 5, 24, tables=4, probes=2, bucket_rows=100, rounds=rounds, recall=0.9 if rounds else 1.01))
+    want = brute(x, list(range(len(x))), 5)
+    share = np.mean([len(set(got[i]) & set(want[i])) / 5 for i in want])
+    assert share >= (0.88 if rounds else 1.0)
+
+
 def test_tree_descent():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 3))
