@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,7 +30,10 @@ def _matched(table: DataFrame) -> DataFrame:
 
 
 class Comparison:
-    """``table`` (a, b, n); ``clusters`` (a, matched, jaccard, size, retained, lost, biggest, biggest_count); ``nodes`` (node_id, a, b, retention); ``aggregate``."""
+    """``table`` (a, b, n); ``moves`` (a, size, biggest, biggest_count); ``clusters`` (a, matched, jaccard, size, retained, lost, biggest, biggest_count); ``nodes`` (node_id, a, b, retention); ``summary``; ``aggregate``.
+
+    Clusters are matched only where that is asked for: by ``clusters``, and by ``aggregate`` for its macro average.
+    """
 
     def __init__(self, pre: DataFrame, post: DataFrame):
         a, b = pre.select("node_id", F.col("node_cluster").alias("a")), post.select("node_id", F.col("node_cluster").alias("b"))
@@ -37,22 +42,30 @@ class Comparison:
         t = self.table.withColumn("size", F.sum("n").over(sizes))
         # Where most members went; noise only if all went there.
         order = sizes.orderBy((F.col("b") >= 0).desc(), F.desc("n"), "b")
-        most = t.withColumn("r", F.row_number().over(order)).filter("r = 1 and a >= 0").select(F.col("a").cast("long").alias("a"), "size", F.col("b").alias("biggest"), F.col("n").alias("biggest_count"))
-        kept = self.table.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("matched"), F.col("n").alias("retained"))
-        c = most.join(cut(_matched(self.table)), "a").join(kept, ["a", "matched"], "left").fillna(0, ["retained"])
-        self.clusters = c.select("a", "matched", "jaccard", "size", "retained", (F.col("size") - F.col("retained")).alias("lost"), "biggest", "biggest_count")
+        self.moves = t.withColumn("r", F.row_number().over(order)).filter("r = 1 and a >= 0").select(F.col("a").cast("long").alias("a"), "size", F.col("b").alias("biggest"), F.col("n").alias("biggest_count"))
         retention = F.when((F.col("a") < 0) | (F.col("b") < 0), F.lit(None).cast("double")).when(F.col("size") <= 1, 1.0).otherwise((F.col("n") - 1) / (F.col("size") - 1))
         self.nodes = a.join(b, "node_id").join(t, ["a", "b"]).select("node_id", "a", "b", retention.alias("retention"))
 
+    @cached_property
+    def clusters(self) -> DataFrame:
+        kept = self.table.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("matched"), F.col("n").alias("retained"))
+        c = self.moves.join(cut(_matched(self.table)), "a").join(kept, ["a", "matched"], "left").fillna(0, ["retained"])
+        return c.select("a", "matched", "jaccard", "size", "retained", (F.col("size") - F.col("retained")).alias("lost"), "biggest", "biggest_count")
+
     @property
-    def aggregate(self) -> DataFrame:
-        """``(n, ari, nmi, nmi_geometric, clusters_pre, clusters_post, noise_pre, noise_post, reorganised, macro)``, one row."""
+    def summary(self) -> DataFrame:
+        """``(n, ari, nmi, nmi_geometric, clusters_pre, clusters_post, noise_pre, noise_post, reorganised)``, one row."""
         share = lambda c: F.sum(F.when(F.col(c) < 0, F.col("n")).otherwise(0)) / F.sum("n")
         number = lambda c: F.countDistinct(F.when(F.col(c) >= 0, F.col(c)))
         parts = self.table.agg(number("a").alias("clusters_pre"), number("b").alias("clusters_post"), share("a").alias("noise_pre"), share("b").alias("noise_post"))
         moved = self.nodes.agg(F.count_if(F.col("retention") < 0.5).alias("reorganised"))
+        return metrics.scores(self.table).crossJoin(parts).crossJoin(moved)  # one row each
+
+    @property
+    def aggregate(self) -> DataFrame:
+        """``summary`` and ``macro``, the mean matched Jaccard by size; one row."""
         macro = self.clusters.agg((F.sum(F.col("jaccard") * F.col("size")) / F.sum("size")).alias("macro"))
-        return metrics.scores(self.table).crossJoin(parts).crossJoin(moved).crossJoin(macro)  # one row each
+        return self.summary.crossJoin(macro)  # one row each
 
     def top_movers(self, most: int = 20) -> DataFrame:
         return self.nodes.filter("retention is not null").orderBy("retention", "node_id").limit(most)
