@@ -30,7 +30,7 @@ _RET = """t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na FROM ab), ret AS (S
     round(sum(n) FILTER (WHERE a < 0) / sum(n), 6) AS noise_pre, round(sum(n) FILTER (WHERE b < 0) / sum(n), 6) AS noise_post FROM ab), g AS (SELECT count(*) FILTER (WHERE retention < 0.5) AS reorganised FROM ret)
     SELECT n::BIGINT AS n, round((c - e) / ((ca + cb) / 2 - e), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi, round(mi / sqrt(ha * hb), 6) AS nmi_geometric, clusters_pre, clusters_post, coalesce(noise_pre, 0) AS noise_pre, coalesce(noise_post, 0) AS noise_post, reorganised FROM s, f, g WHERE first_level = 2 AND second_level = 3""")
 def aggregate(spark, d):
-    a = _compared(spark, d).aggregate.drop("macro")
+    a = _compared(spark, d).summary
     return a.select("n", *(F.round(c, 6).alias(c) for c in ("ari", "nmi", "nmi_geometric")), "clusters_pre", "clusters_post", F.round("noise_pre", 6).alias("noise_pre"), F.round("noise_post", 6).alias("noise_post"), "reorganised")
 
 
