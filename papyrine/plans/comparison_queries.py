@@ -37,7 +37,7 @@ def aggregate(spark, d):
 @query("n9_cluster_moves", f"""WITH {LEVELS}, {_AB}, t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS size, row_number() OVER (PARTITION BY a ORDER BY b >= 0 DESC, n DESC, b) AS rk FROM ab)
     SELECT a::BIGINT AS a, size::BIGINT AS size, b AS biggest, n AS biggest_count FROM t WHERE rk = 1 AND a >= 0""")
 def cluster_moves(spark, d):
-    return _compared(spark, d).clusters.select("a", "size", "biggest", "biggest_count")
+    return _compared(spark, d).moves
 
 
 @query("n9_node_retention", f"WITH {LEVELS}, {_AB}, {_RET} SELECT node_id, round(retention, 6) AS retention FROM ret")

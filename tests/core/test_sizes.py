@@ -10,7 +10,7 @@ def refuse(*_):
     raise AssertionError("clusters were matched, which this result doesn't need")
 
 
-@pytest.mark.parametrize("name", ["e16_jaccard_classes", "n9_node_retention", "b6_top_mover_records", "n9_aggregate"])
+@pytest.mark.parametrize("name", ["e16_jaccard_classes", "n9_node_retention", "b6_top_mover_records", "n9_aggregate", "n9_cluster_moves"])
 def test_result_needs_no_matching(spark, small, monkeypatch, name):
     monkeypatch.setattr(comparison, "_matched", refuse)
     assert catalog.queries()[name](spark, small).count() > 0
