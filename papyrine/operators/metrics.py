@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.session import cut
 
 def contingency(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``(by.., a, b, n)`` of ``(by.., node_id, a)`` and ``(by.., node_id, b)``."""
@@ -54,26 +55,60 @@ def scores(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     return total.select(*by, F.col("n").cast("long").alias("n"), ari.alias("ari"), nmi.alias("nmi"), geo.alias("nmi_geometric"))
 
 
+_TABLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1 << 16)))])
+
+
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    """From a table, beyond it by Stirling's series, whose next term is below the precision of a double there."""
+    big = np.maximum(k, len(_TABLE)).astype(float)
+    series = (big + 0.5) * np.log(big) - big + 0.5 * np.log(2 * np.pi) + 1 / (12 * big) - 1 / (360 * big**3)
+    return np.where(k < len(_TABLE), _TABLE[np.minimum(k, len(_TABLE) - 1)], series)
+
+
+def expected_information(n: int, x: np.ndarray, y: np.ndarray, times: np.ndarray, terms: int = 1 << 20) -> float:
+    """Exact expectation of the mutual information over pairs of cluster sizes, each counted ``times``.
+
+    Overlaps whose probability is no number above 0 in double precision add nothing and aren't visited: with mean m, those below m - sqrt(2 m c) and above
+    the k of k ln(k / m) - k + m = c, where exp(-c) is 0 (Chernoff's bounds).
+    """
+    c = 760.0
+    m = x * (y / n)
+    top = m + c
+    for _ in range(60):  # Newton's steps from above on a convex function
+        top = top - (top * np.log(top / m) - top + m - c) / np.log(top / m)
+    low = np.maximum(np.maximum(1, x + y - n), np.floor(m - np.sqrt(2 * m * c)).astype(np.int64))
+    high = np.minimum(np.minimum(x, y), np.ceil(top).astype(np.int64) + 1)
+    count = np.maximum(high - low + 1, 0)
+    fixed = log_factorial(x) + log_factorial(y) + log_factorial(n - x) + log_factorial(n - y) - log_factorial(np.array([n]))
+    total, begin, upto = 0.0, 0, np.cumsum(count)
+    while begin < len(x):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + terms, side="right")))
+        r = np.repeat(np.arange(begin, end), count[begin:end])
+        k = low[r] + np.arange(len(r)) - (upto[r] - count[r] - (upto[begin - 1] if begin else 0))
+        a, b = x[r], y[r]
+        logp = fixed[r] - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k)
+        total += float((times[r] * (k / n) * np.log((k / a) * (n / b)) * np.exp(logp)).sum())
+        begin = end
+    return total
+
+
 def ami_of(table: np.ndarray) -> float:
     """Adjusted mutual information with the exact expectation, normalised by the larger entropy."""
-    n = table.sum()
+    n = int(table.sum())
     if n == 0:
         return float("nan")
-    a, b = table.sum(1).astype(int), table.sum(0).astype(int)
+    a, b = table.sum(1).astype(np.int64), table.sum(0).astype(np.int64)
     a, b = a[a > 0], b[b > 0]
-    entropy = lambda c: -float(((c / n) * np.log(c / n)).sum())
-    ha, hb = entropy(a), entropy(b)
-    p = table[table > 0] / n
-    outer = (table.sum(1)[:, None] * table.sum(0)[None, :] / n / n)[table > 0]
-    mi = float((p * np.log(p / outer)).sum())
-    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    expect = 0.0
-    for x in a:
-        for y in b:
-            k = np.arange(max(1, x + y - n), min(x, y) + 1)
-            logp = lf[x] + lf[y] + lf[n - x] + lf[n - y] - lf[n] - lf[k] - lf[x - k] - lf[y - k] - lf[n - x - y + k]
-            expect += float(((k / n) * np.log(n * k / (x * y)) * np.exp(logp)).sum())
-    most = max(ha, hb)
+    cells = table[table > 0]
+    plain = lambda c: float((c * np.log(c)).sum()) / n
+    ha, hb = np.log(n) - plain(a), np.log(n) - plain(b)
+    mi = np.log(n) + plain(cells) - plain(a) - plain(b)
+    (xs, xt), (ys, yt) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    x, y = (v.ravel() for v in np.meshgrid(xs, ys, indexing="ij"))
+    return _adjusted(mi, max(ha, hb), expected_information(n, x, y, np.outer(xt, yt).ravel()))
+
+
+def _adjusted(mi: float, most: float, expect: float) -> float:
     return 1.0 if abs(most - expect) < 1e-12 else (mi - expect) / (most - expect)
 
 
@@ -85,9 +120,28 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list, list]:
 
 
 def ami(table: DataFrame, by: str) -> DataFrame:
-    """``(by, ami)``: a task gets a contingency table, whose size is that of the partitions, not of the nodes."""
-    kind = table.schema[by].dataType.simpleString()
-    return table.groupBy(by).applyInPandas(lambda key, pdf: pd.DataFrame({by: [key[0]], "ami": [ami_of(_matrix(pdf)[0])]}), f"{by} {kind}, ami double")
+    """``(by, ami)``: margins are counted by size, of which there are at most sqrt(2 n), and a task gets the pairs of some sizes of a with all sizes of b."""
+    t = cut(table.select(by, "a", "b", "n"))
+    kind = t.schema[by].dataType.simpleString()
+    plain = F.sum(F.col("n") * F.log("n"))
+    of = lambda c, name: t.groupBy(by, c).agg(F.sum("n").alias(name))
+    a, b = cut(of("a", "x")), cut(of("b", "y"))
+    sums = t.groupBy(by).agg(F.sum("n").alias("total"), plain.alias("lc"))
+    for side, size in ((a, "x"), (b, "y")):
+        sums = sums.join(side.withColumnRenamed(size, "n").groupBy(by).agg(plain.alias(f"l{size}")), by)
+    sums = cut(sums)
+    xs, ys = a.groupBy(by, "x").agg(F.count("*").alias("tx")), b.groupBy(by, "y").agg(F.count("*").alias("ty"))
+    pairs = xs.join(sums.select(by, "total"), by).join(ys, by).select(by, "total", "x", "y", (F.col("tx") * F.col("ty")).alias("times"))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, times = (pdf[c].to_numpy(dtype=np.int64) for c in ("x", "y", "times"))
+        return pd.DataFrame({by: [key[0]], "part": [expected_information(int(pdf["total"].iloc[0]), x, y, times)]})
+
+    expected = pairs.withColumn("bin", F.pmod(F.xxhash64("x"), F.lit(64))).groupBy(by, "bin").applyInPandas(run, f"{by} {kind}, part double").groupBy(by).agg(F.sum("part").alias("expected"))
+    ln, n = F.log("total"), F.col("total")
+    most = ln - F.least("lx", "ly") / n - F.col("expected")
+    mi = ln + (F.col("lc") - F.col("lx") - F.col("ly")) / n - F.col("expected")
+    return sums.join(expected, by).select(by, F.when(F.abs(most) < 1e-12, 1.0).otherwise(mi / most).alias("ami"))
 
 
 def best_matching(weight: np.ndarray) -> list[tuple[int, int]]:

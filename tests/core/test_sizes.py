@@ -1,8 +1,11 @@
 """Ways that grow with partitions and nodes as they should: none does more than its result needs."""
 
+import math
+
+import numpy as np
 import pytest
 
-from papyrine.operators import comparison
+from papyrine.operators import comparison, metrics
 from papyrine.plans import catalog
 
 
@@ -14,3 +17,34 @@ def refuse(*_):
 def test_result_needs_no_matching(spark, small, monkeypatch, name):
     monkeypatch.setattr(comparison, "_matched", refuse)
     assert catalog.queries()[name](spark, small).count() > 0
+
+
+def by_every_overlap(table):
+    """The adjusted information as it is defined, cluster by cluster and overlap by overlap."""
+    n = int(table.sum())
+    a, b = table.sum(1), table.sum(0)
+    lf = [math.lgamma(i + 1) for i in range(n + 1)]
+    h = lambda c: -sum(v / n * math.log(v / n) for v in c)
+    mi = sum(table[i, j] / n * math.log(n * table[i, j] / (a[i] * b[j])) for i, j in zip(*np.nonzero(table), strict=True))
+    e = sum(k / n * math.log(n * k / (x * y)) * math.exp(lf[x] + lf[y] + lf[n - x] + lf[n - y] - lf[n] - lf[k] - lf[x - k] - lf[y - k] - lf[n - x - y + k]) for x in a for y in b for k in range(max(1, x + y - n), min(x, y) + 1))
+    return (mi - e) / (max(h(a), h(b)) - e)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_adjusted_information_of_uneven_sizes(spark, seed):
+    rng = np.random.default_rng(seed)
+    m = np.floor(rng.pareto(0.7, (9, 12)) * (rng.random((9, 12)) < 0.6)).astype(int).clip(0, 3000)
+    m = m[m.sum(1) > 0][:, m.sum(0) > 0]
+    want = by_every_overlap(m)
+    assert metrics.ami_of(m) == pytest.approx(want, abs=1e-9)
+    t = spark.createDataFrame([("r", int(i), int(j), int(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "run string, a int, b int, n long")
+    assert metrics.ami(t, "run").first()["ami"] == pytest.approx(want, abs=1e-9)
+
+
+def test_adjusted_information_of_many_clusters():
+    """Four thousand clusters of one size a side: one pair of sizes, not sixteen million pairs of clusters."""
+    from time import perf_counter
+
+    began, m = perf_counter(), np.zeros((4000, 4000), dtype=int)
+    m[np.arange(4000), np.arange(4000)] = 5
+    assert metrics.ami_of(m) == pytest.approx(1) and perf_counter() - began < 20
