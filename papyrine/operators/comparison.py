@@ -17,13 +17,14 @@ def _matched(table: DataFrame) -> DataFrame:
     """``(a, matched, jaccard)``: clusters matched one to one for the largest total Jaccard; sizes count all members, noise is matched with nothing."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ra, rb = np.unique(pdf["a"]), np.unique(pdf["b"])
-        m = np.zeros((len(ra), len(rb)))
-        m[np.searchsorted(ra, pdf["a"]), np.searchsorted(rb, pdf["b"])] = pdf["n"]
-        j = (m / (m.sum(1)[:, None] + m.sum(0)[None, :] - m))[ra >= 0][:, rb >= 0]
-        ra, rb = ra[ra >= 0], rb[rb >= 0]
-        pick = {i: k for i, k in metrics.best_matching(j) if j[i, k] > 0}
-        return pd.DataFrame({"a": ra, "matched": [int(rb[pick[i]]) if i in pick else -1 for i in range(len(ra))], "jaccard": [float(j[i, pick[i]]) if i in pick else 0.0 for i in range(len(ra))]})
+        (ra, a), (rb, b), n = np.unique(pdf["a"], return_inverse=True), np.unique(pdf["b"], return_inverse=True), pdf["n"].to_numpy(dtype=float)
+        j = n / (np.bincount(a, n)[a] + np.bincount(b, n)[b] - n)
+        real = (ra[a] >= 0) & (rb[b] >= 0)
+        a, b, j = a[real], b[real], j[real]
+        pick = dict(metrics.matching(a, b, j))
+        score = {r: w for r, c, w in zip(a.tolist(), b.tolist(), j.tolist(), strict=True) if pick.get(r) == c}
+        own = np.flatnonzero(ra >= 0).tolist()
+        return pd.DataFrame({"a": ra[own], "matched": [int(rb[pick[i]]) if i in pick else -1 for i in own], "jaccard": [score.get(i, 0.0) for i in own]})
 
     # One table of the size of the partitions, not of the nodes.
     return table.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: run(pdf), "a long, matched long, jaccard double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -112,13 +113,6 @@ def _adjusted(mi: float, most: float, expect: float) -> float:
     return 1.0 if abs(most - expect) < 1e-12 else (mi - expect) / (most - expect)
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list, list]:
-    ra, rb = sorted(pdf["a"].unique()), sorted(pdf["b"].unique())
-    m = np.zeros((len(ra), len(rb)), dtype=np.int64)
-    m[pdf["a"].map({v: i for i, v in enumerate(ra)}), pdf["b"].map({v: i for i, v in enumerate(rb)})] = pdf["n"]
-    return m, ra, rb
-
-
 def ami(table: DataFrame, by: str) -> DataFrame:
     """``(by, ami)``: margins are counted by size, of which there are at most sqrt(2 n), and a task gets the pairs of some sizes of a with all sizes of b."""
     t = cut(table.select(by, "a", "b", "n"))
@@ -145,35 +139,66 @@ def ami(table: DataFrame, by: str) -> DataFrame:
 
 
 def best_matching(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns with the largest total weight (shortest augmenting paths on the negated matrix)."""
-    rows, cols = weight.shape
-    if rows == 0 or cols == 0:
-        return []
-    size = max(rows, cols)
-    cost = np.zeros((size, size))
-    cost[:rows, :cols] = weight.max() - weight
-    u, v = np.zeros(size + 1), np.zeros(size + 1)
-    match = np.zeros(size + 1, dtype=int)  # the row matched to a column, from 1
-    for i in range(1, size + 1):
-        match[0], j0 = i, 0
-        least = np.full(size + 1, np.inf)
-        way, used = np.zeros(size + 1, dtype=int), np.zeros(size + 1, dtype=bool)
-        while match[j0]:
-            used[j0] = True
-            free = ~used[1:]
-            reduced = cost[match[j0] - 1] - u[match[j0]] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better], way[1:][better] = reduced[better], j0
-            j1 = 1 + int(np.where(free, least[1:], np.inf).argmin())
-            delta = least[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    return sorted((match[j] - 1, j - 1) for j in range(1, size + 1) if match[j] and match[j] <= rows and j <= cols)
+    """Pairs of rows and columns with the largest total weight; pairs without weight are left out."""
+    a, b = np.nonzero(weight > 0)
+    return matching(a, b, weight[a, b])
+
+
+def matching(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column), each once at most, with the largest total of positive weights, of those listed.
+
+    Shortest augmenting paths over the listed pairs only; a row may stay alone at weight 0. ``u`` and ``v`` keep u + v >= weight, with equality for what is paired,
+    and paths follow the slack u + v - weight, which is 0 for most rows at once.
+    """
+    rows, ra = np.unique(a, return_inverse=True)
+    cols, rb = np.unique(b, return_inverse=True)
+    order = np.lexsort((rb, ra))
+    ra, rb, weight = ra[order], rb[order], weight[order]
+    bounds = np.searchsorted(ra, np.arange(len(rows) + 1)).tolist()
+    to, w = rb.tolist(), weight.tolist()
+    u, v = np.maximum.reduceat(weight, bounds[:-1]).tolist() if len(rows) else [], [0.0] * len(cols)
+    mate_row, mate_col = [-1] * len(rows), [-1] * len(cols)  # a row's column, a column's row
+    for start in range(len(rows)):
+        # The slack of a column on the best path to it, and that of ending a path by leaving its last row alone (u of that row falls to 0).
+        dist, back, done, heap = {}, {}, [], []
+        row, at, stop, goal = start, 0.0, u[start], -1 - start
+        passed = [(start, 0.0)]
+        while True:
+            for e in range(bounds[row], bounds[row + 1]):
+                d = at + max(0.0, u[row] + v[to[e]] - w[e])
+                if d < stop and d < dist.get(to[e], np.inf):
+                    dist[to[e]], back[to[e]] = d, row
+                    heappush(heap, (d, to[e]))
+            while heap and heap[0][0] > dist[heap[0][1]]:
+                heappop(heap)
+            if not heap or heap[0][0] >= stop:
+                break
+            at, col = heappop(heap)
+            if mate_col[col] < 0:
+                stop, goal = at, col
+                break
+            done.append((col, at))
+            row = mate_col[col]
+            passed.append((row, at))
+            if at + u[row] < stop:
+                stop, goal = at + u[row], -1 - row
+        for r, d in passed:
+            u[r] -= max(0.0, stop - d)
+        for c, d in done:
+            v[c] += max(0.0, stop - d)
+        if goal < 0:  # this row gives its column up and stays alone
+            row = -1 - goal
+            col, mate_row[row] = mate_row[row], -1
+            if row == start:
+                continue
+        else:
+            col = goal
+        while True:
+            row = back[col]
+            mate_col[col], mate_row[row], col = row, col, mate_row[row]
+            if row == start:
+                break
+    return [(int(rows[r]), int(cols[c])) for r, c in enumerate(mate_row) if c >= 0]
 
 
 def matched_jaccard(table: DataFrame, by: str, least: int = 1) -> DataFrame:
@@ -181,16 +206,13 @@ def matched_jaccard(table: DataFrame, by: str, least: int = 1) -> DataFrame:
     kind, ka, kb = (table.schema[c].dataType.simpleString() for c in (by, "a", "b"))
 
     def run(key, pdf):
-        m, ra, rb = _matrix(pdf)
-        sa, sb = m.sum(1), m.sum(0)
-        keep = sa >= least
-        j = m / (sa[:, None] + sb[None, :] - m)
-        pick = dict(best_matching(j[keep]))
-        rows = []
-        for i, r in enumerate(np.flatnonzero(keep)):
-            c = pick.get(i)
-            hit = c is not None and j[r, c] > 0
-            rows.append((key[0], ra[r], rb[c] if hit else None, float(j[r, c]) if hit else 0.0, int(sa[r])))
+        (ra, a), (rb, b), n = np.unique(pdf["a"], return_inverse=True), np.unique(pdf["b"], return_inverse=True), pdf["n"].to_numpy(dtype=float)
+        sa, sb = np.bincount(a, n), np.bincount(b, n)
+        j, keep = n / (sa[a] + sb[b] - n), sa >= least
+        use = keep[a]
+        pick = dict(matching(a[use], b[use], j[use]))
+        at = {(r, c): w for r, c, w in zip(a[use].tolist(), b[use].tolist(), j[use].tolist(), strict=True)}
+        rows = [(key[0], ra[r], rb[pick[r]] if r in pick else None, at[r, pick[r]] if r in pick else 0.0, int(sa[r])) for r in np.flatnonzero(keep).tolist()]
         return pd.DataFrame(rows, columns=[by, "a", "b", "jaccard", "size"]).astype({"b": "Int64"} if kb in ("int", "bigint") else {})
 
     return table.groupBy(by).applyInPandas(run, f"{by} {kind}, a {ka}, b {kb}, jaccard double, size long")

@@ -1,5 +1,6 @@
 """Ways that grow with partitions and nodes as they should: none does more than its result needs."""
 
+import itertools
 import math
 
 import numpy as np
@@ -42,7 +43,7 @@ def test_adjusted_information_of_uneven_sizes(spark, seed):
 
 
 def test_adjusted_information_of_level_pairs_needs_no_dense_table(spark, small, monkeypatch):
-    monkeypatch.setattr(metrics, "_matrix", refuse)
+    monkeypatch.setattr(metrics, "_matrix", refuse, raising=False)
     assert catalog.queries()["n3_ami"](spark, small).count() == 6
 
 
@@ -53,3 +54,25 @@ def test_adjusted_information_of_many_clusters():
     began, m = perf_counter(), np.zeros((4000, 4000), dtype=int)
     m[np.arange(4000), np.arange(4000)] = 5
     assert metrics.ami_of(m) == pytest.approx(1) and perf_counter() - began < 20
+
+
+def test_matching_of_many_clusters():
+    """Six thousand pairs of clusters, each with a stray in the next: the links are gone through, not all pairs."""
+    from time import perf_counter
+
+    n, began = 6000, perf_counter()
+    a = np.concatenate([np.arange(n), np.arange(n)])
+    b = np.concatenate([np.arange(n), (np.arange(n) + 1) % n])
+    w = np.concatenate([np.full(n, 0.4), np.full(n, 0.5)])
+    assert sorted(metrics.matching(a, b, w)) == [(i, (i + 1) % n) for i in range(n)]
+    assert perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_matching_leaves_rows_alone_where_that_is_best(seed):
+    """Few links with equal weights among them, against all ways to pair."""
+    rng = np.random.default_rng(seed)
+    m = np.round(rng.random((5, 4)) * 4) / 4 * (rng.random((5, 4)) < 0.5)
+    best = max(sum(m[p[j], j] for j in range(4)) for p in itertools.permutations(range(5), 4))
+    found = metrics.best_matching(m)
+    assert sum(m[i, j] for i, j in found) == pytest.approx(best) and len({j for _, j in found}) == len({i for i, _ in found}) == len(found)
