@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.operators import space
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -73,9 +75,14 @@ def _distances(pdf: pd.DataFrame, digits: int):
 def knn(df: DataFrame, ident: str, vector: str, k: int, by: str | None = None, block_rows: int = 4096, digits: int = 9) -> DataFrame:
     """``(src, dst, d2, rank)``: exact k nearest (within the group ``by``) by squared distance, ties (after rounding) to the smaller id.
 
-    Rows are put into blocks by a hash; a task multiplies two blocks, and the best of each pair of blocks are merged. No task holds more than two blocks,
-    but the work is quadratic: this is for groups of some hundred thousand vectors.
+    Up to three dimensions rows are looked up in trees (``space.knn``). Beyond, rows are put into blocks by a hash; a task multiplies two blocks, and the best of each pair of
+    blocks are merged. No task holds more than two blocks, but the work is quadratic: this is for groups of some hundred thousand vectors.
     """
+    own = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(by) if by else F.lit(0)).alias("grp")).filter("id is not null and v is not null and grp is not null")
+    shape = own.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if shape[0] == shape[1] and shape[0] in (1, 2, 3):
+        fine = own.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+        return space.knn(fine, shape[0], k, 4 * block_rows, digits)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from papyrine.operators import comparison, metrics
+from papyrine.operators import comparison, metrics, space, vectors
 from papyrine.plans import catalog
 
 
@@ -76,3 +76,24 @@ def test_matching_leaves_rows_alone_where_that_is_best(seed):
     best = max(sum(m[p[j], j] for j in range(4)) for p in itertools.permutations(range(5), 4))
     found = metrics.best_matching(m)
     assert sum(m[i, j] for i, j in found) == pytest.approx(best) and len({j for _, j in found}) == len({i for i, _ in found}) == len(found)
+
+
+@pytest.mark.parametrize("by", ["g", None])
+def test_neighbours_in_divided_groups(spark, by):
+    """Groups of several regions, whole numbers so that many positions and distances are equal, against all pairs."""
+    rng = np.random.default_rng(3)
+    x, g, ids = np.round(rng.normal(size=(400, 3)) * 3), np.where(rng.random(400) < 0.6, 0, rng.integers(1, 6, 400)), rng.permutation(900)[:400]
+    df = spark.createDataFrame([(int(i), v.tolist(), int(c)) for i, v, c in zip(ids, x, g, strict=True)], "id long, v array<double>, g int")
+    want = set()
+    for i, v, c in zip(ids, x, g, strict=True):
+        others = sorted((((v - w) ** 2).sum(), int(j)) for j, w, e in zip(ids, x, g, strict=True) if j != i and (by is None or c == e))
+        want |= {(int(i), j, rank) for rank, (_, j) in enumerate(others[:4], 1)}
+    assert {(r["src"], r["dst"], r["rank"]) for r in vectors.knn(df, "id", "v", 4, by=by, block_rows=8).collect()} == want
+
+
+def test_neighbours_look_at_few_rows(monkeypatch):
+    """Twenty thousand rows of one group: a few hundred distances a row, not twenty thousand."""
+    seen, squares = [0], space._squares
+    monkeypatch.setattr(space, "_squares", lambda a, b: (seen.__setitem__(0, seen[0] + np.broadcast_shapes(a.shape, b.shape)[0] * np.broadcast_shapes(a.shape, b.shape)[1]), squares(a, b))[1])
+    src, _, _ = space.nearest(np.random.default_rng(1).normal(size=(20000, 3)), np.arange(20000), 4, 9)
+    assert len(src) == 80000 and seen[0] < 20000 * 1000
