@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from papyrine.operators import hdbscan, metrics
 from papyrine.operators.graph import connected_components
 from papyrine.operators.numbering import numbered
-from papyrine.operators.vectors import kmeans, knn
+from papyrine.operators.vectors import kmeans, knn, mutual_pairs
 
 #: Parameters of the algorithms: kind, range, scale, the values a sweep tries.
 ALGORITHMS = {
@@ -31,9 +31,7 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def mutual_knn(df: DataFrame, ident: str, vector: str, mutual_k: int = 8) -> DataFrame:
     """``(node_id, node_cluster)``: components of the pairs that are among each other's nearest."""
-    e = knn(df, ident, vector, mutual_k).select("src", "dst")
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return _named(df.select(F.col(ident).alias("node_id")), e.join(back, ["src", "dst"]))
+    return _named(df.select(F.col(ident).alias("node_id")), mutual_pairs(knn(df, ident, vector, mutual_k)))
 
 
 def knn_components(df: DataFrame, ident: str, vector: str, k: int = 5, either: bool = False) -> DataFrame:

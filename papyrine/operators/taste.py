@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.rng import generator, poisson, shuffled
 from papyrine.operators.graph import connected_components
-from papyrine.operators.vectors import knn
+from papyrine.operators.vectors import knn, mutual_pairs
 from papyrine.session import cut
 
 
@@ -52,9 +52,8 @@ def of_clusters(taste: DataFrame, members: DataFrame) -> DataFrame:
 
 def neighbourhoods(pos: DataFrame, assign: DataFrame, k: int = 4) -> DataFrame:
     """``(node_id, node_cluster, neighbourhood)``: components of mutual nearest neighbours within clusters, named by their smallest node."""
-    p = assign.filter("node_cluster >= 0").join(pos, "node_id").select("node_id", "node_cluster", F.array("x", "y", "z").alias("v"))
-    near = knn(p, "node_id", "v", k, by="node_cluster").select("src", "dst")
-    mutual = near.join(near.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+    p = cut(assign.filter("node_cluster >= 0").join(pos, "node_id").select("node_id", "node_cluster", F.array("x", "y", "z").alias("v")))
+    mutual = mutual_pairs(knn(p, "node_id", "v", k, by="node_cluster"))
     own = p.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
     comp = connected_components(mutual.unionByName(own))
     return comp.join(p.select(F.col("node_id").alias("id"), "node_cluster"), "id").select(F.col("id").alias("node_id"), "node_cluster", F.col("component").alias("neighbourhood"))

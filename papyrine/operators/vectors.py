@@ -103,6 +103,12 @@ def knn(df: DataFrame, ident: str, vector: str, k: int, by: str | None = None, b
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def mutual_pairs(near: DataFrame) -> DataFrame:
+    """``(src, dst)``, src < dst: pairs that are among each other's nearest; the neighbours are looked through once."""
+    pairs = near.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("n"))
+    return pairs.filter("n = 2").select("src", "dst")
+
+
 def closest_pairs(df: DataFrame, ident: str, vector: str, density: float, block_rows: int = 4096, digits: int = 9) -> DataFrame:
     """``(i, j, d2)``, i < j: the closest pairs, as many as ``density`` times all pairs; each pair of blocks sends its closest only."""
     n = df.filter(F.col(vector).isNotNull()).count()

@@ -97,3 +97,21 @@ def test_neighbours_look_at_few_rows(monkeypatch):
     monkeypatch.setattr(space, "_squares", lambda a, b: (seen.__setitem__(0, seen[0] + np.broadcast_shapes(a.shape, b.shape)[0] * np.broadcast_shapes(a.shape, b.shape)[1]), squares(a, b))[1])
     src, _, _ = space.nearest(np.random.default_rng(1).normal(size=(20000, 3)), np.arange(20000), 4, 9)
     assert len(src) == 80000 and seen[0] < 20000 * 1000
+
+
+def test_neighbours_are_found_once_for_neighbourhoods(spark):
+    """Rows come by an accumulator each time their neighbours' input is worked out."""
+    from papyrine.operators import taste
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = np.random.default_rng(4)
+    pos = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(60, 3)))], "node_id long, x double, y double, z double")
+    own = spark.createDataFrame([(i, i % 2) for i in range(60)], "node_id long, node_cluster int")
+    found = taste.neighbourhoods(pos.mapInArrow(count, pos.schema), own)
+    assert found.count() == 60 and seen.value == 60
