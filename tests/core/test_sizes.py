@@ -115,3 +115,8 @@ def test_neighbours_are_found_once_for_neighbourhoods(spark):
     own = spark.createDataFrame([(i, i % 2) for i in range(60)], "node_id long, node_cluster int")
     found = taste.neighbourhoods(pos.mapInArrow(count, pos.schema), own)
     assert found.count() == 60 and seen.value == 60
+
+
+def test_neighbourhoods_need_no_pairs_of_blocks(spark, small, monkeypatch):
+    monkeypatch.setattr(vectors, "_block_pairs", refuse)
+    assert catalog.queries()["q2_neighbourhoods"](spark, small).count() > 0
