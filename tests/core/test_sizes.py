@@ -120,3 +120,58 @@ def test_neighbours_are_found_once_for_neighbourhoods(spark):
 def test_neighbourhoods_need_no_pairs_of_blocks(spark, small, monkeypatch):
     monkeypatch.setattr(vectors, "_block_pairs", refuse)
     assert catalog.queries()["q2_neighbourhoods"](spark, small).count() > 0
+
+
+def test_layout_sweep_finds_components_once(spark, small, monkeypatch):
+    """Six layouts and their alignments share the components."""
+    from papyrine.operators import layout
+
+    calls, found = [], layout.connected_components
+    monkeypatch.setattr(layout, "connected_components", lambda *a, **k: (calls.append(1), found(*a, **k))[1])
+    assert catalog.queries()["o8_layout_sweep"](spark, small).count() == 6 and len(calls) == 1
+
+
+def test_layouts_side_by_side_are_those_of_each(spark):
+    """A component of several hundred nodes, a pair and single nodes, by every method: as they come out one by one."""
+    from papyrine.operators import layout
+
+    nodes = spark.createDataFrame([(i, i / 400) for i in range(310)], "node_id long, t double")
+    links = spark.createDataFrame([*((i, (i * 7 + 1) % 300) for i in range(300)), *((i, i + 1) for i in range(299)), (301, 302)], "src long, dst long")
+    jobs = [(m, s, {"iterations": 50}) for m in layout.LAYOUTS for s in (1, 2)]
+    rows = {(r["job"], r["node_id"]): (r["x"], r["y"], r["z"]) for r in layout.layouts(jobs, nodes, links, layout.components(nodes, links)).collect()}
+    assert len(rows) == 6 * 310
+    for i, (m, s, p) in enumerate(jobs[1::2]):
+        each = {r["node_id"]: (r["x"], r["y"], r["z"]) for r in layout.layout(m, nodes, links, s, **p).collect()}
+        assert all(rows[2 * i + 1, n] == pytest.approx(v) for n, v in each.items())
+
+
+def test_sums_over_all_pairs(monkeypatch):
+    """Repulsion and stress axis by axis, against their formulas."""
+    from papyrine.operators import layout
+
+    y = np.random.default_rng(1).normal(size=(300, 3))
+    delta = y[:, None] - y[None]
+    want = (delta / ((np.sqrt((delta**2).sum(-1)) + 1e-6) ** 2)[..., None]).sum(1)
+    assert np.allclose(layout._repulsion(y), want)
+    d = np.abs(np.subtract.outer(np.arange(300), np.arange(300))).astype(float)
+    at = np.random.default_rng(5).normal(size=(300, 3)) * 299
+    for _ in range(3):
+        own = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+        b = -np.divide(d, own, out=np.zeros_like(own), where=own > 1e-12)
+        np.fill_diagonal(b, -b.sum(1))
+        at = b @ at / 300
+    assert np.allclose(layout._smacof(d, 5, 3), at)
+
+
+def test_exact_layouts_of_three_thousand_nodes_are_quick():
+    """The largest components that all pairs are summed up for: under a fifth of a second a round, which whole tables of differences take over."""
+    from time import perf_counter
+
+    from papyrine.operators import layout
+
+    y, took = np.random.default_rng(2).normal(size=(2800, 3)) * 30, []
+    for _ in range(3):
+        began = perf_counter()
+        layout._repulsion(y)
+        took.append(perf_counter() - began)
+    assert min(took) < 0.2
