@@ -38,14 +38,15 @@ class Comparison:
 
     def __init__(self, pre: DataFrame, post: DataFrame):
         a, b = pre.select("node_id", F.col("node_cluster").alias("a")), post.select("node_id", F.col("node_cluster").alias("b"))
-        self.table = cut(metrics.contingency(a, b))
+        both = cut(a.join(b, "node_id"))  # used by the table and by the nodes; the clusters may be costly
+        self.table = cut(both.groupBy("a", "b").agg(F.count("*").alias("n")))
         sizes = Window.partitionBy("a")
         t = self.table.withColumn("size", F.sum("n").over(sizes))
         # Where most members went; noise only if all went there.
         order = sizes.orderBy((F.col("b") >= 0).desc(), F.desc("n"), "b")
         self.moves = t.withColumn("r", F.row_number().over(order)).filter("r = 1 and a >= 0").select(F.col("a").cast("long").alias("a"), "size", F.col("b").alias("biggest"), F.col("n").alias("biggest_count"))
         retention = F.when((F.col("a") < 0) | (F.col("b") < 0), F.lit(None).cast("double")).when(F.col("size") <= 1, 1.0).otherwise((F.col("n") - 1) / (F.col("size") - 1))
-        self.nodes = a.join(b, "node_id").join(t, ["a", "b"]).select("node_id", "a", "b", retention.alias("retention"))
+        self.nodes = both.join(t, ["a", "b"]).select("node_id", "a", "b", retention.alias("retention"))
 
     @cached_property
     def clusters(self) -> DataFrame:

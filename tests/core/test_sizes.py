@@ -175,3 +175,32 @@ def test_exact_layouts_of_three_thousand_nodes_are_quick():
         layout._repulsion(y)
         took.append(perf_counter() - began)
     assert min(took) < 0.2
+
+
+def test_one_level_groups_only_its_own_rows(spark, small):
+    """The rows of other levels are gone before assignments are grouped; the result is what all of them leave for the level."""
+    from pyspark.sql import functions as F
+
+    from papyrine.plans.tables import Domain
+
+    dom = Domain(spark, small)
+    got = dom.level(2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
+    uid = dom.levels.filter("level_no = 2").first()["level_uid"]
+    want = dom.assign.filter(F.col("level_uid") == uid).select("node_id", "node_cluster")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_comparison_works_clusters_out_once(spark):
+    """Rows come by an accumulator each time the clusters are worked out: once for the table and the nodes together."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pre = spark.createDataFrame([(i, i % 3) for i in range(60)], "node_id long, node_cluster int")
+    post = spark.createDataFrame([(i, i % 4) for i in range(60)], "node_id long, node_cluster int")
+    assert comparison.compare(pre.mapInArrow(count, pre.schema), post).nodes.count() == 60 and seen.value == 60
