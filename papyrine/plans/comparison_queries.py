@@ -48,9 +48,10 @@ def node_retention(spark, d):
 @query("b6_top_mover_records", f"""WITH {LEVELS}, {_AB}, {_RET}, top AS (SELECT node_id FROM ret WHERE retention IS NOT NULL ORDER BY retention, node_id LIMIT 20),
     rec AS (SELECT node_id, {_RIS_SQL} AS record, row_number() OVER (PARTITION BY node_id ORDER BY row_id) AS rn FROM cart WHERE node_id IS NOT NULL) SELECT node_id, record FROM top JOIN rec USING (node_id) WHERE rn = 1""")
 def top_mover_records(spark, d):
-    c = Domain(spark, d).cart.filter("node_id is not null")
+    top = cut(_compared(spark, d).top_movers().select("node_id"))  # twenty rows: only their records are put together
+    c = Domain(spark, d).cart.filter("node_id is not null").join(F.broadcast(top), "node_id", "left_semi")
     one = c.groupBy("node_id").agg(F.min(F.struct("row_id", _ris(c).alias("record")))["record"].alias("record"))
-    return export.selection_records(_compared(spark, d).top_movers().select("node_id"), one)[0]
+    return export.selection_records(top, one)[0]
 
 
 _KINDS = "k AS (SELECT CASE coalesce(x.is_ghost, FALSE)::INT + coalesce(y.is_ghost, FALSE)::INT WHEN 0 THEN 'real-real' WHEN 1 THEN 'real-ghost' ELSE 'ghost-ghost' END AS kind, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS e FROM ne JOIN s3 a ON a.node_id = src JOIN s3 b ON b.node_id = dst JOIN nodes1 x ON x.node_id = src JOIN nodes1 y ON y.node_id = dst)"

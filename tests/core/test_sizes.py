@@ -204,3 +204,9 @@ def test_comparison_works_clusters_out_once(spark):
     pre = spark.createDataFrame([(i, i % 3) for i in range(60)], "node_id long, node_cluster int")
     post = spark.createDataFrame([(i, i % 4) for i in range(60)], "node_id long, node_cluster int")
     assert comparison.compare(pre.mapInArrow(count, pre.schema), post).nodes.count() == 60 and seen.value == 60
+
+
+def test_records_are_put_together_for_top_movers_only(spark, small):
+    """The cart meets the twenty nodes before its records are made and grouped."""
+    plan = catalog.queries()["b6_top_mover_records"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.rindex("Aggregate") < plan.rindex("LeftSemi")
