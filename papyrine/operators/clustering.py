@@ -29,9 +29,9 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(first, "component").select(F.col("id").alias("node_id"), "node_cluster")
 
 
-def mutual_knn(df: DataFrame, ident: str, vector: str, mutual_k: int = 8) -> DataFrame:
-    """``(node_id, node_cluster)``: components of the pairs that are among each other's nearest."""
-    return _named(df.select(F.col(ident).alias("node_id")), mutual_pairs(knn(df, ident, vector, mutual_k)))
+def mutual_knn(df: DataFrame, ident: str, vector: str, mutual_k: int = 8, by: str | None = None) -> DataFrame:
+    """``(node_id, node_cluster)``: components of the pairs that are among each other's nearest (within the group ``by``)."""
+    return _named(df.select(F.col(ident).alias("node_id")), mutual_pairs(knn(df, ident, vector, mutual_k, by=by)))
 
 
 def knn_components(df: DataFrame, ident: str, vector: str, k: int = 5, either: bool = False) -> DataFrame:

@@ -69,6 +69,11 @@ def rewire(nodes: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int =
 
     Where two picks of a ghost meet, further ones are drawn until it has its number. A ghost linked to every node can't have others and gets all of them.
     """
+    return rewired(nodes, edges, [seed], max_rounds).select("src", "dst")
+
+
+def rewired(nodes: DataFrame, edges: DataFrame, seeds: list[int], max_rounds: int = 200) -> DataFrame:
+    """``(run, src, dst)``: ``rewire`` for each of several seeds, runs being numbered from 0; their picks are drawn together."""
     g = nodes.filter("is_ghost").select(F.col("node_id").alias("g"))
     both = _both(edges)
     at = both.join(g, both["a"] == g["g"], "left_semi")
@@ -77,13 +82,14 @@ def rewire(nodes: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int =
     total = real.count()
     slots = cut(numbered(real, "node_id", "slot").select("slot", F.col("node_id").alias("dst")))
     outside = at.join(g, at["b"] == g["g"], "left_anti").groupBy(F.col("a").alias("src")).agg(F.count("*").alias("wanted"))
-    want = cut(outside.select("src", F.least("wanted", F.lit(total)).alias("wanted")))
-    got = cut(want.select("src", F.lit(0).cast("long").alias("dst")).limit(0))
+    runs = F.explode(F.array(*(F.struct(F.lit(i).alias("run"), F.lit(s).alias("seed")) for i, s in enumerate(seeds))))
+    want = cut(outside.select("src", F.least("wanted", F.lit(total)).alias("wanted"), runs.alias("r")).select("r.run", "r.seed", "src", "wanted"))
+    got = cut(want.select("run", "src", F.lit(0).cast("long").alias("dst")).limit(0))
     for turn in range(max_rounds):
-        lack = want.join(got.groupBy("src").agg(F.count("*").alias("n")), "src", "left").fillna(0, ["n"]).filter("n < wanted")
+        lack = want.join(got.groupBy("run", "src").agg(F.count("*").alias("n")), ["run", "src"], "left").fillna(0, ["n"]).filter("n < wanted")
         if lack.isEmpty():
-            return got.unionByName(between)
-        drawn = lack.select("src", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted") - F.col("n"))).alias("i")).select("src", F.pmod(F.xxhash64("src", "i", F.lit(seed), F.lit(turn)), F.lit(max(total, 1))).alias("slot"))
-        new = drawn.join(slots, "slot").select("src", "dst").distinct().join(got, ["src", "dst"], "left_anti")
+            return got.unionByName(between.withColumn("run", F.explode(F.array(*(F.lit(i) for i in range(len(seeds)))))))
+        drawn = lack.select("run", "seed", "src", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted") - F.col("n"))).alias("i")).select("run", "src", F.pmod(F.xxhash64("src", "i", "seed", F.lit(turn)), F.lit(max(total, 1))).alias("slot"))
+        new = drawn.join(slots, "slot").select("run", "src", "dst").distinct().join(got, ["run", "src", "dst"], "left_anti")
         got = cut(got.unionByName(new))
     raise RuntimeError(f"ghosts lack partners after {max_rounds} rounds")

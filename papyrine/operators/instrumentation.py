@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.operators.dimred import diffuse
-from papyrine.operators.ghosts import bridged_pairs, rewire
+from papyrine.operators.ghosts import bridged_pairs, rewired
 from papyrine.operators.numbering import numbered
 from papyrine.session import cut
 
@@ -46,29 +46,44 @@ def _at_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.sqrt(squared("va", "vb")).alias("dist"))
 
 
-def pair_signal(pairs: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(pairs, mean_dist, together)``: how far pairs lie apart, and the share of them with both in one cluster."""
+def pair_signal(pairs: DataFrame, vectors: DataFrame, labels: DataFrame, by: Column | None = None) -> DataFrame:
+    """``(pairs, mean_dist, together)``: how far pairs lie apart, and the share of them with both in one cluster; for each value of ``by``, where that is given."""
     x, y = (labels.select(F.col("node_id").alias(e), F.col("node_cluster").alias(f"c{e}")) for e in "ab")
     j = _at_pairs(pairs, vectors).join(x, "a", "left").join(y, "b", "left")
+    j = j.groupBy() if by is None else j.groupBy(by)
     return j.agg(F.count("*").alias("pairs"), F.avg("dist").alias("mean_dist"), F.avg(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))).alias("together"))
 
 
-def bridge_signal(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, label: Callable[[DataFrame], DataFrame], alpha: float = 0.3, iterations: int = 4, min_ghost_degree: int = 2, nulls: int = 8, seed: int = 12345) -> DataFrame:
+def bridge_signal(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, label: Callable[[DataFrame], DataFrame], alpha: float = 0.3, iterations: int = 4, min_ghost_degree: int = 2, nulls: int = 8, seed: int = 12345, label_runs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(pairs, mean_dist, together, null_dist, null_together, ratio, lift)``: pairs that share a ghost, after smoothing with the links there are and with ghosts linked at random.
 
-    ``vectors``: (node_id, vec) of the nodes that have one; ``label`` clusters smoothed vectors ``(node_id, vec)`` into ``(node_id, node_cluster)``.
+    ``vectors``: (node_id, vec) of the nodes that have one; ``label`` clusters smoothed vectors ``(node_id, vec)`` into ``(node_id, node_cluster)``. The random linkings are
+    smoothed and compared together, every node standing in them once a run under a number of its own; ``label_runs`` clusters them together too, by their column ``run``,
+    else ``label`` goes through them one by one.
     """
     g = nodes.filter("is_ghost").select("node_id")
     ends = g.select(F.col("node_id").alias("g"))
     plain = cut(edges.select("src", "dst").join(ends, F.col("src") == F.col("g"), "left_anti").join(ends, F.col("dst") == F.col("g"), "left_anti"))
     pairs = cut(bridged_pairs(nodes, edges, min_ghost_degree))
-
-    def measure(links: DataFrame) -> DataFrame:
-        fused = cut(diffuse(vectors, links, alpha, iterations, ghosts=g))
-        return pair_signal(pairs, fused, label(fused.join(g, "node_id", "left_anti")))
-
-    real = cut(measure(edges))
-    chance = cut(reduce(DataFrame.unionByName, [cut(measure(plain.unionByName(rewire(nodes, edges, seed + 7919 * t)))) for t in range(nulls)]))
+    fused = cut(diffuse(vectors, edges, alpha, iterations, ghosts=g))
+    real = cut(pair_signal(pairs, fused, label(fused.join(g, "node_id", "left_anti"))))
+
+    places = cut(numbered(nodes.select("node_id").distinct(), "node_id", "place"))
+    every = F.explode(F.array(*(F.lit(i) for i in range(nulls)))).alias("run")
+
+    def apart(df: DataFrame, *names: str) -> DataFrame:
+        """The nodes in these columns under their numbers of the run."""
+        for c in names:
+            df = df.join(places.withColumnRenamed("node_id", c), c).withColumn(c, F.col("place") * nulls + F.col("run")).drop("place")
+        return df
+
+    own = F.pmod("node_id", F.lit(nulls)).alias("run")
+    strays = cut(apart(g.select("node_id", every), "node_id").select("node_id"))
+    links = plain.select(every, "src", "dst").unionByName(rewired(nodes, edges, [seed + 7919 * t for t in range(nulls)]))
+    fused = cut(diffuse(apart(vectors.select("node_id", "vec", every), "node_id").drop("run"), apart(links, "src", "dst"), alpha, iterations, ghosts=strays))
+    free = fused.join(strays, "node_id", "left_anti").select("node_id", "vec", own)
+    labels = label_runs(free) if label_runs else reduce(DataFrame.unionByName, [label(free.filter(F.col("run") == i).select("node_id", "vec")) for i in range(nulls)])
+    chance = cut(pair_signal(apart(pairs.select("a", "b", every), "a", "b"), fused, labels, F.pmod("a", F.lit(nulls)).alias("run")))
     null = chance.agg(F.avg("mean_dist").alias("null_dist"), F.avg("together").alias("null_together"))
     return real.crossJoin(null).select("*", (F.col("mean_dist") / F.col("null_dist")).alias("ratio"), (F.col("together") - F.col("null_together")).alias("lift"))  # one row each
 

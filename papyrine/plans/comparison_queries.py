@@ -103,7 +103,7 @@ def bridged_pairs_apart(spark, d):
 def bridge_signal(spark, d):
     dom = Domain(spark, d)
     real = dom.nodes.filter("base_pos is not null").select("node_id", F.col("base_pos").alias("vec"))
-    s = instrumentation.bridge_signal(cut(dom.nodes), cut(dom.node_edges), cut(real), lambda v: clustering.mutual_knn(v, "node_id", "vec", 8))
+    s = instrumentation.bridge_signal(cut(dom.nodes), cut(dom.node_edges), cut(real), lambda v: clustering.mutual_knn(v, "node_id", "vec", 8), label_runs=lambda v: clustering.mutual_knn(v, "node_id", "vec", 8, by="run"))
     return s.select("pairs", *(F.round(c, 4).alias(c) for c in ("mean_dist", "together", "null_dist", "null_together", "ratio", "lift")))
 
 

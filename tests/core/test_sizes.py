@@ -210,3 +210,27 @@ def test_records_are_put_together_for_top_movers_only(spark, small):
     """The cart meets the twenty nodes before its records are made and grouped."""
     plan = catalog.queries()["b6_top_mover_records"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.rindex("Aggregate") < plan.rindex("LeftSemi")
+
+
+def test_bridges_by_chance_are_those_of_each_linking(spark, monkeypatch):
+    """Random linkings smoothed and clustered together: as they come out one after the other, with a single smoothing for all of them."""
+    from papyrine.operators import clustering, ghosts, instrumentation
+
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(i * 5, i >= 24, rng.normal(size=3).tolist() if i < 24 else None) for i in range(28)], "node_id long, is_ghost boolean, base_pos array<double>")
+    links = spark.createDataFrame([*((i * 5, (i * 7 + 3) % 24 * 5) for i in range(24)), *((g * 5, int(d) * 5) for g in range(24, 28) for d in rng.choice(24, 5, replace=False)), (120, 125)], "src long, dst long")
+    vectors = nodes.filter("base_pos is not null").selectExpr("node_id", "base_pos as vec")
+    label = lambda v: clustering.mutual_knn(v, "node_id", "vec", 3)
+    runs = lambda v: clustering.mutual_knn(v, "node_id", "vec", 3, by="run")
+    g = nodes.filter("is_ghost").select("node_id")
+    plain, pairs, want = links.filter("src < 120 and dst < 120"), ghosts.bridged_pairs(nodes, links), []
+    for t in range(2):
+        again = plain.unionByName(ghosts.rewire(nodes, links, 12345 + 7919 * t))
+        fused = instrumentation.cut(instrumentation.diffuse(vectors, again, 0.3, 4, ghosts=g))
+        want.append(instrumentation.pair_signal(pairs, fused, label(fused.join(g, "node_id", "left_anti"))).first())
+    calls, diffuse = [], instrumentation.diffuse
+    monkeypatch.setattr(instrumentation, "diffuse", lambda *a, **k: (calls.append(1), diffuse(*a, **k))[1])
+    got = instrumentation.bridge_signal(nodes, links, vectors, label, nulls=2, label_runs=runs).first()
+    assert got["pairs"] == want[0]["pairs"] > 0 and len(calls) == 2
+    assert got["null_dist"] == pytest.approx((want[0]["mean_dist"] + want[1]["mean_dist"]) / 2)
+    assert got["null_together"] == pytest.approx((want[0]["together"] + want[1]["together"]) / 2)
