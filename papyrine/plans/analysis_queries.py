@@ -416,10 +416,12 @@ _SCORED = """m AS (SELECT x.level_no AS first_level, y.level_no AS second_level,
 
 
 def _level_tables(dom: Domain):
-    a = dom.assign.join(dom.levels.select("level_uid", "level_no"), "level_uid")
-    x = a.select("node_id", F.col("level_no").alias("first_level"), F.col("node_cluster").alias("a"))
-    y = a.select("node_id", F.col("level_no").alias("second_level"), F.col("node_cluster").alias("b"))
-    return x.join(y, "node_id").filter("first_level < second_level").groupBy("first_level", "second_level", "a", "b").agg(F.count("*").alias("n"))
+    # A node's clusters come together once; the pairs of its levels are made beside each other instead of by a join.
+    a = dom.assign.join(F.broadcast(dom.levels.select("level_uid", "level_no")), "level_uid")  # a handful of levels
+    own = a.groupBy("node_id").agg(F.collect_list(F.struct("level_no", "node_cluster")).alias("own"))
+    pairs = own.select("own", F.explode("own").alias("x")).select("x", F.explode("own").alias("y")).filter("x.level_no < y.level_no")
+    t = pairs.select(F.col("x.level_no").alias("first_level"), F.col("y.level_no").alias("second_level"), F.col("x.node_cluster").alias("a"), F.col("y.node_cluster").alias("b"))
+    return t.groupBy("first_level", "second_level", "a", "b").agg(F.count("*").alias("n"))
 
 
 @query("n1_n2_ari_nmi", f"WITH {LEVELS}, {_SCORED} SELECT first_level, second_level, n::BIGINT AS n, round((c - e) / ((ca + cb) / 2 - e), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi, round(mi / sqrt(ha * hb), 6) AS nmi_geometric FROM s")

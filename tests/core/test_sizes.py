@@ -234,3 +234,19 @@ def test_bridges_by_chance_are_those_of_each_linking(spark, monkeypatch):
     assert got["pairs"] == want[0]["pairs"] > 0 and len(calls) == 2
     assert got["null_dist"] == pytest.approx((want[0]["mean_dist"] + want[1]["mean_dist"]) / 2)
     assert got["null_together"] == pytest.approx((want[0]["together"] + want[1]["together"]) / 2)
+
+
+def test_level_pairs_without_a_join_of_all_assignments(spark, small):
+    """The one join left is that with the handful of levels; counts are those of the join by nodes."""
+    from pyspark.sql import functions as F
+
+    from papyrine.plans.analysis_queries import _level_tables
+    from papyrine.plans.tables import Domain
+
+    dom = Domain(spark, small)
+    got = _level_tables(dom)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    a = dom.assign.join(dom.levels.select("level_uid", "level_no"), "level_uid")
+    x, y = (a.select("node_id", F.col("level_no").alias(f"{w}_level"), F.col("node_cluster").alias(c)) for w, c in (("first", "a"), ("second", "b")))
+    want = x.join(y, "node_id").filter("first_level < second_level").groupBy("first_level", "second_level", "a", "b").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
