@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.rng import generator, poisson, shuffled
+from papyrine.operators import space
 from papyrine.operators.graph import connected_components
 from papyrine.operators.vectors import knn, mutual_pairs
 from papyrine.session import cut
@@ -52,7 +54,18 @@ def of_clusters(taste: DataFrame, members: DataFrame) -> DataFrame:
 
 def neighbourhoods(pos: DataFrame, assign: DataFrame, k: int = 4) -> DataFrame:
     """``(node_id, node_cluster, neighbourhood)``: components of mutual nearest neighbours within clusters, named by their smallest node."""
-    p = cut(assign.filter("node_cluster >= 0").join(pos, "node_id").select("node_id", "node_cluster", F.array("x", "y", "z").alias("v")))
+    rows = assign.filter("node_cluster >= 0").join(pos, "node_id").select("node_id", "node_cluster", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    p = cut(rows.withColumn("times", F.count("*").over(Window.partitionBy("node_id"))))
+    if (p.agg(F.max("times")).first()[0] or 0) > 1:  # nodes in several clusters tie these together
+        return _tied(p.select("node_id", "node_cluster", F.array("x", "y", "z").alias("v")), k)
+    fine = F.coalesce(reduce(lambda a, b: a & b, (~F.isnan(c) & (F.abs(c) < float("inf")) for c in "xyz")), F.lit(False))
+    own = p.select(F.col("node_id").cast("long").alias("id"), F.col("node_cluster").alias("grp"), *"xyz")
+    placed = space.mutual_components(own.filter(fine), ["x", "y", "z"], k, 16384, 9)
+    near = placed.unionByName(own.filter(~fine).select("id", "grp", F.col("id").alias("component")))
+    return near.select(F.col("id").alias("node_id"), F.col("grp").alias("node_cluster"), F.col("component").alias("neighbourhood"))
+
+
+def _tied(p: DataFrame, k: int) -> DataFrame:
     mutual = mutual_pairs(knn(p, "node_id", "v", k, by="node_cluster"))
     own = p.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
     comp = connected_components(mutual.unionByName(own))

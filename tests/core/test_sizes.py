@@ -122,6 +122,43 @@ def test_neighbourhoods_need_no_pairs_of_blocks(spark, small, monkeypatch):
     assert catalog.queries()["q2_neighbourhoods"](spark, small).count() > 0
 
 
+def test_neighbourhoods_of_whole_clusters_need_no_rounds(spark, small, monkeypatch):
+    """A cluster that one task holds is joined there: no rounds of joins over all nodes, nor over all neighbours."""
+    from papyrine.operators import taste
+
+    for module, name in ((taste, "connected_components"), (space, "connected_components"), (taste, "mutual_pairs"), (taste, "knn")):
+        monkeypatch.setattr(module, name, refuse)
+    assert catalog.queries()["q2_neighbourhoods"](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("block_rows", [8, 40, 1000])
+def test_mutual_components_of_divided_groups(spark, block_rows):
+    """Equal positions and distances, groups of several regions, against all pairs."""
+    rng = np.random.default_rng(6)
+    x, g, ids = np.round(rng.normal(size=(300, 3)) * 4), np.where(rng.random(300) < 0.6, 0, rng.integers(1, 9, 300)), rng.permutation(900)[:300] - 100
+    near = {}
+    for i, v, c in zip(ids, x, g, strict=True):
+        near[i] = {j for _, j in sorted((((v - w) ** 2).sum(), j) for j, w, e in zip(ids, x, g, strict=True) if j != i and c == e)[:4]}
+    want = {i: i for i in ids}
+    for _ in ids:
+        want = {i: min([want[i], *(want[j] for j in near[i] if i in near[j])]) for i in ids}
+    df = spark.createDataFrame([(int(i), int(c), *map(float, v)) for i, v, c in zip(ids, x, g, strict=True)], "id long, grp int, x double, y double, z double")
+    got = [tuple(r) for r in space.mutual_components(df, ["x", "y", "z"], 4, block_rows, 9).select("id", "grp", "component").collect()]
+    assert sorted(got) == sorted((i, c, want[i]) for i, c in zip(ids.tolist(), g.tolist(), strict=True))
+
+
+def test_neighbourhoods_of_odd_nodes(spark):
+    """A node without a usable position is alone; one in two clusters ties what it is mutual with in either."""
+    from papyrine.operators import taste
+
+    pos = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (4, None, 0.0, 0.0), (5, 9.0, 0.0, 0.0)], "node_id long, x double, y double, z double")
+    own = [(1, 0), (2, 0), (3, 0), (4, 0)]
+    of = lambda rows: sorted(map(tuple, taste.neighbourhoods(pos, spark.createDataFrame(rows, "node_id long, node_cluster int")).collect()))
+    assert of(own) == [(1, 0, 1), (2, 0, 1), (3, 0, 3), (4, 0, 4)]
+    assert of([(1, 0), (2, 0), (2, 1), (5, 1)]) == [(1, 0, 1), (2, 0, 1), (2, 1, 1), (5, 1, 1)]
+    assert of([(1, -1)]) == []
+
+
 def test_layout_sweep_finds_components_once(spark, small, monkeypatch):
     """Six layouts and their alignments share the components."""
     from papyrine.operators import layout
