@@ -140,16 +140,16 @@ def persons(spellings: DataFrame, short_forms: list[tuple[str, str]] = SHORT_FOR
     parsed = _persons(spellings)
     full = cut(parsed.filter("not short and given <> ''").groupBy("family", "given", "mid").agg(F.count("*").alias("n")).withColumn("node", F.concat_ws("|", "family", "given", "mid")))
     names = cut(full.select("family", "given").distinct())
-    givens, families = names.select("given").distinct(), parsed.groupBy("family").agg(F.sum("n").alias("n"))
+    givens, families = cut(names.select("given").distinct()), cut(parsed.groupBy("family").agg(F.sum("n").alias("n")))
 
     # Given names: near ones, and (a, b) with a short for b.
-    near = _together(near_pairs(givens, "given", 3, edits, long), names, "given", "family")
+    near = _together(cut(near_pairs(givens, "given", 3, edits, long)), names, "given", "family")
     near = _both_ways(near.filter((F.least("ka", "kb") < common) | (F.col("both") >= 0.3 * F.least("ka", "kb")))).withColumn("kind", F.lit("near"))
     known = spark.createDataFrame(short_forms, "a string, b string").distinct().withColumn("how", F.lit("known"))
     ends = givens.filter(F.length("given") <= 64).select("given", F.explode(F.expr("filter(transform(sequence(3, greatest(3, length(given) - 1)), i -> struct(substring(given, 1, i) as begin, right(given, i) as end)), p -> length(given) > 3)")).alias("p"))
     ends = ends.select(F.col("given").alias("b"), F.explode(F.array(F.struct(F.col("p.begin").alias("a"), F.lit("begin").alias("how")), F.struct(F.col("p.end").alias("a"), F.lit("end").alias("how")))).alias("e")).select("e.a", "b", "e.how")
     less = known.unionByName(ends.join(givens.withColumnRenamed("given", "a"), "a", "left_semi")).filter("a <> b").distinct()
-    less = _together(less, names, "given", "family").withColumn("all", F.sum("both").over(Window.partitionBy("a", "how")))
+    less = _together(cut(less), names, "given", "family").withColumn("all", F.sum("both").over(Window.partitionBy("a", "how")))
     common_enough = (F.col("ka") < common) | (F.col("all") >= 0.3 * F.col("ka"))
     supported = (F.col("both") >= 3) & (F.col("both") >= 0.5 * F.col("ka"))
     less = less.filter(F.when(F.col("how") == "end", supported).otherwise(common_enough)).select("a", "b").distinct().withColumn("kind", F.lit("short"))
@@ -157,8 +157,8 @@ def persons(spellings: DataFrame, short_forms: list[tuple[str, str]] = SHORT_FOR
 
     # Family names.
     na, nb = families.select(F.col("family").alias("a"), F.col("n").alias("na")), families.select(F.col("family").alias("b"), F.col("n").alias("nb"))
-    close = near_pairs(families, "family", 3, edits, long).join(na, "a").join(nb, "b")
-    close = close.filter((F.least(F.length("a"), F.length("b")) >= 5) | _exchanged("a", "b") | (F.greatest("na", "nb") >= 10 * F.least("na", "nb")))
+    close = cut(near_pairs(families, "family", 3, edits, long)).join(na, "a").join(nb, "b")
+    close = cut(close.filter((F.least(F.length("a"), F.length("b")) >= 5) | _exchanged("a", "b") | (F.greatest("na", "nb") >= 10 * F.least("na", "nb"))))
     counted = _together(close.select("a", "b"), names, "family", "given")
     # Families of which no given name is known in full stay: whom they are is decided by the initials.
     close = close.join(counted, ["a", "b"], "left").filter("ka is null or kb is null or least(ka, kb) < {0} or both >= 0.8 * least(ka, kb)".format(common))
@@ -181,13 +181,13 @@ def persons(spellings: DataFrame, short_forms: list[tuple[str, str]] = SHORT_FOR
     groups = cut(groups.join(bare, "g", "left").select("node", F.coalesce("to", "g").alias("g")))
 
     # Short given names: the groups a group may belong to that don't belong to another one themselves.
-    at = full.join(groups, "node")
-    main = at.groupBy("g").agg(F.max(F.struct("n", F.col("given").alias("main")))["main"].alias("main"), F.max("mid").alias("mid"))
+    at = cut(full.join(groups, "node"))
+    main = cut(at.groupBy("g").agg(F.max(F.struct("n", F.col("given").alias("main")))["main"].alias("main"), F.max("mid").alias("mid")))
     spoken = at.join(main.select("g", "main"), "g").filter("given = main").select("node", "g")
     other = groups.select(F.col("node").alias("node2"), F.col("g").alias("g2"))
     may = cut(links.filter("kind = 'short'").join(spoken, "node").join(other, "node2").filter("g <> g2").select("g", "g2").distinct())
     last = may.join(may.select(F.col("g").alias("g2")).distinct(), "g2", "left_anti")
-    to = one(last).join(main.select("g", "mid"), "g")
+    to = cut(one(last).join(main.select("g", "mid"), "g"))
     mids = to.join(main.select(F.col("g").alias("to"), F.col("mid").alias("mid2")), "to")
     clash = mids.groupBy("to").agg(F.size(F.array_distinct(F.filter(F.concat(F.collect_set("mid"), F.collect_set("mid2")), lambda m: m != ""))).alias("k")).filter("k > 1").select("to")
     unclear = mids.join(clash, "to").filter("mid <> '' and mid <> mid2").select("g")
@@ -195,19 +195,19 @@ def persons(spellings: DataFrame, short_forms: list[tuple[str, str]] = SHORT_FOR
     named = cut(at.join(to, "g", "left").select("family", "given", "mid", F.coalesce("to", "g").alias("component")))
 
     # Shortened given names join the one person they can mean.
-    short = parsed.filter("short or given = ''").select("family", "given", "mid").distinct()
+    short = cut(parsed.filter("short or given = ''").select("family", "given", "mid").distinct())
     of = named.groupBy("component").agg(F.max("mid").alias("mid2"))
-    begins = named.select("family", "component", F.explode(F.expr("transform(sequence(1, least(4, length(given))), i -> substring(given, 1, i))")).alias("given")).distinct().join(of, "component")
+    begins = cut(named.select("family", "component", F.explode(F.expr("transform(sequence(1, least(4, length(given))), i -> substring(given, 1, i))")).alias("given")).distinct().join(of, "component"))
     fits = F.expr("mid = '' or mid2 = '' or mid = mid2")
     key = ["family", "given", "mid"]
-    own = short.join(begins, ["family", "given"]).filter(fits).groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    own = cut(short.join(begins, ["family", "given"]).filter(fits).groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
     beside = short.join(own, key, "left_anti").join(around.select(F.col("a").alias("family"), F.col("b").alias("family2")), "family").join(begins.withColumnRenamed("family", "family2"), ["family2", "given"]).filter(fits)
     beside = beside.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     sure = cut(own.unionByName(beside).filter("lo = hi").select(*key, F.col("lo").alias("component")))
     up = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
     better = close.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("frequent")).groupBy("rare").agg(F.min("frequent").alias("better"))
     left = short.join(sure, key, "left_anti").join(better, F.col("family") == F.col("rare"), "left")
-    left = left.select(*key, F.concat(F.coalesce("better", "family"), F.lit("|"), F.substring("given", 1, 1), F.lit(".")).alias("like"))
+    left = cut(left.select(*key, F.concat(F.coalesce("better", "family"), F.lit("|"), F.substring("given", 1, 1), F.lit(".")).alias("like")))
     mids = left.filter("mid <> ''").groupBy("like").agg(F.min("mid").alias("lo"), F.max("mid").alias("hi"))
     left = left.join(mids, "like", "left").select(*key, F.concat("like", F.when((F.col("mid") == "") & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("mid"))).alias("component"))
     a = parsed.filter("not short and given <> ''").join(named, key)
@@ -295,8 +295,8 @@ def venues(spellings: DataFrame, edits: int = 1, long: int = 10) -> DataFrame:
 
     parsed = cut(spellings.mapInPandas(run, "spelling string, n long, words array<string>, initials string, bare boolean").filter("bare or size(words) > 0"))
     words = parsed.filter("not bare").select("spelling", "n", F.posexplode("words").alias("at", "word"))
-    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
-    sided = _both_ways(near_pairs(counts, "word", 3, edits, long)).filter((F.least(F.length("a"), F.length("b")) >= 5) | _exchanged("a", "b"))
+    counts = cut(words.groupBy("word").agg(F.sum("n").alias("n")))
+    sided = _both_ways(cut(near_pairs(counts, "word", 3, edits, long))).filter((F.least(F.length("a"), F.length("b")) >= 5) | _exchanged("a", "b"))
     ca, cb = counts.select(F.col("word").alias("a"), F.col("n").alias("na")), counts.select(F.col("word").alias("b"), F.col("n").alias("nb"))
     better = sided.join(ca, "a").join(cb, "b").filter("nb >= 4 * na and not startswith(b, a)").groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("right"))
     fixed = words.join(better, words["word"] == better["a"], "left").select("spelling", "at", F.coalesce("right", "word").alias("word"))

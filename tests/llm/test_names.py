@@ -175,3 +175,17 @@ def test_short_forms_no_rule_covers(spark):
     rows = [(f"{given} {family}", 2) for family, pair in (("Quillfeather", pairs[0]), ("Brandtmeyer", pairs[9])) for given in pair]
     entity = {r["spelling"]: r["entity"] for r in names.persons(spark.createDataFrame(rows, "spelling string, n long")).collect()}
     assert entity["James Quillfeather"] == entity["Jim Quillfeather"] and entity["Sebastian Brandtmeyer"] == entity["Basti Brandtmeyer"]
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver plans a step anew after each of its stages: near words are worked out once, not once for each use within one plan."""
+    sizes, cut = [], names.cut
+
+    def measured(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(plan.count("Aggregate [") + plan.count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(names, "cut", measured)
+    entities(spark, ["Katherine Meyer; Kathy Meyer; Meyer, K."], ["Annals of Basalt Hydrology", "Ann Basalt Hydr"])
+    assert max(sizes) <= 30
