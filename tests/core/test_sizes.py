@@ -182,6 +182,81 @@ def test_layouts_side_by_side_are_those_of_each(spark):
         assert all(rows[2 * i + 1, n] == pytest.approx(v) for n, v in each.items())
 
 
+def _linked_nodes(n, hubs, seed=3):
+    """Links of one component, some of them at few nodes."""
+    rng = np.random.default_rng(seed)
+    e = {(int(rng.integers(0, max(1, i // 3))), i) for i in range(1, n)} | {(int(h), int(v)) for h in range(hubs) for v in rng.choice(n, n // 4, replace=False) if h < v}
+    return np.array(sorted(e), dtype=np.int32)
+
+
+@pytest.mark.parametrize("method", ["forces", "mds", "umap-graph"])
+def test_a_large_component_takes_little_memory(method):
+    """Of 30,000 nodes and 90,000 links, bytes held at once in the task: steps to all pivots alone were over 500 a node, and all neighbours' rows over 1,000."""
+    import tracemalloc
+
+    from papyrine.operators import dimred, layout, steps
+
+    n = 30_000
+    e = np.concatenate([_linked_nodes(n, 0), np.sort(np.random.default_rng(1).integers(0, n // 2, (2 * n, 2)) * [1, 2], axis=1).astype(np.int32)])
+    e = np.unique(e[e[:, 0] != e[:, 1]], axis=0)
+    tracemalloc.start()
+    if method == "forces":
+        layout._Mesh(135.0, 64, 1)(np.zeros((8, 3)))
+        fixed = tracemalloc.get_traced_memory()[1]
+        layout._forces(n, e, np.zeros(n), 1, 2)
+    elif method == "mds":
+        fixed = 5e6  # for pivots among each other and a block
+        assert sum(len(x[2]) for x in layout._pivots(n, e, 1, rounds=2)) == 4 * n
+    else:
+        fixed = 20e6  # a block's candidates
+        near, w = steps.linked_weights(*layout._adjacent(n, e), np.arange(n), 15, 1)
+        dimred.embed_neighbours(n, 14, near.ravel(), w.ravel(), 3, 2, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (most - fixed) / n < 600
+
+
+@pytest.mark.parametrize("hubs", [0, 3])
+def test_neighbours_of_one_task_are_those_of_the_cluster(spark, hubs):
+    """Others by steps, hubs' links cut alike, and the weights of their pairs."""
+    from papyrine.operators import dimred, graph, layout, steps
+
+    n, k, seed = 400, 6, 2
+    e, ids = _linked_nodes(n, hubs), np.arange(n) * 7 - 900
+    nodes = spark.createDataFrame([(int(i),) for i in ids], "node_id long")
+    links = spark.createDataFrame([(int(ids[a]), int(ids[b])) for a, b in e], "src long, dst long")
+    want = {tuple(r) for r in graph.hop_neighbours(links, nodes, k, seed).collect()}
+    near, hops = steps.near_by_hops(*layout._adjacent(n, e), ids, k, seed, block=64)
+    src, at = np.nonzero(near >= 0)
+    assert want == set(zip(ids[src].tolist(), ids[near[src, at]].tolist(), hops[src, at].tolist(), strict=True))
+    a, b, w = dimred.fuzzy_weights(n, src, near[src, at].astype(int), hops[src, at].astype(float), k + 1)
+    near, weight = steps.linked_weights(*layout._adjacent(n, e), ids, k + 1, seed, block=64)
+    src, at = np.nonzero(weight)
+    got = {(min(s, d), max(s, d)): x for s, d, x in zip(src.tolist(), near[src, at].tolist(), weight[src, at].tolist(), strict=True)}
+    want = {(s, d): x for s, d, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True) if np.float32(x)}
+    assert len(got) == len(src) and got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-6) for p in got)
+
+
+def test_places_around_pivots_are_in_blocks(spark):
+    """A large component beside a small one, several blocks and layouts: each node once, pivots where they were laid out, as in one block."""
+    from papyrine.operators import layout
+
+    e = _linked_nodes(700, 1)
+    nodes = spark.createDataFrame([(i, i / 700) for i in range(704)], "node_id long, t double")
+    links = spark.createDataFrame([*map(tuple, e.tolist()), (701, 702)], "src long, dst long")
+    jobs = [("mds", 1, {"iterations": 50}), ("umap-graph", 1, {"iterations": 50}), ("mds", 2, {"iterations": 50})]
+    rows = layout.layouts(jobs, nodes, links, layout.components(nodes, links), most_in_task=300).toPandas()
+    assert len(rows) == 3 * 704 and not rows.duplicated(["job", "node_id"]).any() and np.isfinite(rows[["x", "y", "z"]].to_numpy()).all()
+    seed = 2 * 1_000_003
+    found = list(layout._pivots(700, e, seed, rounds=50, block=1000))
+    starts, at = found[0][4:]
+    want = layout._around(np.concatenate([x[2] for x in found], axis=1), found[0][3], at, 50)
+    want[starts] = at
+    assert np.allclose(rows[(rows.job == 2) & (rows.node_id < 700)].sort_values("node_id")[["x", "y", "z"]], want)
+    blocks = list(layout._pivots(700, e, seed, rounds=50, block=64))
+    assert all((np.concatenate([x[k] for x in blocks if x[1] == 1]) == next(x[k] for x in found if x[1] == 1)).all() for k in (2, 3))
+
+
 def test_sums_over_all_pairs(monkeypatch):
     """Repulsion and stress axis by axis, against their formulas."""
     from papyrine.operators import layout
